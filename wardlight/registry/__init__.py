@@ -3,6 +3,7 @@
 from wardlight.registry import (  # noqa: F401
     sources_q,
     projections_q,
+    findings_q,
 )
 from wardlight.registry.core import ORACLES, QUERIES
 
