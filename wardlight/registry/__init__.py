@@ -4,6 +4,7 @@ from wardlight.registry import (  # noqa: F401
     sources_q,
     projections_q,
     findings_q,
+    secrets_q,
 )
 from wardlight.registry.core import ORACLES, QUERIES
 
