@@ -5,6 +5,7 @@ from wardlight.registry import (  # noqa: F401
     projections_q,
     findings_q,
     secrets_q,
+    facts_q,
 )
 from wardlight.registry.core import ORACLES, QUERIES
 
