@@ -6,6 +6,10 @@ from wardlight.registry import (  # noqa: F401
     findings_q,
     secrets_q,
     facts_q,
+    graph_q,
+    web_q,
+    triage_q,
+    streaming_q,
 )
 from wardlight.registry.core import ORACLES, QUERIES
 

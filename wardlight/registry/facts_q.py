@@ -385,9 +385,11 @@ def taint_gen_kill(t):
     return taint.taint_gen_kill(taint.CodeFacts(t.code(), t.rules()))
 
 
-@query("alias_propagation", fduck("""
-, reach as (select l.file, l.base from loc l join hasrc using (file, line) union select l.file, l.base from reach r join idents i on i.file = r.file and i.ident = r.base join loc l on l.file = i.file and l.line = i.line)
-select file, base from reach""".replace(", reach", "§reach", 1), "loc", ctes=("code",), recursive=True, **USES, **FW, **FWS, **RULE_SOURCES, **SRC).replace("\n\n§reach", ",\nreach").replace("§reach", "reach"))
+REACH = ("select l.file, l.base from loc l join hasrc using (file, line) union select l.file, l.base from reach r"
+         " join idents i on i.file = r.file and i.ident = r.base join loc l on l.file = i.file and l.line = i.line")
+
+
+@query("alias_propagation", fduck("select file, base from reach", "loc", ctes=("code",), recursive=True, **USES, **FW, **FWS, **RULE_SOURCES, **SRC, reach=REACH))
 def alias_propagation(t):
     return taint.alias_propagation(taint.CodeFacts(t.code(), t.rules()))
 
