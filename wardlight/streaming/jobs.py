@@ -13,8 +13,11 @@ from wardlight.catalog.fixed import CACHE_TTL_DAYS
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """File stream over a parquet table with the schema it has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """File stream over a parquet table with the schema it has now; the table may be a folder or a single file.
+
+    The stream source takes a single file only behind a glob, hence the one-letter class at the end of the path.
+    """
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_available(df: DataFrame, folder: str, mode: str = "append") -> str:
