@@ -10,6 +10,7 @@ from wardlight.registry import (  # noqa: F401
     web_q,
     triage_q,
     streaming_q,
+    plans_q,
 )
 from wardlight.registry.core import ORACLES, QUERIES
 

@@ -430,7 +430,27 @@ def ssa_rewrite(t):
     return taint.ssa_rewrite(taint.CodeFacts(t.code(), t.rules()))
 
 
-@query("block_edges")
+# edges per program, read off the program texts; "6x" is the end of the block opened at line 6, "6m" its merge point
+IF_ELSE = "5>6 6>7:true 6>8:false 7>6x 6x>6m 8>9:true 9>8x 8x>6m 6m>10"
+BLOCK_EDGES = {
+    6: IF_ELSE, 7: IF_ELSE, 8: "5>7 7>8:true 8>7x 7x>7:loop_back 7>7m:false 7m>11", 14: "2>5 5>6:true 6>5x 5x>5m 5>5m:false 5m>7",
+    16: "1>3:true 3>1x 1x>1m 1m>9", 17: "1>2:true 2>1x 1x>1m 1m>7", 22: IF_ELSE + " 8>6m:false",
+    23: "5>6 6>7:true 6>8:error 7>6x 6x>8:error 6x>6m 8>9:true 9>8x 8x>6m 6m>10",
+}
+
+
+def _edge_rows():
+    def node(x):
+        return int(x.rstrip("xm")) * 4 + {"x": 1, "m": 2}.get(x[-1], 0)
+
+    for pid, text in BLOCK_EDGES.items():
+        for e in text.split():
+            ends, _, cond = e.partition(":")
+            a, b = ends.split(">")
+            yield (pid, node(a), node(b), cond)
+
+
+@query("block_edges", expected(list(_edge_rows()), "src, dst, condition", "c.file, e.src::bigint as src, e.dst::bigint as dst, e.condition"))
 def block_edges(t):
     from wardlight.operators import blocks
 
