@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-OUTLINE_TYPE = "array<struct<line:bigint,depth:int,parent:bigint,end_line:bigint,text:string>>"
+OUTLINE_TYPE = "array<struct<line:bigint,depth:int,parent:bigint,end_line:bigint,text:string,above:array<struct<line:bigint,text:string>>>>"
 CALLS_TYPE = "array<struct<col:int,name:string,full_text:string,args:array<string>>>"
 
 
 def outline_udf():
-    """``(content, by_braces)`` to statement lines with depth, parent line and last line of the block they open.
+    """``(content, by_braces)`` to statement lines with depth, parent line, last line of the block they open, and the
+    header lines above them (outermost first).
 
     Indentation or braces give the depth; blank lines, comment lines and lone opening braces are left out, a line
     inside open brackets belongs to the statement above it.
@@ -52,7 +53,8 @@ def outline_udf():
                     top = rows[stack.pop()]
                     top["end_line"] = n if closes and top["_d"] == depth else rows[-1]["line"]
                 rows.append({"line": n, "depth": len(stack), "parent": rows[stack[-1]]["line"] if stack else 0,
-                             "end_line": n, "text": body.strip(), "_d": depth})
+                             "end_line": n, "text": body.strip(), "_d": depth,
+                             "above": [{"line": rows[i]["line"], "text": rows[i]["text"]} for i in stack]})
                 stack.append(len(rows) - 1)
             for i in stack:
                 rows[i]["end_line"] = rows[-1]["line"]

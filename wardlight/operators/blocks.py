@@ -8,10 +8,12 @@ through, which can only add paths.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardlight.operators.extract import HEADER, by_language
+
 LEAD = r"^\}?\s*"
 ROLES = [
     ("elif", LEAD + r"(elif\b|else\s+if\b)"), ("else", LEAD + r"else\b"), ("if", LEAD + r"if\b"),
@@ -20,18 +22,24 @@ ROLES = [
 CONTINUES = ["elif", "else", "except"]
 
 
-def with_roles(stmts: DataFrame, functions: DataFrame) -> DataFrame:
-    """Add ``role``, ``func_start`` and the block leader of every statement.
+def _role(language_text, opens) -> Column:
+    """Role of a statement by its text; only lines that open a block are more than plain statements."""
+    expr = F.when(by_language(HEADER, language_text, 0) != "", "func")
+    for name, pattern in ROLES:
+        expr = expr.when(opens & language_text.rlike(pattern), name)
+    return expr.when(opens, "plain").otherwise("stmt")
+
+
+def with_roles(stmts: DataFrame) -> DataFrame:
+    """Add ``role``, ``parent_role``, next and previous sibling, ``next_child``, block leader and chain start.
 
-    A file is at most 2 MiB, so the windows over one file are bounded; files spread over all tasks.
+    All windows run inside one file, which is at most 2 MiB; one shuffle by file serves them all.
     """
-    heads = functions.select("file", F.col("start_line").alias("line"), F.lit(True).alias("_fn")).distinct()
-    role = F.when(F.col("_fn"), F.lit("func"))
-    for name, pattern in ROLES:
-        role = role.when(F.col("text").rlike(pattern), F.lit(name))
-    opens = F.col("end_line") > F.col("line")
-    s = stmts.join(heads, ["file", "line"], "left").withColumn("role", role.when(opens, F.lit("plain")).otherwise(F.lit("stmt")))
-    s = s.withColumn("role", F.when(opens | F.col("role").isin("func", "stmt"), F.col("role")).otherwise(F.lit("stmt"))).drop("_fn")
+    s = stmts.withColumn("role", _role(F.col("text"), F.col("end_line") > F.col("line")))
+    s = s.withColumn("parent_role", F.when(F.col("parent") > 0, _role(F.col("parent_text"), F.lit(True))))
+    in_file = W.partitionBy("file").orderBy("line")
+    s = s.withColumn("_nl", F.lead("line").over(in_file)).withColumn("_np", F.lead("parent").over(in_file))
+    s = s.withColumn("next_child", F.when(F.col("_np") == F.col("line"), F.col("_nl"))).drop("_nl", "_np")
     kids = W.partitionBy("file", "parent").orderBy("line")
     s = (
         s.withColumn("next", F.lead("line").over(kids)).withColumn("next_role", F.lead("role").over(kids))
@@ -47,14 +55,10 @@ def with_roles(stmts: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def block_edges(roled: DataFrame) -> DataFrame:
-    """``(file, src, dst, condition)`` over block nodes."""
-    in_file = W.partitionBy("file").orderBy("line")
-    s = roled.withColumn("_nl", F.lead("line").over(in_file)).withColumn("_np", F.lead("parent").over(in_file))
-    parent_role = roled.select("file", F.col("line").alias("parent"), F.col("role").alias("parent_role"))
-    s = s.join(parent_role, ["file", "parent"], "left")
+    """``(file, src, dst, condition)`` over block nodes; every row of ``with_roles`` writes its own edges."""
     node, end, merge = F.col("line") * 4, F.col("line") * 4 + 1, F.col("chain") * 4 + 2
     block = F.col("block") * 4
-    child = F.when(F.col("_np") == F.col("line"), F.col("_nl") * 4)
+    child = F.col("next_child") * 4
     simple = F.col("role").isin("stmt", "func")
     more = F.coalesce(F.col("next_role").isin(CONTINUES), F.lit(False))
     inner = F.col("parent_role").isNotNull() & (F.col("parent_role") != "func")
@@ -77,5 +81,5 @@ def block_edges(roled: DataFrame) -> DataFrame:
         edge((role == "try") & more, end, F.col("next") * 4, "error"),
         edge(~simple & ~more, merge, after),
     ]
-    rows = s.select("file", F.explode(F.filter(F.array(*edges), lambda e: e.isNotNull())).alias("e"))
+    rows = roled.select("file", F.explode(F.filter(F.array(*edges), lambda e: e.isNotNull())).alias("e"))
     return rows.select("file", "e.*").distinct()

@@ -34,9 +34,10 @@ INDENTED = ["python"]
 STRING = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
 RETURN = r"^\s*return\s+(.+?)\s*$"
 ANONYMOUS = "<anonymous>"
+MODULE = "<module>"
 
 
-def _by_language(table: dict[str, str], text, group: int) -> Column:
+def by_language(table: dict[str, str], text, group: int) -> Column:
     """Group of the language's own expression; one of them runs per row."""
     expr = None
     for lang, pattern in table.items():
@@ -50,34 +51,46 @@ def _by_language(table: dict[str, str], text, group: int) -> Column:
     return expr.otherwise(F.lit(""))
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """``(file, language, line, depth, parent, end_line, text)`` of every statement line; row-local."""
+def statements(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(file, language, keep…, line, depth, parent, end_line, text, parent_text, func, func_start)`` per statement line.
+
+    ``func`` is the innermost function around the line (``<module>`` outside of any), found among the headers above it.
+    Everything comes out of the file's own row; there is no shuffle.
+    """
     rows = outline_udf()(F.col("content"), ~F.col("language").isin(INDENTED))
-    return files.select("file", "language", F.explode(rows).alias("s")).select("file", "language", "s.*")
+    s = files.select("file", "language", *keep, F.explode(rows).alias("s")).select("file", "language", *keep, "s.*")
+    around = F.filter("above", lambda h: by_language(HEADER, h["text"], 0) != "")
+    s = s.withColumn("_f", F.try_element_at(around, F.lit(-1)))
+    name = by_language(HEADER, F.col("_f.text"), 1)
+    return s.select(
+        "file", "language", *keep, "line", "depth", "parent", "end_line", "text", F.try_element_at("above", F.lit(-1))["text"].alias("parent_text"),
+        F.when(F.col("_f").isNull(), MODULE).when(name == "", ANONYMOUS).otherwise(name).alias("func"),
+        F.coalesce("_f.line", F.lit(0)).cast("bigint").alias("func_start"),
+    )
 
 
-def extract_assignments(stmts: DataFrame, subscripts: bool = True) -> DataFrame:
-    """``(file, language, line, target, op, value)``; ``t += v`` has the value ``t + v``.
+def extract_assignments(stmts: DataFrame, subscripts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(file, language, keep…, line, target, op, value)``; ``t += v`` has the value ``t + v``.
 
     With ``subscripts=False`` only names and attributes count as targets, as for Python syntax trees.
     """
     s = stmts.filter(F.contains("text", F.lit("=")))
     s = s.select(
-        "file", "language", "line", _by_language(ASSIGN, F.col("text"), 1).alias("target"),
-        _by_language(ASSIGN, F.col("text"), 2).alias("op"), _by_language(ASSIGN, F.col("text"), 3).alias("rhs"),
+        "file", "language", *keep, "line", by_language(ASSIGN, F.col("text"), 1).alias("target"),
+        by_language(ASSIGN, F.col("text"), 2).alias("op"), by_language(ASSIGN, F.col("text"), 3).alias("rhs"),
     ).filter("target <> ''")
     if not subscripts:
         s = s.filter(~F.contains("target", F.lit("[")))
     joined = F.when(F.col("op").isin("", ":"), F.col("rhs")).otherwise(F.concat_ws(" ", "target", "op", "rhs"))
-    return s.select("file", "language", "line", "target", "op", joined.alias("value"))
+    return s.select("file", "language", *keep, "line", "target", "op", joined.alias("value"))
 
 
-def extract_calls(stmts: DataFrame) -> DataFrame:
-    """``(file, language, line, col, function_name, full_text, args)``, nested calls included, headers left out."""
-    s = stmts.filter(F.contains("text", F.lit("("))).withColumn("_h", _by_language(HEADER, F.col("text"), 1))
-    c = s.select("file", "language", "line", "_h", F.explode(calls_udf()(F.col("text"))).alias("c"))
+def extract_calls(stmts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(file, language, keep…, line, col, function_name, full_text, args)``, nested calls included, headers left out."""
+    s = stmts.filter(F.contains("text", F.lit("("))).withColumn("_h", by_language(HEADER, F.col("text"), 1))
+    c = s.select("file", "language", *keep, "line", "_h", F.explode(calls_udf()(F.col("text"))).alias("c"))
     return c.filter((F.col("_h") == "") | (F.col("c.name") != F.col("_h"))).select(
-        "file", "language", "line", "c.col", F.col("c.name").alias("function_name"), "c.full_text", "c.args"
+        "file", "language", *keep, "line", "c.col", F.col("c.name").alias("function_name"), "c.full_text", "c.args"
     )
 
 
@@ -100,8 +113,8 @@ def _param_names(language, params) -> Column:
 def extract_functions(stmts: DataFrame) -> DataFrame:
     """``(file, language, name, params, start_line, end_line)``."""
     s = stmts.select(
-        "file", "language", "line", "end_line", _by_language(HEADER, F.col("text"), 0).alias("_all"),
-        _by_language(HEADER, F.col("text"), 1).alias("_n"), _by_language(HEADER, F.col("text"), 2).alias("_p"),
+        "file", "language", "line", "end_line", by_language(HEADER, F.col("text"), 0).alias("_all"),
+        by_language(HEADER, F.col("text"), 1).alias("_n"), by_language(HEADER, F.col("text"), 2).alias("_p"),
     ).filter("_all <> ''")
     return s.select(
         "file", "language", F.when(F.col("_n") == "", ANONYMOUS).otherwise(F.col("_n")).alias("name"),

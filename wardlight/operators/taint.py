@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import MAX_CALL_DEPTH, PARAMETER_MARKS, PARAMETER_MARKS_LOWER, RECEIVER_NAMES, SINK_TEXT_CHARS
 from wardlight.functions.cols import contains_any
 from wardlight.operators import blocks, extract
+from wardlight.operators.extract import ASSIGN, by_language
 from wardlight.operators.framework import framework_detect, framework_sources
-from wardlight.operators.intervals import enclosing_function
 from wardlight.operators.iterate import fixpoint
 from wardlight.operators.rules_match import by_language_array, rule_arrays, sink_candidates
-from wardlight.session import checkpointed
+from wardlight.session import checkpointed, written
 
 IDENT = r"[A-Za-z_$][\w$]*"
 
@@ -58,39 +58,41 @@ def tainted_in_text(texts: DataFrame, tainted: DataFrame, text: str = "text", ke
 
 
 class CodeFacts:
-    """The facts of a set of code files that the taint operators share, each computed once."""
+    """The facts of a set of code files that the taint operators share.
+
+    Statement rows carry their function, their framework and their place in the control flow, so definitions, calls
+    and uses are read off the same rows without joins. They are written once to the shared folder.
+    """
 
     def __init__(self, files: DataFrame, rules: DataFrame):
         self.files = files
         self.rules = rules
         self.sanitizers = rule_arrays(rules, "sanitizers")
         self.rule_sources = rule_arrays(rules, "sources")
-        stmts = extract.statements(files)
-        self.functions = extract.extract_functions(stmts)
-        roled = blocks.with_roles(stmts, self.functions)
-        # a header line belongs to the scope around it, so a function's span starts one line below
-        scoped = enclosing_function(roled, self.functions.filter("end_line > start_line").selectExpr("file", "name", "start_line + 1 as start_line", "end_line"))
-        # statement rows feed every later step: written once, read many times
-        header = F.when(F.col("func_start") > 0, F.col("func_start") - 1).otherwise(F.col("func_start"))
-        self.stmts = checkpointed(scoped.withColumn("func_start", header))
+        told = framework_detect(files.select("file", "language", "content"))
+        self.stmts = written(blocks.with_roles(extract.statements(told, keep=("framework",))).drop("parent_text"), "stmts")
         self.functions = extract.extract_functions(self.stmts)
-        self.calls = extract.extract_calls(self.stmts)
-        self.assignments = extract.extract_assignments(self.stmts)
+        self.calls = extract.extract_calls(self.stmts, keep=("func",))
+        self.assignments = extract.extract_assignments(self.stmts, keep=("framework", "func", "func_start", "block"))
 
-    def file_sources(self) -> DataFrame:
-        """``(file, sources)``: lower-case source texts of language and framework."""
-        own = by_language_array(self.rule_sources)
-        extra = F.transform(framework_sources(F.col("framework")), F.lower)
-        return framework_detect(self.files).select("file", F.array_union(own, extra).alias("sources"))
+    def sources(self) -> Column:
+        """Lower-case source texts of the row's language and framework."""
+        return F.array_union(by_language_array(self.rule_sources), F.transform(framework_sources(F.col("framework")), lambda s: F.lower(s)))
+
+    def has_source(self, text) -> Column:
+        return F.exists(self.sources(), lambda s: F.contains(F.lower(text), s))
 
     def definitions(self) -> DataFrame:
-        """Assignments with their place in the program: ``(…, func, func_start, block, base, weak, from_source)``."""
+        """Assignments with their place in the program: ``(…, func, func_start, block, kind, base, member, weak, from_source)``."""
         loc = extract.taint_location(F.col("target"))
-        a = self.assignments.select("file", "line", "language", "target", "value", *[c.alias(k) for k, c in loc.items()])
-        place = self.stmts.select("file", "line", "func", "func_start", "block")
-        j = a.join(place, ["file", "line"]).join(self.file_sources(), "file")
-        src = F.exists("sources", lambda s: F.contains(F.lower(F.col("value")), s))
-        return j.withColumn("from_source", src).withColumn("weak", F.col("kind") != "var").drop("sources")
+        a = self.assignments.select("file", "line", "language", "framework", "func", "func_start", "block", "target", "value", *[c.alias(k) for k, c in loc.items()])
+        return a.withColumn("from_source", self.has_source(F.col("value"))).withColumn("weak", F.col("kind") != "var")
+
+    def sinks(self) -> DataFrame:
+        """Statements with a candidate sink: ``(file, line, rule_id)``."""
+        if not hasattr(self, "_sinks"):
+            self._sinks = checkpointed(sink_candidates(self.calls, self.rules).select("file", "line", "rule_id").distinct())
+        return self._sinks
 
 
 def taint_gen_kill(facts: CodeFacts) -> DataFrame:
@@ -107,51 +109,59 @@ def taint_gen_kill(facts: CodeFacts) -> DataFrame:
 
 
 class DefUse:
-    """Nodes and static edges for the fixpoint."""
+    """Nodes and static edges for the fixpoint.
+
+    Only files with both a place where taint starts and a candidate sink can report, so everything else is dropped
+    before the edges are built. The edge tables are partitioned once on the columns they are joined by; a round of the
+    fixpoint then moves its new rows only.
+    """
 
     def __init__(self, facts: CodeFacts):
         self.facts = facts
         san = by_language_array(facts.sanitizers)
-        d = facts.definitions().withColumn("_safe", safe_identifiers(F.col("value"), san))
+        self.handlers = checkpointed(handler_param_seed(facts))
+        d = facts.definitions()
+        starts = d.filter("from_source").select("file").unionByName(self.handlers.select("file")).distinct()
+        files = checkpointed(facts.sinks().select("file").distinct().join(starts, "file", "left_semi"))
+        d = d.join(files, "file", "left_semi").withColumn("_safe", safe_identifiers(F.col("value"), san))
         d = d.withColumn("uses", F.when(F.col("from_source"), F.array().cast("array<string>")).otherwise(F.array_except(identifiers(F.col("value")), "_safe")))
         d = d.withColumn("uses", F.when(F.col("weak"), F.array_union("uses", F.array("base"))).otherwise(F.col("uses")))
-        self.defs = checkpointed(d.select("file", "line", "func", "func_start", F.col("block").alias("b"), "base", "weak", "from_source", "uses"))
-        text = facts.stmts.filter(F.contains("text", F.lit("("))).select(
-            "file", "line", "func", F.col("block").alias("b"), F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san)).alias("uses"))
-        defs = self.defs.select("file", "b", "base", "line", "func", "weak", "uses")
+        self.defs = checkpointed(d.select("file", "line", "func", "func_start", (F.col("block") * 4).alias("b"), "base", "from_source", "uses"))
+        stmts = facts.stmts.join(files, "file", "left_semi")
+        # text uses matter at sink statements only
+        text = stmts.join(facts.sinks().select("file", "line").distinct(), ["file", "line"], "left_semi").select(
+            "file", "line", (F.col("block") * 4).alias("b"), F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san)).alias("uses"))
         # every use finds the last definition before its own line in the same block, or the block entry (0)
-        uses = defs.select("file", "b", F.explode("uses").alias("base"), "line", F.lit("def").alias("role"), F.col("base").alias("target")).unionByName(
+        uses = self.defs.select("file", "b", F.explode("uses").alias("base"), "line", F.lit("def").alias("role"), F.col("base").alias("target")).unionByName(
             text.select("file", "b", F.explode("uses").alias("base"), "line", F.lit("text").alias("role"), F.lit("").alias("target")))
         points = uses.select("file", "b", "base", "line", "role", "target", F.lit(None).cast("bigint").alias("_d"), F.lit(0).alias("_o")).unionByName(
-            defs.select("file", "b", "base", "line", F.lit("point").alias("role"), F.lit("").alias("target"), F.col("line").alias("_d"), F.lit(1).alias("_o")))
+            self.defs.select("file", "b", "base", "line", F.lit("point").alias("role"), F.lit("").alias("target"), F.col("line").alias("_d"), F.lit(1).alias("_o")))
         before = W.partitionBy("file", "b", "base").orderBy("line", "_o").rowsBetween(W.unboundedPreceding, -1)
-        resolved = points.withColumn("from", F.coalesce(F.max("_d").over(before), F.lit(0))).filter("role <> 'point'")
-        self.uses = checkpointed(resolved.select("file", "b", "base", "from", "line", "role", "target"))
-        last = self.defs.groupBy("file", "b", "base").agg(F.max("line").alias("line"))
-        self.exits = last
-        self.block_edges = blocks.block_edges(facts.stmts).select("file", F.col("src").alias("_s"), F.col("dst").alias("_t"))
-        self.block_edges = checkpointed(self.block_edges)
+        resolved = checkpointed(points.withColumn("from", F.coalesce(F.max("_d").over(before), F.lit(0))).filter("role <> 'point'"))
+        node = ["file", "b", "base", "line"]
+        self.flow = checkpointed(resolved.filter("role = 'def'").select(
+            "file", "b", "base", F.col("from").alias("line"), F.col("line").alias("_l"), F.col("target").alias("_v")), by=node)
+        self.text_uses = resolved.filter("role = 'text'").select("file", "b", "base", F.col("from").alias("line"), F.col("line").alias("sink_line"))
+        self.exits = checkpointed(self.defs.groupBy("file", "b", "base").agg(F.max("line").alias("_last")), by=node[:3])
+        self.block_edges = checkpointed(blocks.block_edges(stmts).select("file", F.col("src").alias("b"), F.col("dst").alias("_t")), by=node[:2])
+        # first block of every function body
+        self.entries = stmts.filter(F.col("parent") == F.col("func_start")).groupBy("file", F.col("func_start").alias("start_line")).agg((F.min("block") * 4).alias("b"))
 
     def source_nodes(self) -> DataFrame:
         """Definitions from a source: state rows ``(file, b, base, line)``; ``line`` 0 means the entry of block ``b``."""
-        return self.defs.filter("from_source").select("file", (F.col("b") * 4).alias("b"), "base", "line")
+        return self.defs.filter("from_source").select("file", "b", "base", "line")
 
     def param_nodes(self, params: DataFrame) -> DataFrame:
-        """Entry state for ``(file, start_line, base)``: the parameter at the first block of the function body."""
-        first = self.facts.stmts.filter(F.col("parent") == F.col("func_start")).groupBy("file", F.col("func_start").alias("start_line")).agg(F.min("block").alias("b"))
-        return params.join(first, ["file", "start_line"]).select("file", (F.col("b") * 4).alias("b"), "base", F.lit(0).cast("bigint").alias("line"))
+        """Entry state for ``(…, file, start_line, base)``: the parameter at the first block of the function body."""
+        return params.join(self.entries, ["file", "start_line"]).withColumn("line", F.lit(0).cast("bigint"))
 
     def step(self, tag: list[str]):
         """One round over the state ``(tag…, file, b, base, line)``."""
-        uses = self.uses.filter("role = 'def'").select("file", (F.col("b") * 4).alias("b"), "base", F.col("from").alias("line"), F.col("line").alias("_l"), F.col("target").alias("_v"))
-        exits = self.exits.select("file", (F.col("b") * 4).alias("b"), "base", F.col("line").alias("_last"))
-        edges = self.block_edges
 
         def run(front: DataFrame) -> DataFrame:
-            inside = front.join(uses, ["file", "b", "base", "line"]).select(*tag, "file", "b", F.col("_v").alias("base"), F.col("_l").alias("line"))
-            leaving = front.join(exits, ["file", "b", "base"], "left").filter((F.col("_last").isNull() & (F.col("line") == 0)) | (F.col("_last") == F.col("line")))
-            moved = leaving.join(edges, (leaving["file"] == edges["file"]) & (leaving["b"] == edges["_s"])).select(
-                *tag, leaving["file"], F.col("_t").alias("b"), "base", F.lit(0).cast("bigint").alias("line"))
+            inside = front.join(self.flow, ["file", "b", "base", "line"]).select(*tag, "file", "b", F.col("_v").alias("base"), F.col("_l").alias("line"))
+            leaving = front.join(self.exits, ["file", "b", "base"], "left").filter(F.coalesce("_last", F.lit(0)) == F.col("line"))
+            moved = leaving.join(self.block_edges, ["file", "b"]).select(*tag, "file", F.col("_t").alias("b"), "base", F.lit(0).cast("bigint").alias("line"))
             return inside.unionByName(moved)
 
         return run
@@ -163,11 +173,8 @@ class DefUse:
     def sink_hits(self, state: DataFrame, tag: list[str] | None = None) -> DataFrame:
         """Tainted names in statements that hold a sink: ``(tag…, file, rule_id, sink_line, var)``."""
         tag = tag or []
-        sinks = sink_candidates(self.facts.calls, self.facts.rules).select("file", "line", "rule_id").distinct()
-        u = self.uses.filter("role = 'text'").select("file", (F.col("b") * 4).alias("b"), "base", F.col("from"), F.col("line").alias("sink_line"))
-        at = u.join(sinks.withColumnRenamed("line", "sink_line"), ["file", "sink_line"])
-        s = state.withColumnRenamed("line", "from")
-        return s.join(at, ["file", "b", "base", "from"]).select(*tag, "file", "rule_id", "sink_line", F.col("base").alias("var")).distinct()
+        at = state.join(self.text_uses, ["file", "b", "base", "line"]).select(*tag, "file", "sink_line", F.col("base").alias("var"))
+        return at.join(self.facts.sinks().withColumnRenamed("line", "sink_line"), ["file", "sink_line"]).select(*tag, "file", "rule_id", "sink_line", "var").distinct()
 
 
 def handler_param_seed(facts: CodeFacts) -> DataFrame:
@@ -182,7 +189,7 @@ def handler_param_seed(facts: CodeFacts) -> DataFrame:
 def taint_fixpoint(facts: CodeFacts, du: DefUse | None = None) -> DataFrame:
     """Source-to-sink hits inside functions and at module level: ``(file, func, rule_id, sink_line, var, origin_line, sink_text)``."""
     du = du or DefUse(facts)
-    seed = du.source_nodes().unionByName(du.param_nodes(handler_param_seed(facts)))
+    seed = du.source_nodes().unionByName(du.param_nodes(du.handlers).select("file", "b", "base", "line"))
     state = du.reach(seed)
     hits = du.sink_hits(state)
     place = facts.stmts.select("file", F.col("line").alias("sink_line"), "func", "func_start", F.substring("text", 1, SINK_TEXT_CHARS).alias("sink_text"))
@@ -197,17 +204,15 @@ def taint_fixpoint(facts: CodeFacts, du: DefUse | None = None) -> DataFrame:
 def taint_sinks(facts: CodeFacts, tainted: DataFrame) -> DataFrame:
     """Statements with a sink and a tainted, unsanitized name, whatever the path: ``tainted`` is ``(file, base)``."""
     san = by_language_array(facts.sanitizers)
-    sinks = sink_candidates(facts.calls, facts.rules).select("file", "line", "rule_id").distinct()
     t = facts.stmts.filter(F.contains("text", F.lit("("))).select("file", "line", "text", F.explode(F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san))).alias("base"))
     hit = t.join(tainted.select("file", "base").distinct(), ["file", "base"])
-    return hit.join(sinks, ["file", "line"]).select("file", "line", "rule_id", F.col("base").alias("var"), F.substring("text", 1, SINK_TEXT_CHARS).alias("sink_text"))
+    return hit.join(facts.sinks(), ["file", "line"]).select("file", "line", "rule_id", F.col("base").alias("var"), F.substring("text", 1, SINK_TEXT_CHARS).alias("sink_text"))
 
 
 # ---------------------------------------------------------------------------- calls between functions
 def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """``(file, caller, callee, line, col, args, full_text)`` for calls of functions defined in the same file."""
-    spans = functions.filter("end_line > start_line").selectExpr("file", "name", "start_line", "end_line")
-    placed = enclosing_function(calls, spans).withColumn("callee", F.trim(F.element_at(F.split("function_name", r"\.|->|::"), -1)))
+    """``(file, caller, callee, line, col, args, full_text)`` for calls (with their ``func``) of functions defined in the same file."""
+    placed = calls.withColumn("callee", F.trim(F.element_at(F.split("function_name", r"\.|->|::"), -1)))
     known = functions.select("file", F.col("name").alias("callee")).distinct()
     return placed.join(known, ["file", "callee"]).select("file", F.col("func").alias("caller"), "callee", "line", "col", "args", "full_text")
 
@@ -267,23 +272,25 @@ def interprocedural_taint(facts: CodeFacts, du: DefUse | None = None) -> DataFra
     ctx = checkpointed(interprocedural_contexts(facts))
     starts = facts.functions.select("file", F.col("name").alias("callee"), "start_line")
     params = ctx.select("file", "callee", "param").distinct().join(starts, ["file", "callee"])
-    first = facts.stmts.filter(F.col("parent") == F.col("func_start")).groupBy("file", F.col("func_start").alias("start_line")).agg(F.min("block").alias("b"))
-    seed = params.join(first, ["file", "start_line"]).select(
-        "callee", "param", "file", (F.col("b") * 4).alias("b"), F.col("param").alias("base"), F.lit(0).cast("bigint").alias("line"))
+    seed = du.param_nodes(params.withColumn("base", F.col("param")))
     hits = du.sink_hits(du.reach(seed, ["callee", "param"]), ["callee", "param"])
     return ctx.withColumnRenamed("line", "call_line").join(hits, ["file", "callee", "param"]).select("file", "callee", "call_line", "rule_id", "sink_line", "var").distinct()
 
 
 # ---------------------------------------------------------------------------- flow-insensitive line order
 def function_returns_taint(facts: CodeFacts) -> DataFrame:
-    """Functions with a source in a return or an assignment of their span: ``(file, name)``."""
-    src = facts.file_sources()
-    spans = facts.functions.filter("end_line > start_line").select("file", "name", "start_line", "end_line")
-    texts = extract.extract_returns(facts.stmts, tuple(extract.ASSIGN) + ("java", "csharp", "c", "cpp")).select("file", "line", "value").unionByName(
-        facts.assignments.select("file", "line", "value"))
-    hit = texts.join(src, "file").filter(F.exists("sources", lambda s: F.contains(F.lower(F.col("value")), s))).select("file", "line")
-    j = hit.join(spans, "file").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return j.select("file", "name").distinct()
+    """Functions with a source in a return or an assignment of their span: ``(file, name)``.
+
+    A statement counts for its innermost function and for the ones around it, which are the parents of its function.
+    """
+    value = F.coalesce(F.nullif(by_language(ASSIGN, F.col("text"), 3), F.lit("")), F.nullif(F.regexp_extract("text", extract.RETURN, 1), F.lit("")))
+    s = facts.stmts.withColumn("_v", value).filter("_v is not null")
+    hit = s.filter(facts.has_source(F.col("_v"))).select("file", F.col("func_start").alias("start_line"), "line").distinct()
+    spans = facts.functions.select("file", "name", "start_line", "end_line")
+    own = hit.select("file", "start_line").distinct().join(spans, ["file", "start_line"]).select("file", "name")
+    inner = hit.select("file", F.col("start_line").alias("_at")).distinct().filter("_at > 0")
+    outer = inner.join(spans, "file").filter((F.col("start_line") < F.col("_at")) & (F.col("_at") <= F.col("end_line"))).select("file", "name")
+    return own.unionByName(outer).distinct()
 
 
 def line_taint_flow(facts: CodeFacts) -> DataFrame:
@@ -306,7 +313,7 @@ def line_taint_flow(facts: CodeFacts) -> DataFrame:
         old = state.withColumnRenamed("since", "_old")
         front = checkpointed(found.join(old, ["file", "base"], "left").filter(F.col("_old").isNull() | (F.col("since") < F.col("_old"))).select("file", "base", "since"))
         state = checkpointed(state.unionByName(front).groupBy("file", "base").agg(F.min("since").alias("since")))
-    sinks = sink_candidates(facts.calls, facts.rules)
+    sinks = checkpointed(sink_candidates(facts.calls, facts.rules))
     texts = facts.calls.select("file", "line", "col", "full_text")
     at = sinks.join(texts, ["file", "line", "col"])
     from wardlight.operators.rules_match import sanitizer_exclude

@@ -288,7 +288,7 @@ EDGES = {
 @query("call_edges", fduck("select file, caller, callee, line, full_text from cedges", "calls", **EDGES))
 def call_edges(t):
     s = stmts(t)
-    return taint.call_edges(extract.extract_calls(s), extract.extract_functions(s)).select("file", "caller", "callee", "line", "full_text")
+    return taint.call_edges(extract.extract_calls(s, keep=("func",)), extract.extract_functions(s)).select("file", "caller", "callee", "line", "full_text")
 
 
 @query("callers_callees", fduck("""
@@ -299,7 +299,7 @@ select f.file, f.name, (select count(*) from cedges e where e.file = f.file and
 def callers_callees(t):
     s = stmts(t)
     f = extract.extract_functions(s)
-    return taint.callers_callees(taint.call_edges(extract.extract_calls(s), f), f)
+    return taint.callers_callees(taint.call_edges(extract.extract_calls(s, keep=("func",)), f), f)
 
 
 def expected(rows, cols, select):
@@ -455,4 +455,4 @@ def block_edges(t):
     from wardlight.operators import blocks
 
     s = stmts(t)
-    return blocks.block_edges(blocks.with_roles(s, extract.extract_functions(s)))
+    return blocks.block_edges(blocks.with_roles(s))

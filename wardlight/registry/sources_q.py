@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from wardlight.registry.core import query
+from wardlight.session import scratch_path
 from wardlight.sources import records, tree
 from wardlight.views import RESPONSE_COLS, Tables, duck, lit
 
 
 def scratch_folder(t: Tables, name: str) -> str:
-    """Folder for tables a query writes: below the shared checkpoint folder, a fresh temporary one in local runs."""
-    sc = t.spark.sparkContext
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
-
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    """Folder for tables a query writes."""
+    return scratch_path(t.spark, name)
 
 
 @query("response_log_read", duck(

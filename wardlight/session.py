@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,24 +29,44 @@ def get_spark(app: str = "wardlight", cpus: str | int = 8) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, as named by the session; a temporary one in local runs without the setting."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage; survives executor loss."""
-    _ensure_checkpoint_dir(df.sparkSession)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage; survives executor loss.
+
+    With ``by`` the rows are hash-partitioned on these columns first. The result keeps that partitioning, so later
+    joins on exactly these columns move the other side only.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if by:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table below the shared folder and read it back: lineage is cut and readers take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows; reads no more than one row beyond the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
