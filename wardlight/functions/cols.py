@@ -35,20 +35,34 @@ def quoted(text) -> Column:
     return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside a lambda every captured expression is computed again for each element; as the single element of an array it
+    becomes a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def entropy_bits(text) -> Column:
-    """Shannon entropy of a string in bits per character.
+    """Shannon entropy of a string in bits per character, ``log2 n - sum(c * log2 c) / n``.
 
-    Row-local: for each distinct character its count is the length lost by removing it, so no shuffle is needed.
+    Row-local: in the sorted characters the count of each distinct one is the distance to the start of the next.
     """
-    n = F.length(text).cast("double")
-    chars = F.array_distinct(F.split(text, ""))
-    chars = F.filter(chars, lambda c: c != "")
 
-    def term(acc, c):
-        p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
-        return acc - p * F.log2(p)
+    def from_chars(chars):
+        n = F.size(chars)
 
-    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), term)).otherwise(F.lit(0.0))
+        def from_starts(starts):
+            ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array((n + 1).cast("bigint")))
+            counts = F.zip_with(starts, ends, lambda a, b: (b - a).cast("double"))
+            total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+            return F.greatest(F.lit(0.0), F.log2(n.cast("double")) - total / n)
+
+        starts = F.transform(F.array_distinct(chars), lambda c: F.array_position(chars, c))
+        return F.when(n > 0, let(starts, from_starts)).otherwise(F.lit(0.0))
+
+    return let(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")), from_chars)
 
 
 # ---------------------------------------------------------------------------- URLs
@@ -104,5 +118,9 @@ def query_pairs(query) -> Column:
             decode(F.regexp_replace(p, "^[^=]*=", "")).alias("value"),
         ),
     )
-    names = F.transform(pairs, lambda p: p["name"])
-    return F.filter(pairs, lambda p, i: F.array_position(names, p["name"]) == i + 1)
+
+    def first_per_name(ps):
+        names = F.transform(ps, lambda p: p["name"])
+        return let(names, lambda ns: F.filter(ps, lambda p, i: F.array_position(ns, p["name"]) == i + 1))
+
+    return let(pairs, first_per_name)

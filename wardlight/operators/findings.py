@@ -32,10 +32,9 @@ def severity_normalize(col, dialect: str) -> Column:
 def path_normalize(col) -> Column:
     """Forward slashes; everything up to ``temp/<folder>/`` is dropped."""
     slashed = F.replace(col, F.lit("\\"), F.lit("/"))
-    parts = F.split(slashed, "/")
-    at = F.array_position(parts, "temp").cast("int")
-    rest = F.array_join(F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0))), "/")
-    return F.when(at > 0, rest).otherwise(slashed)
+    # everything through the first segment "temp" and the one after it
+    cut = F.regexp_replace(slashed, r"^(?:[^/]*/)*?temp(?:$|/[^/]*(?:/|$))", "")
+    return F.when(F.contains(slashed, F.lit("temp")), cut).otherwise(slashed)
 
 
 def fingerprint(tool, path, line, issue, digest: bool = False) -> Column:

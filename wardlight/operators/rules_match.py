@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions.cols import let
 from wardlight.session import small_side
 
 PATTERNS_PER_PASS = 2_000
@@ -56,7 +57,7 @@ def pattern_passes(rules: DataFrame, kind: str) -> list[dict[str, list[tuple[str
 
 def _hits(text, patterns: list[tuple[str, str]]) -> Column:
     lits = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(p).alias("pattern")) for r, p in patterns])
-    return F.filter(lits, lambda x: F.contains(text, x["pattern"]))
+    return let(F.lower(text), lambda low: F.filter(lits, lambda x: F.contains(low, x["pattern"])))
 
 
 def pattern_scan(df: DataFrame, text, rules: DataFrame, kind: str) -> DataFrame:
@@ -69,7 +70,7 @@ def pattern_scan(df: DataFrame, text, rules: DataFrame, kind: str) -> DataFrame:
         expr = None
         for lang, pats in sorted(by_lang.items()):
             test = F.col("language") == lang
-            expr = F.when(test, _hits(F.lower(text), pats)) if expr is None else expr.when(test, _hits(F.lower(text), pats))
+            expr = F.when(test, _hits(text, pats)) if expr is None else expr.when(test, _hits(text, pats))
         part = df.withColumn("_h", F.explode(expr)).select(*df.columns, "_h.rule_id", "_h.pattern")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else df.withColumn("rule_id", F.lit("")).withColumn("pattern", F.lit("")).limit(0)

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import MAX_CALL_DEPTH, PARAMETER_MARKS, PARAMETER_MARKS_LOWER, RECEIVER_NAMES, SINK_TEXT_CHARS
-from wardlight.functions.cols import contains_any
+from wardlight.functions.cols import contains_any, let
 from wardlight.operators import blocks, extract
 from wardlight.operators.extract import ASSIGN, by_language
 from wardlight.operators.framework import framework_detect, framework_sources
@@ -36,9 +36,12 @@ def wrapped_identifiers(text, sanitizers) -> Column:
     """Identifiers that are the first argument of a sanitizer call: ``san(name``, ``x.san( name``."""
     pattern = F.lit(r"([\w.$]+)\s*\((?=\s*([\w$]+))")
     pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("c"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
-    names = F.transform(sanitizers, lambda s: F.rtrim(s, F.lit("(")))
-    hit = F.filter(pairs, lambda p: F.exists(names, lambda s: F.endswith(F.lower(p["c"]), s)))
-    return F.transform(hit, lambda p: p["v"])
+
+    def wraps(names):
+        return F.filter(pairs, lambda p: let(F.lower(p["c"]), lambda c: F.exists(names, lambda s: F.endswith(c, s))))
+
+    hit = F.when(F.contains(text, F.lit("(")), let(F.transform(sanitizers, lambda s: F.rtrim(s, F.lit("("))), wraps))
+    return F.coalesce(F.transform(hit, lambda p: p["v"]), F.array().cast("array<string>"))
 
 
 def parameterised_identifiers(text) -> Column:
@@ -80,7 +83,7 @@ class CodeFacts:
         return F.array_union(by_language_array(self.rule_sources), F.transform(framework_sources(F.col("framework")), lambda s: F.lower(s)))
 
     def has_source(self, text) -> Column:
-        return F.exists(self.sources(), lambda s: F.contains(F.lower(text), s))
+        return let(F.lower(text), lambda low: F.exists(self.sources(), lambda s: F.contains(low, s)))
 
     def definitions(self) -> DataFrame:
         """Assignments with their place in the program: ``(…, func, func_start, block, kind, base, member, weak, from_source)``."""

@@ -11,7 +11,7 @@ from wardlight.catalog.fixed import (
     SERVER_PRODUCTS, UNIX_FILE_INDICATORS, WINDOWS_FILE_INDICATORS,
 )
 from wardlight.functions.code import similarity_udf
-from wardlight.functions.cols import any_of, contains_any, first_contained, lit_map
+from wardlight.functions.cols import any_of, contains_any, first_contained, let, lit_map
 from wardlight.operators.findings import severity_from_cvss
 
 # check -> (severity, cvss score, cwe, owasp, confidence)
@@ -135,7 +135,7 @@ def db_error_scan(responses: DataFrame, patterns: list[str] = DB_ERROR_PATTERNS,
         gate = ["sql", "syntax", "quot", "ora-", "oracle", "pg::", "pg_query"]
     r = responses.select("resp_id", "url", F.lower("body").alias("_b"))
     if gate:
-        r = r.filter(contains_any(F.col("_b"), gate))
+        r = r.filter(let(F.col("_b"), lambda b: contains_any(b, gate)))
     found = F.coalesce(*[
         F.when(F.col("_b").rlike(p), F.struct(F.lit(i + 1).alias("pattern_no"), F.regexp_extract("_b", p, 0).alias("matched"))) for i, p in enumerate(patterns)])
     return r.select("resp_id", "url", found.alias("f")).filter("f is not null").select("resp_id", "url", "f.*")
@@ -146,7 +146,7 @@ def indicator_scan(responses: DataFrame) -> DataFrame:
     body, low = F.col("body"), F.lower("body")
 
     def folded(words):
-        return F.coalesce(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words])
+        return let(low, lambda b: F.coalesce(*[F.when(F.contains(b, F.lit(w.lower())), F.lit(w)) for w in words]))
 
     kinds = {
         "file": F.coalesce(first_contained(body, UNIX_FILE_INDICATORS), folded(WINDOWS_FILE_INDICATORS)),
