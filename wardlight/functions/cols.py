@@ -44,6 +44,15 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(df, keep: list, array, name: str):
+    """``df.select(keep…, explode(array) as name)`` with the array computed once per row.
+
+    For a plain explode the optimizer adds a filter on the array's size and so computes the expression again; the outer
+    form is left alone, and rows of empty arrays are dropped afterwards. Elements must not be null.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def entropy_bits(text) -> Column:
     """Shannon entropy of a string in bits per character, ``log2 n - sum(c * log2 c) / n``.
 

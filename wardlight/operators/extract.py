@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.code import calls_udf, outline_udf
+from wardlight.functions.cols import explode_once
 
 _TARGET = r"[A-Za-z_$][\w.$]*(?:\[[^\]=]*\])?"
 _OP = r"([-+*/%|&.]?)"
@@ -130,7 +131,7 @@ def extract_returns(stmts: DataFrame, languages: tuple[str, ...] = ("python",))
 def extract_strings(lines: DataFrame, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
     """String literals with their quotes."""
     quoted = lines.filter(F.col("text").rlike("[\"'`]"))
-    return quoted.select(*keep, F.explode(F.regexp_extract_all("text", F.lit(STRING), F.lit(0))).alias("literal"))
+    return explode_once(quoted, list(keep), F.regexp_extract_all("text", F.lit(STRING), F.lit(0)), "literal")
 
 
 def taint_location(text) -> dict[str, Column]:

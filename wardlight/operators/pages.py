@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import JS_ENDPOINT_PATTERNS, ROBOTS_PATTERN, SITEMAP_CAP, SITEMAP_PATTERN, SKIP_INPUT_TYPES, SKIP_LINK_PREFIXES
-from wardlight.functions.cols import any_of, endpoint_key, endpoint_url, host_of, query_pairs, resolve_url, url_part
+from wardlight.functions.cols import any_of, endpoint_key, endpoint_url, explode_once, host_of, query_pairs, resolve_url, url_part
 from wardlight.operators.dedup import dedup_first_seen, first_by
 
 ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
@@ -23,7 +23,7 @@ def attribute(tag, name: str) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, target)``: same-host http(s) links, script, mail and fragment links left out."""
-    a = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("href"))
+    a = explode_once(pages, ["page_id", "url"], F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)), "href")
     skip = any_of([F.startswith("href", F.lit(p)) for p in SKIP_LINK_PREFIXES])
     t = a.filter((F.col("href") != "") & ~skip).select("page_id", "url", resolve_url(F.col("url"), F.col("href")).alias("target"))
     return t.filter((host_of(F.col("target")) == host_of(F.col("url"))) & url_part(F.col("target"), "PROTOCOL").isin("http", "https"))
@@ -47,7 +47,7 @@ def page_forms(pages: DataFrame) -> DataFrame:
 
 def page_scripts(pages: DataFrame) -> DataFrame:
     """``(page_id, url, kind, value)``: inline script text and same-host script addresses."""
-    s = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(0))).alias("tag"))
+    s = explode_once(pages, ["page_id", "url"], F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(0)), "tag")
     head = F.regexp_extract("tag", r"(?is)^<script\b[^>]*>", 0)
     src = attribute(head, "src")
     inline = F.regexp_extract("tag", r"(?is)^<script\b[^>]*>(.*)</script>$", 1)
@@ -59,7 +59,7 @@ def page_scripts(pages: DataFrame) -> DataFrame:
 def js_endpoints(scripts: DataFrame) -> DataFrame:
     """``(page_id, url, endpoint)`` of same-host addresses in script text ``value``; all patterns in one pass."""
     all_hits = F.flatten(F.array(*[F.regexp_extract_all("value", F.lit("(?i)" + p), F.lit(1)) for p in JS_ENDPOINT_PATTERNS]))
-    c = scripts.select("page_id", "url", F.explode(F.array_distinct(F.transform(all_hits, lambda x: F.trim(x)))).alias("c"))
+    c = explode_once(scripts, ["page_id", "url"], F.array_distinct(F.transform(all_hits, lambda x: F.trim(x))), "c")
     c = c.filter(F.startswith("c", F.lit("/")) | F.startswith("c", F.lit("http")))
     full = c.select("page_id", "url", resolve_url(F.col("url"), F.col("c")).alias("endpoint"))
     return full.filter(host_of(F.col("endpoint")) == host_of(F.col("url"))).distinct()

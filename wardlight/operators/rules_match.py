@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.cols import let
+from wardlight.functions.cols import explode_once, let
 from wardlight.session import small_side
 
 PATTERNS_PER_PASS = 2_000
@@ -23,7 +23,7 @@ def tokens_of(text) -> Column:
 def rule_index_build(rules: DataFrame) -> DataFrame:
     """Inverted index ``(language, token, rule_id)``; a set of rows, so a token in every rule stays spread out."""
     s = rules.select("language", "rule_id", F.explode("sinks").alias("sink"))
-    return s.select("language", "rule_id", F.explode(tokens_of(F.col("sink"))).alias("token")).distinct()
+    return explode_once(s, ["language", "rule_id"], tokens_of(F.col("sink")), "token").distinct()
 
 
 def sink_candidates(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("file", "line", "col")) -> DataFrame:
@@ -36,7 +36,7 @@ def sink_candidates(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] =
     )
     c = calls.select("language", *keep, "function_name", F.lower("full_text").alias("_t"), F.lower("function_name").alias("_f"))
     head = F.array_union(tokens_of(F.col("_f")), tokens_of(F.substring_index("_t", "(", 1)))
-    hit = c.withColumn("token", F.explode(head)).join(small_side(index), ["language", "token"])
+    hit = explode_once(c, c.columns, head, "token").join(small_side(index), ["language", "token"])
     found = F.exists("_sinks", lambda s: F.contains(F.col("_t"), s) | F.contains(F.col("_f"), s))
     return hit.filter(found).select(*keep, "function_name", "rule_id").distinct()
 
@@ -71,7 +71,7 @@ def pattern_scan(df: DataFrame, text, rules: DataFrame, kind: str) -> DataFrame:
         for lang, pats in sorted(by_lang.items()):
             test = F.col("language") == lang
             expr = F.when(test, _hits(text, pats)) if expr is None else expr.when(test, _hits(text, pats))
-        part = df.withColumn("_h", F.explode(expr)).select(*df.columns, "_h.rule_id", "_h.pattern")
+        part = explode_once(df, df.columns, expr, "_h").select(*df.columns, "_h.rule_id", "_h.pattern")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else df.withColumn("rule_id", F.lit("")).withColumn("pattern", F.lit("")).limit(0)
 

@@ -10,7 +10,7 @@ from wardlight.catalog.fixed import (
     PLACEHOLDER_VALUES, REDOS_MAX_LENGTH, REDOS_MIN_LENGTH, REDOS_PATTERNS, SECRET_PATTERNS, SENSITIVE_FILE_PATTERN,
     SKIPPED_PATH_PARTS,
 )
-from wardlight.functions.cols import contains_any, entropy_bits
+from wardlight.functions.cols import contains_any, entropy_bits, explode_once
 from wardlight.operators.dedup import first_by
 from wardlight.operators.files import basename
 
@@ -28,7 +28,7 @@ def detect_secret_patterns(lines: DataFrame, patterns=SECRET_PATTERNS, keep: tup
         F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule_id"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("m"))
         for i, (rule, p) in enumerate(patterns)
     ])
-    rows = lines.filter(gate).select(*keep, F.explode(F.filter(found, lambda x: F.size(x["m"]) > 0)).alias("f"))
+    rows = explode_once(lines.filter(gate), list(keep), F.filter(found, lambda x: F.size(x["m"]) > 0), "f")
     return rows.select(*keep, "f.rule_id", "f.ord", F.posexplode("f.m").alias("pos", "match"))
 
 
@@ -44,7 +44,7 @@ def detect_secret_entropy(strings: DataFrame, min_length: int = ENTROPY_MIN_LENG
 
 def quoted_assignments(lines: DataFrame, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
     """``name = "literal"`` wherever it stands on a line."""
-    m = lines.filter(F.contains("text", F.lit("="))).select(*keep, F.explode(F.regexp_extract_all("text", F.lit(QUOTED_ASSIGNMENT), F.lit(0))).alias("_m"))
+    m = explode_once(lines.filter(F.contains("text", F.lit("="))), list(keep), F.regexp_extract_all("text", F.lit(QUOTED_ASSIGNMENT), F.lit(0)), "_m")
     return m.select(
         *keep, F.regexp_extract("_m", r"^([A-Za-z_][\w.-]*)", 1).alias("target"),
         F.regexp_extract("_m", r"(?s)=\s*(.*)$", 1).alias("literal"),

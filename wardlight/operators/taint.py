@@ -122,7 +122,7 @@ class DefUse:
     def __init__(self, facts: CodeFacts):
         self.facts = facts
         san = by_language_array(facts.sanitizers)
-        self.handlers = checkpointed(handler_param_seed(facts))
+        self.handlers = handler_param_seed(facts)
         d = facts.definitions()
         starts = d.filter("from_source").select("file").unionByName(self.handlers.select("file")).distinct()
         files = checkpointed(facts.sinks().select("file").distinct().join(starts, "file", "left_semi"))
@@ -181,10 +181,8 @@ class DefUse:
 
 
 def handler_param_seed(facts: CodeFacts) -> DataFrame:
-    """Parameters of route handlers: ``(file, start_line, base)``."""
-    from wardlight.operators.lines import source_lines
-
-    flagged = extract.route_handler_flag(facts.functions, source_lines(facts.files.select("file", "content")))
+    """Parameters of route handlers: ``(file, start_line, base)``; decorators are statement lines of their own."""
+    flagged = extract.route_handler_flag(facts.functions, facts.stmts.select("file", "line", "text"))
     p = flagged.filter("is_handler").select("file", "start_line", F.explode("params").alias("base"))
     return p.filter(~F.col("base").isin(RECEIVER_NAMES))
 

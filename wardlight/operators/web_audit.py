@@ -11,7 +11,7 @@ from wardlight.catalog.fixed import (
     SERVER_PRODUCTS, UNIX_FILE_INDICATORS, WINDOWS_FILE_INDICATORS,
 )
 from wardlight.functions.code import similarity_udf
-from wardlight.functions.cols import any_of, contains_any, first_contained, let, lit_map
+from wardlight.functions.cols import any_of, contains_any, explode_once, first_contained, let, lit_map
 from wardlight.operators.findings import severity_from_cvss
 
 # check -> (severity, cvss score, cwe, owasp, confidence)
@@ -93,7 +93,7 @@ def header_audit(responses: DataFrame, keep: tuple[str, ...] = ("resp_id", "url"
         "cache_control": ~has(cache, "no-store") & ~has(cache, "private"),
     }
     failed = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in tests.items()]))
-    return with_metadata(r.select(*keep, F.explode(failed).alias("check")), HEADER_CHECKS)
+    return with_metadata(explode_once(r, list(keep), failed, "check"), HEADER_CHECKS)
 
 
 def cookie_audit(cookies: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def indicator_scan(responses: DataFrame) -> DataFrame:
         "internal": folded(INTERNAL_INDICATORS),
     }
     arr = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("indicator")) for k, v in kinds.items()])
-    return responses.select("resp_id", "url", F.explode(F.filter(arr, lambda x: x["indicator"].isNotNull())).alias("i")).select("resp_id", "url", "i.*")
+    return explode_once(responses, ["resp_id", "url"], F.filter(arr, lambda x: x["indicator"].isNotNull()), "i").select("resp_id", "url", "i.*")
 
 
 def reflection_check(requests: DataFrame) -> DataFrame:

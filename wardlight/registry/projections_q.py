@@ -78,7 +78,7 @@ def _duck_norm(p):
 @query("path_normalize", duck(
     f"select seq, {RAW_PATH} as raw_path, {_duck_norm(RAW_PATH)} as path from findings", "findings"))
 def path_normalize(t):
-    return t.findings().select("seq", F.expr(RAW_PATH).alias("raw_path")).select("seq", "raw_path", fnd.path_normalize(F.col("raw_path")).alias("path"))
+    return t.findings(heavy=True).select("seq", F.expr(RAW_PATH).alias("raw_path")).select("seq", "raw_path", fnd.path_normalize(F.col("raw_path")).alias("path"))
 
 
 @query("finding_fingerprint", duck(
@@ -86,7 +86,7 @@ def path_normalize(t):
     " sha256('bandit:' || file || ':' || cast(line as varchar) || ':' || vuln_class) as digest from findings", "findings"))
 def finding_fingerprint(t):
     args = (F.lit("bandit"), F.col("file"), F.col("line"), F.col("vuln_class"))
-    return t.findings().select("seq", fnd.fingerprint(*args).alias("id"), fnd.fingerprint(*args, digest=True).alias("digest"))
+    return t.findings(heavy=True).select("seq", fnd.fingerprint(*args).alias("id"), fnd.fingerprint(*args, digest=True).alias("digest"))
 
 
 RAW_FINDING = [
@@ -102,7 +102,7 @@ select lower(hex(tool || ':' || file_path || ':' || cast(start_line as varchar)
   case lower(trim(coalesce(severity,'Low'))) when 'medium' then 'Medium' when 'high' then 'High' else 'Low' end as severity from raw)
 where tool <> '' and file_path <> '' and snippet <> ''""", "findings", raw="select " + ", ".join(RAW_FINDING) + " from findings"))
 def normalize_findings(t):
-    return fnd.normalize_findings(t.findings().selectExpr(*RAW_FINDING))
+    return fnd.normalize_findings(t.findings(heavy=True).selectExpr(*RAW_FINDING))
 
 
 REPORT_SQL = [
@@ -134,7 +134,7 @@ select f.seq, coalesce(f.cvss_score, c.v, case f.severity when 'Critical' then 9
     "findings", cc=values(list(CLASS_CVSS.items()), "k, v"), rr="select k, score::double as score, vector from (" + values([(k, *v) for k, v in REPORT_CVSS.items()], "k, score, vector") + ")"))
 def cvss_resolve(t):
     score, vector = fnd.report_cvss(F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("vuln_class"))
-    return t.findings().select("seq", fnd.cvss_resolve(F.col("cvss_score"), F.col("vuln_class"), F.col("severity")).alias("cvss"),
+    return t.findings(heavy=True).select("seq", fnd.cvss_resolve(F.col("cvss_score"), F.col("vuln_class"), F.col("severity")).alias("cvss"),
                                score.alias("report_score"), vector.alias("report_vector"))
 
 
@@ -159,7 +159,7 @@ def evidence_snippet(t):
 select seq, max(trace_len) as steps, string_agg(cast(i as varchar) || '@' || cast(line + i as varchar) || ' ' || case when i = trace_len then left('Sink: ' || repeat(vuln_class || '(tainted) ', 20), 120) else 'Source of ' || vuln_class end, '|' order by i) as trace
 from (select f.*, unnest(generate_series(1, trace_len)) as i from findings f) group by seq""", "findings"))
 def taint_trace_build(t):
-    steps = t.findings().withColumn("ord", F.explode(F.expr("sequence(1, cast(trace_len as int))"))).select(
+    steps = t.findings(heavy=True).withColumn("ord", F.explode(F.expr("sequence(1, cast(trace_len as int))"))).select(
         "seq", "ord", (F.col("line") + F.col("ord")).alias("line"),
         F.when(F.col("ord") == F.col("trace_len"), lines_op.text_cap(F.concat(F.lit("Sink: "), F.repeat(F.concat("vuln_class", F.lit("(tainted) ")), 20)), 120))
         .otherwise(F.concat(F.lit("Source of "), "vuln_class")).alias("description"))

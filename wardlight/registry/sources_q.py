@@ -42,7 +42,7 @@ def history_append(t):
 
 def full_findings(t):
     """F2 findings with the texts and trace of the full record."""
-    f = t.findings()
+    f = t.findings(heavy=True)
     step = F.transform(
         F.sequence(F.lit(1), F.col("trace_len").cast("int")),
         lambda i: F.struct(i.alias("step"), (F.col("line") + i).alias("line"), F.col("file").alias("file"), F.concat(F.lit("step "), i.cast("string")).alias("description")),
@@ -75,7 +75,7 @@ select seq as id, case when length(rule_id) = 6 then '' else rule_id end as rule
   'High' as confidence, 'sast' as scan_type, '' as issue, cast(0 as bigint) as steps, cvss_score from findings""", "findings"))
 def findings_json_import(t):
     """JSON records with some fields left out take the defaults."""
-    f = t.findings()
+    f = t.findings(heavy=True)
     texts = f.select(F.to_json(F.struct(
         F.col("seq").alias("id"), F.when(F.length("rule_id") != 6, F.col("rule_id")).alias("rule_id"), "file", "line",
         F.when(F.col("severity") != "Info", F.col("severity")).alias("severity"), "cvss_score")).alias("json"))

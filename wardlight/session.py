@@ -67,6 +67,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before work that is heavy per row.
+
+    A table of less than one usual split per core may sit in a single file and then runs in one task. Larger inputs
+    already have enough splits and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows; reads no more than one row beyond the bound."""
     return df.limit(max_rows + 1).count() <= max_rows

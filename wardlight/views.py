@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import LANGUAGE_BY_EXT
 from wardlight.catalog.programs import PROGRAMS
 from wardlight.catalog.rules import rule_rows, rules_df
+from wardlight.session import spread
 
 # ---------------------------------------------------------------------------- shared select lists
 FINDING_COLS = [
@@ -82,7 +83,7 @@ class Tables:
 
     # -- source lines ---------------------------------------------------------------------------
     def src_files(self) -> DataFrame:
-        return self.read("documents").select(
+        return spread(self.read("documents").select("doc_id", "source", "text")).select(
             F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
             "source", "doc_id", F.col("text").alias("content"),
         )
@@ -93,21 +94,23 @@ class Tables:
         return source_lines(self.src_files().select("file", "source", "content"), keep=("file", "source"))
 
     # -- findings and scans ---------------------------------------------------------------------
-    def findings(self) -> DataFrame:
-        return self.read("lineitem").selectExpr(*FINDING_COLS)
+    def findings(self, heavy: bool = False) -> DataFrame:
+        """One finding per order line; ``heavy`` deals a small table out to all cores first."""
+        base = self.read("lineitem")
+        return (spread(base) if heavy else base).selectExpr(*FINDING_COLS)
 
     def scans(self) -> DataFrame:
         return self.read("events").selectExpr(*SCAN_COLS)
 
     # -- web ------------------------------------------------------------------------------------
     def responses(self) -> DataFrame:
-        flat = self.read("pages").selectExpr(*RESPONSE_COLS)
+        flat = spread(self.read("pages")).selectExpr(*RESPONSE_COLS)
         pairs = F.array(*[F.struct(F.lit(h).alias("k"), F.col(c).alias("v")) for c, h in HEADER_COLUMNS.items()])
         present = F.filter(pairs, lambda p: p["v"].isNotNull())
         return flat.withColumn("headers", F.map_from_entries(present)).drop(*HEADER_COLUMNS)
 
     def pages(self) -> DataFrame:
-        return self.read("pages")
+        return spread(self.read("pages"))
 
     def probes(self) -> DataFrame:
         return self.read("events").filter("event_type = 'signup'").selectExpr(*PROBE_COLS)
@@ -120,7 +123,7 @@ class Tables:
         programs = self.spark.createDataFrame(
             [(i, n, c) for i, (n, c) in enumerate(PROGRAMS)], "pid int, name string, body string"
         )
-        cust = self.read("customer").select("c_custkey", (F.col("c_custkey") % len(PROGRAMS)).cast("int").alias("pid"))
+        cust = spread(self.read("customer").select("c_custkey")).select("c_custkey", (F.col("c_custkey") % len(PROGRAMS)).cast("int").alias("pid"))
         return cust.join(F.broadcast(programs), "pid").select(
             "pid",
             F.concat(F.lit("src/u"), F.col("c_custkey").cast("string"), F.lit("/"), "name").alias("file"),
