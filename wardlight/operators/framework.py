@@ -37,10 +37,12 @@ def framework_sources(framework) -> Column:
     return F.array_union(F.try_element_at(F.create_map(*flat), framework), table["generic"])
 
 
-def framework_augment(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(file, rule_id, sources)``: the rule's sources together with those of the file's framework."""
-    from wardlight.session import small_side
+def framework_augment(detected: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(language, framework, rule_id, sources)`` for the frameworks that occur: rule, framework and generic sources.
 
+    A file takes its rules through its framework. The list depends on the framework only, so it is made once per
+    framework and not once per file. ``detected`` is the result of ``framework_detect``.
+    """
+    seen = detected.groupBy("language", "framework").agg(F.count("*").alias("n_files"))
     r = rules.select("language", "rule_id", "sources").dropDuplicates(["language", "rule_id"])
-    j = framework_detect(files).select("file", "language", "framework").join(small_side(r), "language")
-    return j.select("file", "framework", "rule_id", F.array_union("sources", framework_sources(F.col("framework"))).alias("sources"))
+    return seen.join(r, "language").select("language", "framework", "n_files", "rule_id", F.array_union("sources", framework_sources(F.col("framework"))).alias("sources"))

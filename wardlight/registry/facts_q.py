@@ -253,14 +253,15 @@ RULE_SOURCES = {"rsrc": values([(r[1], r[0], s) for r in rule_rows() for s in r[
 
 
 @query("framework_augment", duck("""
-select f.file, f.framework, r.rule_id, count(distinct s.source) as n_sources, sum(length(s.source))::bigint as chars from fwd f join rids r on r.language = f.language
+select f.language, f.framework, f.n_files, r.rule_id, count(distinct s.source) as n_sources, sum(length(s.source))::bigint as chars
+from (select language, framework, count(*) as n_files from fwd group by 1, 2) f join rids r on r.language = f.language
 join (select distinct language, rule_id, fw, source from (select language, rule_id, fw.fw, source from rsrc, (select distinct fw from fws) fw
    union all select language, rule_id, fws.fw, fws.source from rids, fws union all select language, rule_id, f2.fw, g.source from rids, (select distinct fw from fws) f2, fws g where g.fw = 'generic')) s
- on s.language = r.language and s.rule_id = r.rule_id and s.fw = f.framework group by 1, 2, 3""", "code", **FW, **FWS, **RULE_SOURCES))
+ on s.language = r.language and s.rule_id = r.rule_id and s.fw = f.framework group by 1, 2, 3, 4""", "code", **FW, **FWS, **RULE_SOURCES))
 def framework_augment(t):
-    a = framework.framework_augment(t.code(), t.rules())
+    a = framework.framework_augment(framework.framework_detect(t.code().select("file", "language", "content")), t.rules())
     total = F.aggregate("sources", F.lit(0).cast("bigint"), lambda acc, s: acc + F.length(s))
-    return a.select("file", "framework", "rule_id", F.size("sources").cast("bigint").alias("n_sources"), total.alias("chars"))
+    return a.select("language", "framework", "n_files", "rule_id", F.size("sources").cast("bigint").alias("n_sources"), total.alias("chars"))
 
 
 # ---------------------------------------------------------------------------- structural checks

@@ -12,17 +12,16 @@ from wardlight.views import duck, lit, values
 
 GK = {
     "gen": "select distinct src as node, src as loc from edges where src % 17 = 0",
-    "kill": "select e.node, g.loc from (select src as node from edges union select dst from edges) e join gen g on e.node % 5 = 0 and g.loc % 2 = 0",
+    "kill": "select distinct l_suppkey as node, l_partkey % (select count(*) from supplier) as loc from lineitem where l_linenumber = 2",
 }
 
 
 def gen_kill(t):
+    """GEN: every 17th vertex makes its own location. KILL: pairs from the second order lines."""
     e = t.edges()
     gen = e.filter("src % 17 = 0").select(F.col("src").alias("node"), F.col("src").alias("loc")).distinct()
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().filter("node % 5 = 0")
-    even = gen.filter("loc % 2 = 0").select("loc")
-    # both sides are reduced sets of one small derived graph; the pair is the definition of KILL itself
-    kill = nodes.withColumn("_j", F.lit(1)).join(even.withColumn("_j", F.lit(1)), "_j").select("node", "loc")
+    vertices = t.read("supplier").agg(F.count("*")).scalar()
+    kill = t.read("lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % vertices).alias("loc")).distinct()
     return e, gen, kill
 
 

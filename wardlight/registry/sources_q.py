@@ -129,19 +129,19 @@ def source_tree_scan(t):
 
 
 def write_tree(files, root):
-    """Write ``(file, text)`` rows as files below ``root``; test helper for folders that tasks can reach."""
+    """Write ``(file, text)`` rows as files below ``root``, a path or an address that Arrow's file systems know."""
 
     def write(batches):
-        import os as _os
-
         import pandas as pd
+        from pyarrow import fs as afs
 
+        fs, base = afs.FileSystem.from_uri(root) if ":" in root else (afs.LocalFileSystem(), root)
         for pdf in batches:
             for name, text in zip(pdf["file"], pdf["text"]):
-                path = _os.path.join(root, name)
-                _os.makedirs(_os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
+                path = f"{base}/{name}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as f:
+                    f.write(text.encode("utf-8"))
             yield pd.DataFrame({"n": [len(pdf)]})
 
     files.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()

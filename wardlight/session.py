@@ -49,15 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def checkpointed(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage; survives executor loss.
 
-    With ``by`` the rows are hash-partitioned on these columns first. The result keeps that partitioning, so later
-    joins on exactly these columns move the other side only.
+    With ``by`` the rows are hash-partitioned and sorted on these columns first, and the result keeps both: later joins
+    on exactly these columns move and sort the other side only. The partitioning of a plan is known up front only
+    without adaptive execution, which is therefore off for this one write.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    if by:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
-    return df.checkpoint(eager=True)
+    if not by:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(parts, *by).sortWithinPartitions(*by).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
