@@ -22,7 +22,7 @@ from wardlight.operators import blocks, extract
 from wardlight.operators.extract import ASSIGN, HEADER, by_language
 from wardlight.operators.framework import framework_detect, framework_sources
 from wardlight.operators.iterate import fixpoint
-from wardlight.operators.rules_match import by_language_array, rule_arrays, sink_candidates
+from wardlight.operators.rules_match import PATTERNS_PER_PASS, by_language_array, rule_arrays, sanitizer_exclude, sink_candidates
 from wardlight.session import checkpointed, written
 
 IDENT = r"[A-Za-z_$][\w$]*"
@@ -91,11 +91,24 @@ class CodeFacts:
         a = self.assignments.select("file", "line", "language", "framework", "func", "func_start", "block", "target", "value", *[c.alias(k) for k, c in loc.items()])
         return a.withColumn("from_source", self.has_source(F.col("value"))).withColumn("weak", F.col("kind") != "var")
 
+    def sink_calls(self) -> DataFrame:
+        """Calls with a candidate sink: ``(file, line, col, full_text, function_name, rule_id)``, written once.
+
+        A sink inside a call stands in the statement as well, so statements without any sink text of their language
+        are dropped before their calls are taken apart.
+        """
+        if not hasattr(self, "_sink_calls"):
+            texts = rule_arrays(self.rules, "sinks")
+            stmts = self.stmts
+            if sum(len(v) for v in texts.values()) <= PATTERNS_PER_PASS:
+                stmts = stmts.filter(let(F.lower("text"), lambda low: F.exists(by_language_array(texts), lambda p: F.contains(low, p))))
+            found = sink_candidates(extract.extract_calls(stmts), self.rules, keep=("file", "line", "col", "full_text"))
+            self._sink_calls = checkpointed(found)
+        return self._sink_calls
+
     def sinks(self) -> DataFrame:
         """Statements with a candidate sink: ``(file, line, rule_id)``."""
-        if not hasattr(self, "_sinks"):
-            self._sinks = checkpointed(sink_candidates(self.calls, self.rules).select("file", "line", "rule_id").distinct())
-        return self._sinks
+        return self.sink_calls().select("file", "line", "rule_id").distinct()
 
 
 def taint_gen_kill(facts: CodeFacts) -> DataFrame:
@@ -313,12 +326,7 @@ def line_taint_flow(facts: CodeFacts) -> DataFrame:
         old = state.withColumnRenamed("since", "_old")
         front = checkpointed(found.join(old, ["file", "base"], "left").filter(F.col("_old").isNull() | (F.col("since") < F.col("_old"))).select("file", "base", "since"))
         state = checkpointed(state.unionByName(front).groupBy("file", "base").agg(F.min("since").alias("since")))
-    sinks = checkpointed(sink_candidates(facts.calls, facts.rules))
-    texts = facts.calls.select("file", "line", "col", "full_text")
-    at = sinks.join(texts, ["file", "line", "col"])
-    from wardlight.operators.rules_match import sanitizer_exclude
-
-    open_ = sanitizer_exclude(at, facts.rules)
+    open_ = sanitizer_exclude(facts.sink_calls(), facts.rules)
     named = open_.withColumn("base", F.explode(identifiers(F.col("full_text")))).join(state, ["file", "base"]).filter(F.col("since") <= F.col("line"))
     return named.groupBy("file", "rule_id", "function_name", "line").agg(F.min("base").alias("var"))
 

@@ -11,15 +11,19 @@ from wardlight.sources.tree import register_rules as register
 from wardlight.views import duck, lit, values
 
 GK = {
-    "gen": "select distinct src as node, src as loc from edges where src % 17 = 0",
+    "gen": "select s_suppkey as node, s_suppkey as loc from supplier where s_acctbal < 1500",
     "kill": "select distinct l_suppkey as node, l_partkey % (select count(*) from supplier) as loc from lineitem where l_linenumber = 2",
 }
 
 
+def low_balance(t):
+    return t.read("supplier").filter("s_acctbal < 1500").select(F.col("s_suppkey").alias("node"))
+
+
 def gen_kill(t):
-    """GEN: every 17th vertex makes its own location. KILL: pairs from the second order lines."""
+    """GEN: suppliers with a low balance make their own location. KILL: pairs from the second order lines."""
     e = t.edges()
-    gen = e.filter("src % 17 = 0").select(F.col("src").alias("node"), F.col("src").alias("loc")).distinct()
+    gen = low_balance(t).select("node", F.col("node").alias("loc"))
     vertices = t.read("supplier").agg(F.count("*")).scalar()
     kill = t.read("lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % vertices).alias("loc")).distinct()
     return e, gen, kill
@@ -45,10 +49,9 @@ def taint_fixpoint(t):
 
 
 @query("call_reachability", duck("select root, node, min(depth)::int as depth from r group by 1, 2", "edges", recursive=True,
-       r="select distinct src as root, src as node, 0 as depth from edges where src % 17 = 0 union select r.root, e.dst, r.depth + 1 from r join edges e on e.src = r.node where r.depth < 5"))
+       r="select s_suppkey as root, s_suppkey as node, 0 as depth from supplier where s_acctbal < 1500 union select r.root, e.dst, r.depth + 1 from r join edges e on e.src = r.node where r.depth < 5"))
 def call_reachability(t):
-    e = t.edges()
-    return graph.call_reachability(e, e.filter("src % 17 = 0").select(F.col("src").alias("node")).distinct())
+    return graph.call_reachability(t.edges(), low_balance(t))
 
 
 def _url(v):

@@ -177,9 +177,9 @@ def sequence_similarity(t):
 
 
 @query("edit_similarity", duck(f"""
-select resp_id as pair_id, round(1 - levenshtein(substring(body,1,400), substring(b,1,400)) / greatest(length(substring(body,1,400)), length(substring(b,1,400)))::double, 6) as similarity from (select *, {NEAR} as b from responses)""", "responses"))
+select resp_id as pair_id, round(1 - levenshtein(substring(body,1,5000), substring(b,1,5000)) / greatest(length(substring(body,1,5000)), length(substring(b,1,5000)))::double, 6) as similarity from (select *, {NEAR} as b from responses)""", "responses"))
 def edit_similarity(t):
-    return near_pairs(t).select("pair_id", F.round(web.edit_similarity(F.col("a_body"), F.col("b_body"), 400), 6).alias("similarity"))
+    return near_pairs(t).select("pair_id", F.round(web.edit_similarity(F.col("a_body"), F.col("b_body")), 6).alias("similarity"))
 
 
 @query("diff_evidence")
