@@ -29,6 +29,9 @@ def get_spark(app: str = "wardlight", cpus: str | int = 8) -> SparkSession:
     return spark
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session; a temporary one in local runs without the setting."""
     sc = spark.sparkContext
@@ -36,8 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        _local.setdefault("folder", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = _local["folder"]
     return shared
 
 
