@@ -6,9 +6,9 @@ words. Equal windows have equal anchors, so the number of documents holding an a
 holding the window, and the sketch, which never undercounts, overestimates it again: no repeated window is lost.
 Neighbouring windows share anchors, which leaves about one anchor for 13 windows.
 
-1. Each task counts its anchors (once per document) in a ``depth x 2**bits`` array; the arrays are summed cell by cell
-   in a shuffle with partial sums. Cells reached by two documents become a bitmap of ``depth * 2**bits`` bits (4 MB with
-   the defaults), the only thing that is broadcast. More cells filter better; fewer cost only time, never results.
+1. Each task counts its anchors (once per document) in the cells of a ``depth x 2**bits`` sketch, of which it keeps the
+   cells it met; the sketches are summed cell by cell in a shuffle. Cells reached by two documents become a bitmap of
+   ``depth * 2**bits`` bits (16 MB with the defaults), the only thing that is broadcast. More cells filter better; fewer cost only time, never results.
 2. Windows whose cells are all set are grouped exactly by a 96-bit hash of their words to find the first document that
    holds them. Copies in later documents become removals.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wardlight.llm.text import Flat, get, mix, rolling, signed, slices
 
 WINDOW = 50
-BITS = 24
+BITS = 26
 DEPTH = 2
 
 
@@ -57,8 +57,12 @@ def cells(anchor: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
 def sketch(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame:
     """Cells (counted from 0) whose merged count is two documents or more."""
 
+    def merged(held):
+        at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return at, np.minimum(n, 2)
+
     def count(batches):
-        table = np.zeros(depth << bits, dtype=np.uint8)
+        held, size = [], 0  # cells, each as often as it was counted, twice at most after a merge
         for part in slices(batches, "_t"):
             flat = Flat(get(part, "_t"))
             a, ok = anchors(flat, flat.words(1), window)
@@ -69,13 +73,14 @@ def sketch(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame:
             new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
             a, doc = a[new], doc[new]
             a = a[np.unique(a ^ mix(doc.astype(np.uint64)), return_index=True)[1]]
-            for cell in cells(a, bits, depth):
-                at, n = np.unique(cell, return_counts=True)
-                table[at] = np.minimum(table[at] + np.minimum(n, 2), 2)
-        at = np.flatnonzero(table)
+            held += cells(a, bits, depth)
+            size += depth * len(a)
+            if size > 2_000_000:
+                held = [np.repeat(*merged(held))]
+                size = len(held[0]) // 2
+        at, n = merged(held)
         for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array(table[part].astype(np.int32))], ["cell", "n"])
+            yield pa.record_batch([pa.array(at[k : k + 100_000]), pa.array(n[k : k + 100_000].astype(np.int32))], ["cell", "n"])
 
     return docs.select("_t").mapInArrow(count, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 2").select("cell")
 

@@ -120,7 +120,7 @@ class Flat:
         return self.doc[:n] == self.doc[k - 1 :] if n > 0 else np.empty(0, dtype=bool)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of at most ``limit`` bytes of text (a longer text comes alone): bounds numpy memory."""
     for batch in batches:
         if not batch.num_rows:
