@@ -8,21 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import oracles
+from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
 from wardlight.llm.quality import COUNTS, quality_model, quality_rules
+from wardlight.llm.sharding import grown, shard_rows, tree
 from wardlight.llm.substring import substring_dedup
+from wardlight.llm.zip_warc import read_packages, write_packages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_packages(write_packages(table(spark, sf_dir, "pages")))
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def word_tokenizer() -> str:
+    """Path of the public word tokenizer on this installation."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     return quality_rules(docs, model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eight = tree(8)
+    return shard_rows(table(spark, sf_dir, "documents"), eight, grown(eight)).withColumn("law", F.lit("key"))
+
+
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pseudo_likelihood(docs, pseudo_likelihood_model(docs))
@@ -34,7 +58,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_zip_warc": op4_zip_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_substring_dedup": op10_substring_dedup,
 }
