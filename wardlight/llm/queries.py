@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm import oracles
 from wardlight.llm.chat import chat_digest, chat_windows
+from wardlight.llm.order_minhash import near_duplicates
 from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
 from wardlight.llm.quality import COUNTS, quality_model, quality_rules
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_packages(write_packages(table(spark, sf_dir, "pages")))
     return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -65,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_order_minhash": op3_order_minhash,
     "op4_zip_warc": op4_zip_warc,
     "op5_chat_windows": op5_chat_windows,
     "op6_quality_rules": op6_quality_rules,
