@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.text import Flat, get, mix, rolling, signed, slices
+from wardlight.session import written
 
 WINDOW = 50
 BITS = 26
@@ -129,6 +130,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", F.xxhash64("_t"))
     wins = candidates(rows.filter("_id is not null and _t is not null"), window, bits, depth)
     first = wins.groupBy("a", "b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").drop("hi")
+    first = written(first, "first")  # a plain table on this side lets adaptive execution split a hot window of the other
     gone = wins.join(first, ["a", "b"]).filter("_id > lo").groupBy("_id", "_k").agg(F.collect_set("pos").alias("pos"))
     both = rows.join(gone.hint("shuffle_hash"), ["_id", "_k"], "left").select("_id", "_t", "pos")
 
