@@ -14,3 +14,20 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(len(ks), 0)::bigint as n_r
               else list_transform(list_filter(range(1, len(ws) + 1), lambda k: not list_contains(ks, k)), lambda k: ws[k]) end, ' ')) as kept_sha256
 from d left join g using (doc_id)
 """
+
+CONTAMINATION = r"""
+with d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') as w from documents),
+b as (select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') as w from benchmark),
+i as (select item_id, w, least(5, len(w)) as k, len(w) - least(5, len(w)) + 1 as m from b where len(w) > 0),
+it as (select item_id, k, m, p, array_to_string(w[p + 1:p + k], ' ') as s from (select *, unnest(range(m)) as p from i)),
+ds as (select doc_id, k, p, array_to_string(w[p + 1:p + k], ' ') as s
+       from (select doc_id, w, k, unnest(range(greatest(len(w) - k + 1, 0))) as p from d, (select distinct k from i))),
+hit as (select distinct doc_id, item_id, k, m, ds.p - it.p as start from ds join it using (k, s)),
+win as (select doc_id, item_id, start, m, s, count(*) as n from hit join ds using (doc_id, k) where ds.p >= start and ds.p < start + m group by all),
+own as (select item_id, s, count(*) as n from it group by all),
+size as (select doc_id, item_id, start, m, sum(n) as n from win group by all),
+shared as (select doc_id, item_id, start, sum(least(win.n, own.n)) as o from win join own using (item_id, s) group by all),
+sim as (select doc_id, item_id, start, o / (n + m - o) as similarity from shared join size using (doc_id, item_id, start))
+select doc_id, item_id, max(similarity)::double as similarity, arg_max(start, similarity - start * 1e-12)::int as first_word
+from sim where similarity >= 0.8 group by doc_id, item_id
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm import oracles
 from wardlight.llm.chat import chat_digest, chat_windows
+from wardlight.llm.decontaminate import contamination
 from wardlight.llm.order_minhash import near_duplicates
 from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -70,6 +75,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_decontamination": op1_simhash_decontamination,
     "op3_order_minhash": op3_order_minhash,
     "op4_zip_warc": op4_zip_warc,
     "op5_chat_windows": op5_chat_windows,
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_simhash_decontamination": oracles.CONTAMINATION,
     "op10_substring_dedup": oracles.SUBSTRING,
 }
