@@ -20,6 +20,7 @@ other; other columns, whatever their names, do not matter.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from wardlight.session import written
 WINDOW = 50
 BITS = 26
 DEPTH = 2
+TOUCHED = 26
 
 
 def anchors(flat: Flat, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +88,24 @@ def sketch(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame:
     return docs.select("_t").mapInArrow(count, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 2").select("cell")
 
 
-def bitmap(hot: DataFrame, bits: int, depth: int) -> np.ndarray:
-    """The cells as one packed bit array; its size depends on the parameters only."""
+def bitmap(hot: DataFrame, size: int) -> np.ndarray:
+    """The cells (0 to ``size`` - 1) as one packed bit array; its length depends on ``size`` only."""
     at = F.col("cell") + 1
     rows = hot.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
-    size = max(1, (depth << bits) >> 15)
-    out = np.zeros((size, 4096), dtype=np.uint8)
+    out = np.zeros((max(1, size >> 15), 4096), dtype=np.uint8)
     for k, m in rows.toLocalIterator():
         out[k - 1, : len(m)] = np.frombuffer(m, dtype=np.uint8)
     return out.reshape(-1)
 
 
+def is_set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def candidates(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame:
     """(a, b, _id, _k, pos): hashes and places of the windows that the sketch cannot rule out."""
     spark = docs.sparkSession
-    seen = spark.sparkContext.broadcast(bitmap(sketch(docs, window, bits, depth), bits, depth))
+    seen = spark.sparkContext.broadcast(bitmap(sketch(docs, window, bits, depth), depth << bits))
 
     def emit(batches):
         hot = seen.value
@@ -110,8 +115,7 @@ def candidates(docs: DataFrame, window: int, bits: int, depth: int) -> DataFrame
             a, ok = anchors(flat, h, window)
             at = np.flatnonzero(ok)
             for cell in cells(a[at], bits, depth) if len(at) else []:
-                keep = (hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                ok[at[keep == 0]] = False
+                ok[at[~is_set(hot, cell)]] = False
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -131,8 +135,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wins = candidates(rows.filter("_id is not null and _t is not null"), window, bits, depth)
     first = wins.groupBy("a", "b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").drop("hi")
     first = written(first, "first")  # a plain table on this side lets adaptive execution split a hot window of the other
-    gone = wins.join(first, ["a", "b"]).filter("_id > lo").groupBy("_id", "_k").agg(F.collect_set("pos").alias("pos"))
-    both = rows.join(gone.hint("shuffle_hash"), ["_id", "_k"], "left").select("_id", "_t", "pos")
+    gone = written(wins.join(first, ["a", "b"]).filter("_id > lo").groupBy("_id", "_k").agg(F.collect_set("pos").alias("pos")), "gone")
+
+    # a bitmap of fixed size tells most untouched documents, which then skip the join and its shuffle of texts
+    cell = F.pmod(F.xxhash64("_id", "_k"), F.lit(1 << TOUCHED))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(cell.alias("cell")), 1 << TOUCHED))
+
+    @F.pandas_udf("boolean")
+    def touched(at: pd.Series) -> pd.Series:
+        return pd.Series(is_set(seen.value, at.to_numpy()))
+
+    marked = rows.withColumn("_touched", touched(cell))
+    same = marked.filter(~F.col("_touched")).select("_id", "_t", F.lit(None).cast("array<int>").alias("pos"))
+    both = marked.filter("_touched").join(gone.hint("shuffle_hash"), ["_id", "_k"], "left").select("_id", "_t", "pos").union(same)
 
     def cut(batches):
         for part in slices(batches, "_t"):
