@@ -14,6 +14,7 @@ from wardlight.llm.order_minhash import near_duplicates
 from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
 from wardlight.llm.quality import COUNTS, quality_model, quality_rules
+from wardlight.llm.secret_forest import secret_findings, secret_model
 from wardlight.llm.sharding import grown, shard_rows, tree
 from wardlight.llm.substring import substring_dedup
 from wardlight.llm.zip_warc import read_packages, write_packages
@@ -27,6 +28,11 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k")
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_findings(docs, secret_model(docs))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -76,6 +82,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_decontamination": op1_simhash_decontamination,
+    "op2_secret_forest": op2_secret_forest,
     "op3_order_minhash": op3_order_minhash,
     "op4_zip_warc": op4_zip_warc,
     "op5_chat_windows": op5_chat_windows,
