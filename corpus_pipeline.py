@@ -3,22 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wardlight.llm.decontaminate import decontaminated
+from wardlight.llm.order_minhash import deduplicated
+from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.quality import quality_filter, quality_model
+from wardlight.llm.queries import table, word_tokenizer
+from wardlight.llm.secret_forest import redacted, secret_model
+from wardlight.session import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejected documents go."""
-    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_filter(docs, model)
+    """Quality rules: documents that fail the base rules or the trees go."""
+    return quality_filter(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality rules", quality)]
-ORACLE_SQL = None
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Order MinHash: one document of each class of near copies stays."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash windows: documents that hold a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Random forest: secrets are masked in the texts; ``n_chars`` follows where a text changed."""
+    rows = docs.withColumn("_new", redacted(F.col("text"), F.col("source"), secret_model(docs)))
+    length = F.when(F.col("_new") != F.col("text"), F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", length).withColumn("text", F.col("_new")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Minimum bin slack: what is left, as pieces of packed sequences."""
+    return best_fit_packing(docs, word_tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+ORACLE_SQL = None  # boosted trees, sketches, forests and bin plans are not SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -174,7 +174,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: id and ``class_id``; row keys ``_key`` stay for callers that need a tie-break."""
+    """One row per row of ``docs``: id, ``class_id``, the text hash ``_k`` and ``_label``, the class as a key
+    that is null only for texts without words."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", F.xxhash64("_t"))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -227,7 +228,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped = nodes.select("key", "_id", "copies").join(classes, "key", "left").filter("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "key"))
     lowest = grouped.groupBy("label").agg(F.min("_id").alias("_class"))
-    by_key = grouped.select("key", "label").join(lowest, "label").select(F.col("key"), "_class")
-    out = table.select("_id", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(by_key, "key", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), F.col("key").alias("_key"))
-
+    by_key = grouped.select("key", "label").join(lowest, "label").select("key", "label", "_class")
+    out = table.select("_id", "_k", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(by_key, "key", "left")
+    return out.select(F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), "_k", F.coalesce("label", "key").alias("_label"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, that with the smallest id (texts without words stay), with all columns."""
+    near = near_duplicates(docs, id_col, text_col)
+    best = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("_id"), F.col("_k")))
+    keep = near.filter("_label is not null").groupBy("_label").agg(best.alias("r"))
+    keep = written(keep.select(F.xxhash64("r._id").alias("_i"), F.col("r._k").alias("_k")), "keep")
+    rows = docs.withColumns({"_i": F.xxhash64(id_col), "_k": F.xxhash64(text_col)})
+    empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    kept = rows.filter(~empty).join(keep, ["_i", "_k"]).dropDuplicates(["_i", "_k"])
+    return kept.unionByName(rows.filter(empty)).drop("_i", "_k")
