@@ -11,15 +11,18 @@
    tasks that made it; nothing is sorted or gathered.
 
 Defined results: a null or empty text is the end token alone; documents that repeat an id are packed each; an empty table
-gives no rows; other columns do not matter. Words are tokenized apart (the tokenizer drops white space before it splits)
-and remembered by a 64-bit hash, up to ``REMEMBER`` words a task.
+gives no
+rows; other columns do not matter. Word parts are tokenized apart, where the tokenizer splits in any case, and
+remembered by a 64-bit hash, up to ``REMEMBER`` parts a worker.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.llm.text import Flat, get, slices
+from wardlight.llm.text import Flat, get, slices, span_hashes
 from wardlight.session import written
 
 LIMIT = 2048
 END = 0
-REMEMBER = 300_000
+REMEMBER = 800_000
+
+
+LETTER, DIGIT, MARK = 1, 2, 3  # 0: not to be cut beside
+CLASS = np.zeros(0x540, dtype=np.uint8)
+for _c in range(0x530):  # letters of long-settled blocks only; everything else stays whole and is left to the tokenizer
+    if unicodedata.category(chr(_c))[0] == "L" and len(chr(_c).lower()) == 1:
+        CLASS[_c] = LETTER
+CLASS[0x30:0x3A] = DIGIT
+CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = MARK
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def parts_of(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Data in lower case and the places of word parts that the tokenizer splits in any case: letters, single digits, marks.
+
+    The last array tells which parts are one unit to the tokenizer. A cut is made only between characters of known classes. Words with an apostrophe are not cut beside it, and words
+    that hold ``<|`` (special tokens begin so) are neither cut nor lowered.
+    """
+    data = flat.data
+    n = len(data)
+    if not n:
+        return data, flat.start, flat.end, np.empty(0, dtype=bool)
+    nxt = np.append(data[1:], np.uint8(0))
+    two = (data >= 0xC2) & (data <= 0xD4)
+    cls = CLASS[np.where(data < 0x80, data, 0)]
+    cls[two] = CLASS[np.minimum(((data[two].astype(np.int32) & 0x1F) << 6) | (nxt[two] & 0x3F), 0x53F)]
+    tail = (data & 0xC0) == 0x80
+    after = np.flatnonzero(tail)
+    cls[after] = cls[after - 1]  # second bytes; third and fourth follow a lead of class 0
+    deep = after[1:][np.diff(after) == 1]
+    cls[deep] = 0
+    whole = np.zeros(n, dtype=bool)
+    for at in np.flatnonzero((data == 0x3C) & (nxt == 0x7C)):
+        w = int(np.searchsorted(flat.start, at, "right")) - 1
+        whole[flat.start[w] : flat.end[w]] = True
+    cls[whole] = 0
+    cut = np.zeros(n, dtype=bool)
+    cut[1:] = (cls[1:] != 0) & (cls[:-1] != 0) & ~tail[1:] & flat.word[1:] & flat.word[:-1] & ((cls[1:] != cls[:-1]) | (cls[1:] == DIGIT))
+    first, last = cut.copy(), np.append(cut[1:], False)
+    first[flat.start] = True
+    last[flat.end - 1] = True
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    odd = np.concatenate(([0], np.cumsum(cls == 0)))
+    return np.where(whole, data, LOWER[data]), start, end, odd[start] == odd[end]
 
 
 class Coder:
-    """Token ids of whole texts, each followed by the end token, with a bounded memory of words."""
+    """Token ids of whole texts, each followed by the end token, with a bounded memory of word parts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,36 +93,56 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[int, bytes] = {}
 
+    def learn(self, keys: list[int], words: list[bytes], unit: list[bool]) -> None:
+        """Encode new parts; parts of one unit share texts, where the unit's number tells their ids apart."""
+        plain = [k for k, one in enumerate(unit) if one]
+        for j in range(0, len(plain), 200):
+            some = plain[j : j + 200]
+            code = self.tokenizer.encode(" ".join([words[k].decode() for k in some]), add_special_tokens=False)
+            raw = np.array(code.ids, dtype="<u4").tobytes()
+            edge = (4 * np.searchsorted(np.array(code.word_ids), np.arange(len(some) + 1))).tolist()
+            for k, a, b in zip(some, edge, edge[1:], strict=False):
+                self.memory[keys[k]] = raw[a:b]
+        rest = [k for k, one in enumerate(unit) if not one]
+        for k, code in zip(rest, self.tokenizer.encode_batch([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            self.memory[keys[k]] = np.array(code.ids, dtype="<u4").tobytes()
+
     def encode(self, flat: Flat) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end (little-endian unsigned 32-bit) and where each text starts."""
-        h, first, back = np.unique(flat.words(6), return_index=True, return_inverse=True)
+        data, start, end, unit = parts_of(flat)
+        h, first, back = np.unique(span_hashes(data, start, end, 6), return_index=True, return_inverse=True)
         if len(self.memory) + len(h) > REMEMBER:
             self.memory.clear()
         keys = h.tolist()
         new = [k for k, key in enumerate(keys) if key not in self.memory]
-        raw = flat.data.tobytes()
-        words = [raw[flat.start[first[k]] : flat.end[first[k]]].decode() for k in new]
-        for k, code in zip(new, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.memory[keys[k]] = np.array(code.ids, dtype="<u4").tobytes()
+        raw = data.tobytes()
+        at = first[new]
+        self.learn([keys[k] for k in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], unit[at].tolist())
         codes = [self.memory[key] for key in keys]
         size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
         store = np.frombuffer(b"".join(codes), dtype="<u4")
-        at = (np.cumsum(size) - size)[back]
         n = size[back]
         total = int(n.sum())
         run = np.cumsum(n)
+        doc = np.searchsorted(flat.off, start, "right") - 1
         out = np.full(total + flat.n, END, dtype="<u4")
-        source = np.repeat(at - (run - n), n) + np.arange(total)
-        out[np.arange(total) + np.repeat(flat.doc, n)] = store[source]
+        source = np.repeat((np.cumsum(size) - size)[back] - (run - n), n) + np.arange(total)
+        out[np.arange(total) + np.repeat(doc, n)] = store[source]
         run = np.concatenate(([0], run))
-        return out, run[flat.first] + np.arange(flat.n + 1)
+        return out, run[np.searchsorted(start, flat.off)] + np.arange(flat.n + 1)
+
+
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> Coder:
+    """One coder for each Python worker, so that its memory serves all tasks there."""
+    return Coder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: id, piece, start, length, ids_crc32, the task's number and the piece's number in it."""
 
     def cut(batches):
-        coder, task, seen = Coder(tokenizer), uuid.uuid4().int >> 65, np.zeros(limit + 1, dtype=np.int64)
+        coder, task, seen = coder_of(tokenizer), uuid.uuid4().int >> 65, np.zeros(limit + 1, dtype=np.int64)
         for part in slices(batches, "_t"):
             ids, off = coder.encode(Flat(get(part, "_t")))
             n = np.diff(off)
