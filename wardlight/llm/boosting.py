@@ -42,7 +42,7 @@ def constant(base: float) -> Trees:
     return Trees(none, np.empty(0), none, none, np.empty(0), none, base, 0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 3.0, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 0.1, ridge: float = 1.0) -> Trees:
     """Fit log-loss trees to labels ``y`` in {0, 1}.
 
     ``monotone[f]`` is -1, 0 or 1: the score never rises, is free, or never falls with feature ``f``. A split on such a
