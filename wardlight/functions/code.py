@@ -8,64 +8,86 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-OUTLINE_TYPE = "array<struct<line:bigint,depth:int,parent:bigint,end_line:bigint,text:string,above:array<struct<line:bigint,text:string>>>>"
+OUTLINE_TYPE = "array<struct<line:bigint,depth:int,parent:bigint,end_line:bigint,text:string,parent_text:string,func:string,func_start:bigint>>"
 CALLS_TYPE = "array<struct<col:int,name:string,full_text:string,args:array<string>>>"
 
 
-def outline_udf():
-    """``(content, by_braces)`` to statement lines with depth, parent line, last line of the block they open, and the
-    header lines above them (outermost first).
+def outline_udf(headers: dict[str, str], arrow: tuple[str, str], anonymous: str, module: str):
+    """``(content, by_braces, language)`` to statements with depth, parent line, last line of the block they open, the text
+    of the parent and the innermost function around them.
 
-    Indentation or braces give the depth; blank lines, comment lines and lone opening braces are left out, a line
-    inside open brackets belongs to the statement above it.
+    Indentation or braces give the depth; blank lines, comment lines and lone opening braces are left out. A statement
+    runs on over the following lines while a bracket is open (in brace languages until a body opens) or the line ends in
+    a backslash; its text is then one line. ``headers`` has the expression of function headers by language, ``arrow`` a
+    rewriting of arrow functions to plain headers.
     """
 
     @F.pandas_udf(OUTLINE_TYPE)
-    def outline(content, by_braces):
+    def outline(content, by_braces, language):
         import re
 
         import pandas as pd
 
         literal = re.compile(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'')
+        heads = {k: re.compile(v) for k, v in headers.items()}
+        rewrite = re.compile(arrow[0])
         out = []
-        for text, braces in zip(content, by_braces):
-            rows, stack, level, open_brackets = [], [], 0, 0
-            lines = (text or "").split("\n")
-            for n, raw in enumerate(lines, 1):
+        for text, braces, lang in zip(content, by_braces, language):
+            rows, stack, level, still_open = [], [], 0, 0
+            head = heads.get(lang)
+            for n, raw in enumerate((text or "").split("\n"), 1):
                 body = re.sub(r'\s*//[^"\']*$|\s+/\*.*\*/\s*$' if braces else r'(^|\s+)#[^"\']*$', "", raw.rstrip("\r"))
                 bare = literal.sub('""', body)
                 lead = bare.strip()
                 if not lead or lead.startswith(("//", "*", "/*") if braces else "#"):
                     continue
-                if braces:
-                    depth = level - (1 if lead.startswith("}") else 0)
-                    level += bare.count("{") - bare.count("}")
-                    if lead == "{":
-                        continue
+                brackets = sum(map(bare.count, "([" if braces else "([{")) - sum(map(bare.count, ")]" if braces else ")]}"))
+                turn = bare.count("{") - bare.count("}") if braces else 0
+                if still_open > 0:
+                    top = rows[-1]
+                    top["text"] = f"{top['text'].removesuffix(chr(92)).rstrip()} {body.strip()}"
+                    top["_last"] = n
+                    level += turn
+                    still_open = max(0, still_open - (top["_slash"] or 0) + brackets)
                 else:
-                    if open_brackets > 0:
-                        open_brackets += sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}")
+                    depth = level - (1 if lead.startswith("}") else 0) if braces else len(bare) - len(bare.lstrip())
+                    level += turn
+                    if braces and lead == "{":
                         continue
-                    depth = len(bare) - len(bare.lstrip())
-                    open_brackets = max(0, sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}"))
-                closes = braces and lead.startswith("}")
-                while stack and rows[stack[-1]]["_d"] >= depth:
-                    top = rows[stack.pop()]
-                    top["end_line"] = n if closes and top["_d"] == depth else rows[-1]["line"]
-                rows.append({"line": n, "depth": len(stack), "parent": rows[stack[-1]]["line"] if stack else 0,
-                             "end_line": n, "text": body.strip(), "_d": depth,
-                             "above": [{"line": rows[i]["line"], "text": rows[i]["text"]} for i in stack]})
-                stack.append(len(rows) - 1)
+                    closes = braces and lead.startswith("}")
+                    while stack and rows[stack[-1]]["_d"] >= depth:
+                        top = rows[stack.pop()]
+                        top["end_line"] = n if closes and top["_d"] == depth else rows[-1]["_last"]
+                    rows.append({"line": n, "depth": len(stack), "parent": rows[stack[-1]]["line"] if stack else 0, "end_line": n, "text": body.strip(),
+                                 "_d": depth, "_last": n, "_up": stack[-1] if stack else None, "_slash": 0})
+                    stack.append(len(rows) - 1)
+                    still_open = max(0, brackets)
+                slash = 1 if not braces and lead.endswith("\\") else 0
+                rows[-1]["_slash"] = slash
+                still_open += slash
+                if braces and lead.endswith("{"):
+                    still_open = 0
             for i in stack:
-                rows[i]["end_line"] = rows[-1]["line"]
-            out.append([{k: v for k, v in r.items() if k != "_d"} for r in rows])
+                rows[i]["end_line"] = rows[-1]["_last"]
+            for r in rows:
+                up = rows[r["_up"]] if r["_up"] is not None else None
+                r["parent_text"] = up["text"] if up else None
+                r["func"], r["func_start"] = up["_inside"] if up else (module, 0)
+                line = rewrite.sub(arrow[1], r["text"]) if lang == "javascript" and "=>" in r["text"] else r["text"]
+                m = head.search(line) if head else None
+                r["_inside"] = ((m[1] or anonymous), r["line"]) if m else (r["func"], r["func_start"])
+            out.append([{k: v for k, v in r.items() if k[0] != "_"} for r in rows])
         return pd.Series(out)
 
     return outline
 
 
 def calls_udf():
-    """One line of code to its calls, nested ones included: column, dotted name, text and top-level arguments."""
+    """One statement to its calls, nested ones included: column, dotted name, text and top-level arguments.
+
+    One pass from left to right with a stack of open brackets finds where every call ends, so the time grows with the
+    length of the statement (and with the text that is returned). Calls inside a string literal are taken apart within it.
+    """
 
     @F.pandas_udf(CALLS_TYPE)
     def calls(texts):
@@ -74,45 +96,43 @@ def calls_udf():
         import pandas as pd
 
         head = re.compile(r"(?<![\w$])(?:new\s+)?[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*\s*\(")
+        token = re.compile(r"""(["'`])(?:\\.|(?!\1)[^\\])*\1|[()\[\]{},]""", re.DOTALL)
         words = {"if", "while", "for", "switch", "catch", "return", "function", "def", "func", "elif", "and", "or", "not", "in"}
 
-        def close(s, i):
-            """Position after the bracket opened at ``i`` and the argument cuts on the way."""
-            depth, quote, cuts, j = 0, "", [i], i
-            while j < len(s):
-                c = s[j]
-                if quote:
-                    if c == "\\":
-                        j += 1
-                    elif c == quote:
-                        quote = ""
-                elif c in "\"'`":
-                    quote = c
+        def ends(s, opened, low, high, found):
+            """Fill ``found`` (position of a call's bracket to its end and argument cuts) for the part ``low:high``."""
+            stack = []
+            for m in token.finditer(s, low, high):
+                c, j = m[0], m.start()
+                if len(c) > 1:
+                    if "(" in c:
+                        ends(s, opened, j + 1, m.end() - 1, found)
                 elif c in "([{":
-                    depth += 1
-                elif c in ")]}":
-                    depth -= 1
-                    if depth == 0:
-                        return j + 1, cuts + [j]
-                elif c == "," and depth == 1:
-                    cuts.append(j)
-                j += 1
-            return len(s), cuts + [len(s)]
+                    stack.append((j, [j]))
+                elif c == ",":
+                    if stack:
+                        stack[-1][1].append(j)
+                elif stack:
+                    at, cuts = stack.pop()
+                    if at in opened:
+                        found[at] = (j + 1, cuts + [j])
+            for at, cuts in stack:
+                if at in opened:
+                    found[at] = (high, cuts + [high])
 
         out = []
         for s in texts:
-            found = []
-            pos = 0
-            while s and (m := head.search(s, pos)):
-                name = re.sub(r"\s*\($", "", m.group(0))
-                pos = m.end()
-                if name in words:
-                    continue
-                end, cuts = close(s, m.end() - 1)
+            rows = []
+            heads = [(m.start(), m.end() - 1, re.sub(r"\s*\($", "", m[0])) for m in head.finditer(s or "")]
+            heads = [h for h in heads if h[2] not in words]
+            found = {}
+            if heads:
+                ends(s, {h[1] for h in heads}, 0, len(s), found)
+            for start, bracket, name in heads:
+                end, cuts = found.get(bracket, (len(s), [bracket, len(s)]))
                 args = [s[a + 1:b].strip() for a, b in zip(cuts, cuts[1:])]
-                found.append({"col": m.start() + 1, "name": name, "full_text": s[m.start():end],
-                              "args": [] if args == [""] else args})
-            out.append(found)
+                rows.append({"col": start + 1, "name": name, "full_text": s[start:end], "args": [] if args == [""] else args})
+            out.append(rows)
         return pd.Series(out)
 
     return calls

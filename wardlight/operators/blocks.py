@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.operators.extract import HEADER, by_language
+from wardlight.operators.extract import header
 
 LEAD = r"^\}?\s*"
 ROLES = [
@@ -24,7 +24,7 @@ CONTINUES = ["elif", "else", "except"]
 
 def _role(language_text, opens) -> Column:
     """Role of a statement by its text; only lines that open a block are more than plain statements."""
-    expr = F.when(by_language(HEADER, language_text, 0) != "", "func")
+    expr = F.when(header(language_text, 0) != "", "func")
     for name, pattern in ROLES:
         expr = expr.when(opens & language_text.rlike(pattern), name)
     return expr.when(opens, "plain").otherwise("stmt")

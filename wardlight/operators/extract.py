@@ -1,8 +1,7 @@
 """Facts of code files: assignments, calls, functions, returns, strings.
 
-The work is lexical: per-language regular expressions on statement lines, evaluated row by row without a shuffle.
-Limits: a call or assignment that spans several lines is seen up to the end of its first line, and targets in
-unpacking (``a, b = f()``) count for the first name only.
+The work is lexical: per-language regular expressions on statements, evaluated row by row without a shuffle. A statement
+may span several lines. Targets in Python unpacking (``a, b = f()``) each take the whole value.
 """
 
 from __future__ import annotations
@@ -27,10 +26,14 @@ HEADER = {
     "javascript": r"(?:^|[^\w$])function\s*(\w*)\s*\(([^)]*)\)",
     "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)",
     "php": r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)\s*\(([^)]*)\)",
-    "typed": r"^\s*(?:(?:public|private|protected|static|final|async|override|virtual)\s+)+[\w<>\[\],.]+\s+(\w+)\s*\(([^)]*)\)",
-    "c": r"^[A-Za-z_][\w\s*&:<>]*?[\s*&]([A-Za-z_]\w*)\s*\(([^;{]*)\)\s*\{?\s*$",
+    "typed": r"^\s*(?:(?:public|private|protected|static|final|async|override|virtual)\s+)*(?!(?:return|new|else|throw|await|yield|case|if|for|while|switch|catch|using|lock)\b)"
+             r"[\w<>\[\],.?]+\s+(\w+)\s*\(([^)]*)\)(?:\s*throws\s[\w.,\s]+)?\s*\{?\s*$",
+    "c": r"^[A-Za-z_][\w\s*&:<>]*?[\s*&](?:[A-Za-z_]\w*::)*([A-Za-z_]\w*)\s*\(([^;{]*)\)\s*(?:const\s*)?\{?\s*$",
 }
 TYPED = ["java", "csharp", "c", "cpp"]
+# arrow functions with a body, rewritten to plain headers before they are looked at
+ARROW = r"(?:(?:const|let|var)\s+)?(?:(?:[\w$]+\.)*([A-Za-z_$][\w$]*)\s*[=:]\s*)?(?:async\s+)?(?:\(([^()]*)\)|([A-Za-z_$][\w$]*))\s*=>(?=\s*\{\s*$)"
+UNPACKED = r"^\s*\(?\s*(\*?[A-Za-z_][\w.]*(?:\s*,\s*\*?[A-Za-z_][\w.]*)+)\s*,?\s*\)?\s*=\s*([^=].*?)\s*$"
 INDENTED = ["python"]
 STRING = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
 RETURN = r"^\s*return\s+(.+?)\s*$"
@@ -52,22 +55,22 @@ def by_language(table: dict[str, str], text, group: int) -> Column:
     return expr.otherwise(F.lit(""))
 
 
+def header(text, group: int) -> Column:
+    """Group of the function header in a statement, empty where there is none; arrow functions with a body count."""
+    plain = F.when((F.col("language") == "javascript") & F.contains(text, F.lit("=>")), F.regexp_replace(text, ARROW, "function $1($2$3)")).otherwise(text)
+    return by_language(HEADER, plain, group)
+
+
 def statements(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(file, language, keep…, line, depth, parent, end_line, text, parent_text, func, func_start)`` per statement line.
 
     ``func`` is the innermost function around the line (``<module>`` outside of any), found among the headers above it.
     Everything comes out of the file's own row; there is no shuffle.
     """
-    rows = outline_udf()(F.col("content"), ~F.col("language").isin(INDENTED))
-    s = files.select("file", "language", *keep, F.explode(rows).alias("s")).select("file", "language", *keep, "s.*")
-    around = F.filter("above", lambda h: by_language(HEADER, h["text"], 0) != "")
-    s = s.withColumn("_f", F.try_element_at(around, F.lit(-1)))
-    name = by_language(HEADER, F.col("_f.text"), 1)
-    return s.select(
-        "file", "language", *keep, "line", "depth", "parent", "end_line", "text", F.try_element_at("above", F.lit(-1))["text"].alias("parent_text"),
-        F.when(F.col("_f").isNull(), MODULE).when(name == "", ANONYMOUS).otherwise(name).alias("func"),
-        F.coalesce("_f.line", F.lit(0)).cast("bigint").alias("func_start"),
-    )
+    heads = {lang: HEADER["c"] if lang in ("c", "cpp") else HEADER.get(lang, HEADER["typed"]) for lang in [*HEADER, *TYPED] if lang != "typed"}
+    rows = outline_udf(heads, (ARROW, r"function \1(\2\3)"), ANONYMOUS, MODULE)(F.col("content"), ~F.col("language").isin(INDENTED), F.col("language"))
+    return files.select("file", "language", *keep, F.explode(rows).alias("s")).select(
+        "file", "language", *keep, "s.line", "s.depth", "s.parent", "s.end_line", "s.text", "s.parent_text", "s.func", "s.func_start")
 
 
 def extract_assignments(stmts: DataFrame, subscripts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -76,10 +79,12 @@ def extract_assignments(stmts: DataFrame, subscripts: bool = True, keep: tuple[s
     With ``subscripts=False`` only names and attributes count as targets, as for Python syntax trees.
     """
     s = stmts.filter(F.contains("text", F.lit("=")))
-    s = s.select(
-        "file", "language", *keep, "line", by_language(ASSIGN, F.col("text"), 1).alias("target"),
-        by_language(ASSIGN, F.col("text"), 2).alias("op"), by_language(ASSIGN, F.col("text"), 3).alias("rhs"),
-    ).filter("target <> ''")
+    several = F.when(F.col("language") == "python", F.regexp_extract("text", UNPACKED, 1)).otherwise("")
+    names = F.transform(F.split(several, r"\s*,\s*"), lambda t: F.regexp_replace(t, r"^\*", ""))
+    one = F.array(F.struct(by_language(ASSIGN, F.col("text"), 1).alias("target"), by_language(ASSIGN, F.col("text"), 2).alias("op"), by_language(ASSIGN, F.col("text"), 3).alias("rhs")))
+    each = F.transform(names, lambda t: F.struct(t.alias("target"), F.lit("").alias("op"), F.regexp_extract("text", UNPACKED, 2).alias("rhs")))
+    s = s.select("file", "language", *keep, "line", F.explode(F.when(several != "", each).otherwise(one)).alias("a"))
+    s = s.select("file", "language", *keep, "line", "a.*").filter("target <> ''")
     if not subscripts:
         s = s.filter(~F.contains("target", F.lit("[")))
     joined = F.when(F.col("op").isin("", ":"), F.col("rhs")).otherwise(F.concat_ws(" ", "target", "op", "rhs"))
@@ -88,7 +93,7 @@ def extract_assignments(stmts: DataFrame, subscripts: bool = True, keep: tuple[s
 
 def extract_calls(stmts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(file, language, keep…, line, col, function_name, full_text, args)``, nested calls included, headers left out."""
-    s = stmts.filter(F.contains("text", F.lit("("))).withColumn("_h", by_language(HEADER, F.col("text"), 1))
+    s = stmts.filter(F.contains("text", F.lit("("))).withColumn("_h", header(F.col("text"), 1))
     c = s.select("file", "language", *keep, "line", "_h", F.explode(calls_udf()(F.col("text"))).alias("c"))
     return c.filter((F.col("_h") == "") | (F.col("c.name") != F.col("_h"))).select(
         "file", "language", *keep, "line", "c.col", F.col("c.name").alias("function_name"), "c.full_text", "c.args"
@@ -114,8 +119,8 @@ def _param_names(language, params) -> Column:
 def extract_functions(stmts: DataFrame) -> DataFrame:
     """``(file, language, name, params, start_line, end_line)``."""
     s = stmts.select(
-        "file", "language", "line", "end_line", by_language(HEADER, F.col("text"), 0).alias("_all"),
-        by_language(HEADER, F.col("text"), 1).alias("_n"), by_language(HEADER, F.col("text"), 2).alias("_p"),
+        "file", "language", "line", "end_line", header(F.col("text"), 0).alias("_all"),
+        header(F.col("text"), 1).alias("_n"), header(F.col("text"), 2).alias("_p"),
     ).filter("_all <> ''")
     return s.select(
         "file", "language", F.when(F.col("_n") == "", ANONYMOUS).otherwise(F.col("_n")).alias("name"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import MAX_CALL_DEPTH, PARAMETER_MARKS, PARAMETER_MARKS_LOWER, RECEIVER_NAMES, SINK_TEXT_CHARS
 from wardlight.functions.cols import contains_any, let
 from wardlight.operators import blocks, extract
-from wardlight.operators.extract import ASSIGN, HEADER, by_language
+from wardlight.operators.extract import ASSIGN, by_language, header
 from wardlight.operators.framework import framework_detect, framework_sources
 from wardlight.operators.iterate import fixpoint
 from wardlight.operators.rules_match import PATTERNS_PER_PASS, by_language_array, rule_arrays, sanitizer_exclude, sink_candidates
@@ -300,7 +300,7 @@ def function_returns_taint(facts: CodeFacts) -> DataFrame:
     value = F.coalesce(F.nullif(by_language(ASSIGN, F.col("text"), 3), F.lit("")), F.nullif(F.regexp_extract("text", extract.RETURN, 1), F.lit("")))
     s = facts.stmts.withColumn("_v", value).filter("_v is not null")
     hit = s.filter(facts.has_source(F.col("_v"))).filter("func_start > 0").select("file", F.col("func_start").alias("start_line"))
-    heads = checkpointed(facts.stmts.filter(by_language(HEADER, F.col("text"), 0) != "").select("file", F.col("line").alias("start_line"), "func_start"))
+    heads = checkpointed(facts.stmts.filter(header(F.col("text"), 0) != "").select("file", F.col("line").alias("start_line"), "func_start"))
     # from a function to the one around it, one nesting level per round
     around = lambda f: f.join(heads, ["file", "start_line"]).filter("func_start > 0").select("file", F.col("func_start").alias("start_line"))
     return fixpoint(hit, around).join(facts.functions.select("file", "start_line", "name"), ["file", "start_line"]).select("file", "name").distinct()
