@@ -10,10 +10,13 @@ The similarity of two texts with n and m shingles is L / (n + m - L), L the leng
 of shingles: the Jaccard similarity of aligned shingles. It is computed exactly by a bit-parallel alignment in a band as
 wide as a similarity of ``threshold`` allows. Classes are connected components of the pairs that reach it.
 
-Equal texts are one node, whatever their number. A bucket emits no pair list: each member meets one leader (two rounds,
-each with leaders of its own), verified pairs form classes, and buckets inside one class are closed. In the buckets
-that are left, members outside the bucket's largest class meet all members of other classes, so each candidate pair that
-could still join two classes is tested. That last step is quadratic only in such members.
+Equal texts are one node, whatever their number. A bucket emits no pair list: each member meets one leader (two rounds;
+the first leader is the member in the largest buckets, which is the centre of a group of copies), verified pairs form
+classes, and buckets inside one class are closed. In the buckets that are left, members outside the bucket's largest
+class are compared with all members of other classes, so each candidate pair that could still join two classes is
+looked at. Each text carries a bitmap of ``BITS`` bits of its labelled shingles: a bit that only one side has stands for a
+shingle that the other lacks, so the bits bound L from above, and a pair whose bound is too low is left out by the join
+itself. Only pairs close to the threshold are made and aligned, and none that reaches it is lost.
 
 Defined results: texts without words (and nulls) are classes of one row; texts of one to four words are one shingle;
 repeated rows and equal word sequences share a class; class ids are the smallest id of the class, null ids aside; an
@@ -27,6 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.llm.components import components
@@ -38,6 +42,7 @@ THRESHOLD = 0.8
 SKETCHES = 32
 PICK = 5
 SAMPLE = 256
+BITS = 1024
 STAR_ROUNDS = 2
 
 
@@ -81,12 +86,18 @@ def labelled(sh: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(sh + nth * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketches(sh: np.ndarray, doc: np.ndarray, n: int, count: int = SKETCHES, pick: int = PICK, sample: int = SAMPLE) -> np.ndarray:
-    """Bucket keys, texts x ``count``; rows of texts without shingles are 0."""
+def bitmaps(x: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Bitmap of the labelled shingles of each text, as ``BITS // 64`` whole numbers."""
+    flags = np.zeros((n, BITS), dtype=bool)
+    flags[doc, (x >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
+def sketches(x: np.ndarray, doc: np.ndarray, n: int, count: int = SKETCHES, pick: int = PICK, sample: int = SAMPLE) -> np.ndarray:
+    """Bucket keys from labelled shingles, texts x ``count``; rows of texts without shingles are 0."""
     out = np.zeros((n, count), dtype=np.uint64)
-    if not len(sh):
+    if not len(x):
         return out
-    x = labelled(sh, doc)
     order = np.lexsort((x, doc))
     size = np.bincount(doc, minlength=n)
     first = np.cumsum(size) - size
@@ -183,35 +194,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for part in slices(batches, "_t"):
             flat = Flat(get(part, "_t"))
             sh, doc = shingles(flat, words)
-            keys = sketches(sh, doc, flat.n).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(flat.n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
-            yield pa.record_batch([get(part, "_id"), get(part, "_k"), pa.array(text_keys(flat), pa.binary()), pa.array(np.bincount(doc, minlength=flat.n)), lists], ["_id", "_k", "key", "n", "sk"])
+            x = labelled(sh, doc) if len(sh) else sh
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(flat.n + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in (sketches(x, doc, flat.n).view(np.int64), bitmaps(x, doc, flat.n))]
+            yield pa.record_batch([get(part, "_id"), get(part, "_k"), pa.array(text_keys(flat), pa.binary()), pa.array(np.bincount(doc, minlength=flat.n)), *lists], ["_id", "_k", "key", "n", "sk", "bm"])
 
-    table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>"), "sketches")
-    nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.count("*").alias("copies"))
+    table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>, bm array<long>"), "sketches")
+    nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bm").alias("bm"), F.count("*").alias("copies"))
     every = nodes.select("key", "n", F.explode("sk").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    members = written(every.join(shared, "bucket"), "members")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    several = every.join(shared, "bucket").withColumn("hub", F.sum("c").over(W.partitionBy("key"))).drop("c")  # a key has ``SKETCHES`` rows
+    members = written(several.join(nodes.select("key", "bm"), "key"), "members")
 
     wanted = members.select("key").distinct().join(nodes.select("key", F.col("row._id").alias("_id2"), F.col("row._k").alias("_k")), "key")
     texts = rows.join(wanted, (rows["_k"] == wanted["_k"]) & rows["_id"].eqNullSafe(F.col("_id2"))).select("key", "_t")
     texts = written(texts.dropDuplicates(["key"]), "texts")
 
-    close = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    need = f"ceil({threshold / (1 + threshold)} * (n + m) - 1e-9)"
+    missing = ["+".join(f"bit_count({a}[{k}] & ~{b}[{k}])" for k in range(BITS // 64)) for a, b in (("bm", "bm2"), ("bm2", "bm"))]
+    close = F.expr(f"least(n, m) >= {need} and n - ({missing[0]}) >= {need} and m - ({missing[1]}) >= {need}")
     pair = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
     tested = edges = classes = None
     open_members = members.withColumn("class", F.col("key"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            lead = open_members.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "class"), F.xxhash64("key", "bucket", F.lit(turn))).alias("_l"))
-            pairs = open_members.join(lead, "bucket").select("key", "n", "class", F.col("_l.key").alias("other"), F.col("_l.n").alias("m"), F.col("_l.class").alias("c2"))
+            rank = F.struct("hub", "key") if turn == 0 else F.struct(F.xxhash64("key", "bucket"), "key")
+            lead = open_members.groupBy("bucket").agg(F.max_by(F.struct("key", "n", "class", "bm"), rank).alias("_l"))
+            pairs = open_members.join(lead, "bucket").select("key", "n", "class", "bm", F.col("_l.key").alias("other"), F.col("_l.n").alias("m"), F.col("_l.class").alias("c2"), F.col("_l.bm").alias("bm2"))
             pairs = pairs.filter("class != c2").filter(close).select(*pair)
         else:
             sizes = open_members.groupBy("bucket", "class").agg(F.count("*").alias("c"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "class")).alias("_m")).select("bucket", F.col("_m.class").alias("main"))
             placed = open_members.join(main, "bucket")
             few = placed.filter("class != main").drop("main")
-            all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("main"))
+            all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("bm").alias("bm2"), F.col("main"))
             pairs = few.join(all_, "bucket").filter("class != c2 and (c2 = main or key < other)").filter(close).select(*pair)
         pairs = pairs.distinct()
         if tested is not None:
@@ -222,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = found if edges is None else edges.union(found)
         classes = components(edges)
         if turn < STAR_ROUNDS:
-            now = members.join(classes, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("class"))
+            now = members.join(classes, "key", "left").select("bucket", "key", "n", "hub", "bm", F.coalesce("label", "key").alias("class"))
             mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket")
             open_members = written(now.join(mixed, "bucket"), "open")
 
