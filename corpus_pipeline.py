@@ -30,10 +30,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Random forest: secrets are masked in the texts; ``n_chars`` follows where a text changed."""
-    rows = docs.withColumn("_new", redacted(F.col("text"), F.col("source"), secret_model(docs)))
-    length = F.when(F.col("_new") != F.col("text"), F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", length).withColumn("text", F.col("_new")).select(docs.columns)
+    """Random forest: secrets are masked in the texts, and ``n_chars`` follows there."""
+    clean = redacted(docs, secret_model(docs))
+    length = F.when(F.contains("text", F.lit("[secret]")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,43 +91,61 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[int, bytes] = {}
-
-    def learn(self, keys: list[int], words: list[bytes], unit: list[bool]) -> None:
-        """Encode new parts; parts of one unit share texts, where the unit's number tells their ids apart."""
-        plain = [k for k, one in enumerate(unit) if one]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty memory: sorted hashes of parts, and where their ids lie in one array."""
+        self.keys = np.empty(0, dtype=np.uint64)
+        self.at, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+        self.store, self.used = np.empty(1 << 16, dtype="<u4"), 0
+
+    def ids_of(self, words: list[bytes], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the parts, number of ids of each, all ids; parts of one unit share texts, where the unit's number
+        tells their ids apart."""
+        plain, rest = np.flatnonzero(unit), np.flatnonzero(~unit)
+        sizes, ids = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype="<u4")]
         for j in range(0, len(plain), 200):
             some = plain[j : j + 200]
             code = self.tokenizer.encode(" ".join([words[k].decode() for k in some]), add_special_tokens=False)
-            raw = np.array(code.ids, dtype="<u4").tobytes()
-            edge = (4 * np.searchsorted(np.array(code.word_ids), np.arange(len(some) + 1))).tolist()
-            for k, a, b in zip(some, edge, edge[1:], strict=False):
-                self.memory[keys[k]] = raw[a:b]
-        rest = [k for k, one in enumerate(unit) if not one]
-        for k, code in zip(rest, self.tokenizer.encode_batch([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
-            self.memory[keys[k]] = np.array(code.ids, dtype="<u4").tobytes()
+            ids.append(np.array(code.ids, dtype="<u4"))
+            sizes.append(np.bincount(np.array(code.word_ids, dtype=np.int64), minlength=len(some)))
+        for code in self.tokenizer.encode_batch([words[k].decode() for k in rest], add_special_tokens=False):
+            ids.append(np.array(code.ids, dtype="<u4"))
+            sizes.append(np.array([len(ids[-1])]))
+        return np.concatenate((plain, rest)), np.concatenate(sizes), np.concatenate(ids)
+
+    def learn(self, keys: np.ndarray, words: list[bytes], unit: np.ndarray) -> None:
+        order, size, ids = self.ids_of(words, unit)
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.empty_like(self.store)))
+        self.store[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        rank = np.argsort(keys[order])
+        keys = keys[order][rank]
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, at[rank])
+        self.size = np.insert(self.size, place, size[rank])
 
     def encode(self, flat: Flat) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end (little-endian unsigned 32-bit) and where each text starts."""
         data, start, end, unit = parts_of(flat)
         h, first, back = np.unique(span_hashes(data, start, end, 6), return_index=True, return_inverse=True)
-        if len(self.memory) + len(h) > REMEMBER:
-            self.memory.clear()
-        keys = h.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.memory]
+        if len(self.keys) + len(h) > REMEMBER:
+            self.forget()
+        new = np.flatnonzero(~np.isin(h, self.keys, assume_unique=True))
         raw = data.tobytes()
         at = first[new]
-        self.learn([keys[k] for k in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], unit[at].tolist())
-        codes = [self.memory[key] for key in keys]
-        size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
-        store = np.frombuffer(b"".join(codes), dtype="<u4")
-        n = size[back]
+        self.learn(h[new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], unit[at])
+        slot = np.searchsorted(self.keys, h)
+        n = self.size[slot].astype(np.int64)[back]
         total = int(n.sum())
         run = np.cumsum(n)
         doc = np.searchsorted(flat.off, start, "right") - 1
         out = np.full(total + flat.n, END, dtype="<u4")
-        source = np.repeat((np.cumsum(size) - size)[back] - (run - n), n) + np.arange(total)
-        out[np.arange(total) + np.repeat(doc, n)] = store[source]
+        source = np.repeat(self.at[slot][back] - (run - n), n) + np.arange(total)
+        out[np.arange(total) + np.repeat(doc, n)] = self.store[source]
         run = np.concatenate(([0], run))
         return out, run[np.searchsorted(start, flat.off)] + np.arange(flat.n + 1)
 

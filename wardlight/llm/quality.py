@@ -133,15 +133,10 @@ def quality_rules(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
 
 def quality_filter(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; a row-local filter without a join."""
-    @F.pandas_udf("boolean")
-    def passes(text):
-        import pandas as pd
-
-        column = pa.Array.from_pandas(text, type=pa.large_string())
-        out = []
-        for part in slices(iter([pa.record_batch([column], ["t"])]), "t"):
-            counts, x = measure(part.column(0))
-            out.append(~base_failed(counts) & (model.score(x) >= 0))
-        return pd.Series(np.concatenate(out) if out else np.empty(0, dtype=bool))
-
-    return docs.filter(passes(F.col(text_col)))
+
+    def passing(batches):
+        for part in slices(batches, text_col):
+            counts, x = measure(get(part, text_col))
+            yield part.filter(pa.array(~base_failed(counts) & (model.score(x) >= 0)))
+
+    return docs.mapInArrow(passing, docs.schema)

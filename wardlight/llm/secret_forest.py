@@ -24,9 +24,8 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.boosting import Trees
@@ -244,20 +243,20 @@ def secret_findings(docs: DataFrame, model: SecretModel, id_col: str = "doc_id",
     return rows.mapInArrow(scan, out).withColumnRenamed("_id", id_col)
 
 
-def redacted(text: Column, path: Column, model: SecretModel, mark: str = "[secret]") -> Column:
-    """``text`` with every secret replaced by ``mark``."""
-    @F.pandas_udf("string")
-    def hide(t: pd.Series, p: pd.Series) -> pd.Series:
-        batch = pa.record_batch([pa.Array.from_pandas(t, type=pa.large_string()), pa.Array.from_pandas(p, type=pa.string())], ["t", "p"])
-        out: list[str | None] = []
-        for part in slices(iter([batch]), "t"):
-            texts = part.column(0)
-            made = texts.to_pylist()
-            for d, a, b, _, score in reversed(judged(texts, part.column(1).to_pylist(), model)):
-                if score >= 0.5:
+def redacted(docs: DataFrame, model: SecretModel, text_col: str = "text", path_col: str = "source", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every secret in the texts replaced by ``mark``; other columns stay as they are."""
+
+    def hide(batches):
+        for part in slices(batches, text_col):
+            texts = get(part, text_col)
+            found = [f for f in judged(texts, get(part, path_col).cast(pa.string()).to_pylist(), model) if f[4] >= 0.5]
+            if found:
+                made = texts.to_pylist()
+                for d, a, b, _, _ in reversed(found):
                     raw = made[d].encode()
                     made[d] = (raw[:a] + mark.encode() + raw[b:]).decode()
-            out += made
-        return pd.Series(out, dtype=object)
+                at = part.schema.get_field_index(text_col)
+                part = part.set_column(at, part.schema.field(at), pa.array(made, texts.type))
+            yield part
 
-    return hide(text, path.cast("string"))
+    return docs.mapInArrow(hide, docs.schema)
