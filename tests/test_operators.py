@@ -1,6 +1,5 @@
 """Operators against brute force on small inputs, and the round trips of readers and writers."""
 
-import difflib
 import math
 import random
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.rules import rules_df
 from wardlight.functions import cols
 from wardlight.functions.code import calls_udf, outline_udf
-from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, rules_check, rules_match, scoring, taint, triage, web_audit
+from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, rules_check, rules_match, scoring, secrets, taint, triage, web_audit
 from wardlight.sources import records, tree
 
 R = random.Random(7)
@@ -173,14 +172,56 @@ def test_calls_and_arguments(spark):
     assert got[2] == [("f", "f(", [])] and got[3] == []
 
 
+def test_calls_of_a_long_line_are_linear(spark):
+    import time
+
+    line = "f(" + ", ".join(f"g{k}(a{k}, h(b))" for k in range(100_000)) + ")"
+    df = spark.createDataFrame([(line,)], "t string").select(F.explode(calls_udf()("t")).alias("c"))
+    start = time.time()
+    assert df.count() == 200_001 and len(line) > 2 * 1024 * 1024 - 200_000
+    assert time.time() - start < 60
+
+
 def test_outline(spark):
     text = "a = 1\n\ndef f(x):\n    if x:\n        y = [\n          1]\n    # note\n    return y\nb = 2\n"
     df = spark.createDataFrame([(text, False), ("int f(int x)\n{\n  if (x) {\n    g();\n  } else {\n    h();\n  }\n}\n", True)], "c string, b boolean")
-    got = [[(s["line"], s["parent"], s["end_line"]) for s in r.s] for r in df.select(outline_udf()("c", "b").alias("s")).collect()]
-    assert got[0] == [(1, 0, 1), (3, 0, 8), (4, 3, 5), (5, 4, 5), (8, 3, 8), (9, 0, 9)]
+    got = [[(s["line"], s["parent"], s["end_line"]) for s in r.s] for r in df.select(outline_udf({"python": r"def (\w+)"}, ("=>", "=>"), "<anonymous>", "<module>")("c", "b", F.lit("python")).alias("s")).collect()]
+    assert got[0] == [(1, 0, 1), (3, 0, 8), (4, 3, 6), (5, 4, 6), (8, 3, 8), (9, 0, 9)]
     assert got[1] == [(1, 0, 8), (3, 1, 5), (4, 3, 4), (5, 1, 7), (6, 5, 6), (7, 1, 7), (8, 0, 8)]
 
 
+def test_statements_over_lines_and_functions(spark):
+    from wardlight.operators import extract
+
+    files = spark.createDataFrame([
+        ("a.py", "python", "a, *b = f(\n  1,\n  2)\nx = 1 + \\\n  2\n"),
+        ("b.js", "javascript", "const go = async (req, res) => {\n  run(\n    req.a,\n    b\n  );\n};\napp.get('/', (q) => {\n  q.end();\n});\n"),
+        ("c.cpp", "cpp", "int Depot::load(int n)\n{\n  return n;\n}\n"),
+        ("d.java", "java", "class D {\n  void run(Request r) throws IOException {\n    return call(r);\n  }\n}\n")], "file string, language string, content string")
+    s = extract.statements(files)
+    text = {(r.file, r.line): r.text for r in s.collect()}
+    assert text["a.py", 1] == "a, *b = f( 1, 2)" and text["a.py", 4] == "x = 1 + 2" and text["b.js", 2] == "run( req.a, b );"
+    assert {(r.line, r.target) for r in extract.extract_assignments(s).filter("file = 'a.py'").collect()} == {(1, "a"), (1, "b"), (4, "x")}
+    f = {(r.file, r.name): (r.params, r.start_line, r.end_line) for r in extract.extract_functions(s).collect()}
+    assert f == {("b.js", "go"): (["req", "res"], 1, 6), ("b.js", "<anonymous>"): (["q"], 7, 9), ("c.cpp", "load"): (["n"], 1, 4), ("d.java", "run"): (["r"], 2, 4)}
+    assert {r.func for r in s.filter("file = 'b.js' and line = 2").collect()} == {"go"}
+
+
+def test_unreadable_bytes_and_limits(spark, tmp_path):
+    from wardlight.sources.tree import source_tree_scan
+
+    (tmp_path / "a.py").write_bytes(b"x = '\xe9t\xe9'\n")
+    (tmp_path / "b.py").write_bytes(b"y" * 500)
+    got = {r.file: r.content for r in source_tree_scan(spark, str(tmp_path)).collect()}
+    assert got["a.py"] == "x = '\ufffdt\ufffd'\n" and len(got["b.py"]) == 500
+    assert {r.file: r.content is None for r in source_tree_scan(spark, str(tmp_path), max_bytes=100).collect()} == {"a.py": False, "b.py": True}
+
+
+def test_own_secret_patterns_see_every_line(spark):
+    lines = spark.createDataFrame([("f", 1, "AKIA123")], "file string, line long, text string")
+    assert secrets.detect_secret_patterns(lines, [("own", "AKIA[0-9]+")]).count() == 1
+
+
 def test_entropy(spark):
     words = ["", "aaaa", "abcd", "k9AbCdEf0123456789XyZ", "ééà"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(cols.entropy_bits(F.col("w"))).collect()]
@@ -189,15 +230,12 @@ def test_entropy(spark):
 
 
 def test_similarity_and_evidence(spark):
-    from wardlight.functions.code import similarity_udf
-
-    a, b = "hello world " * 3, "hallo wurld " * 3
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(similarity_udf(5000)("a", "b")).first()[0] == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
-    pair = spark.createDataFrame([(1, "u1", 200, "x" * 50, "u2", 200, "x" * 45 + "y" * 5), (2, "u1", 200, "x", "u2", 500, "x")],
+    far = " ".join(f"w{k}" for k in range(20_000))
+    pair = spark.createDataFrame([(1, "u1", 200, "x " * 50, "u2", 200, "x " * 45 + "y " * 5), (2, "u1", 200, "x", "u2", 500, "x"), (3, "u", 200, far + " aaaa" * 3000, "u", 200, far + " bbbb" * 3000), (4, "u", 200, "", "u", 200, None)],
                                  "pair_id int, a_url string, a_status int, a_body string, b_url string, b_status int, b_body string")
     got = {r.pair_id: (r.similarity, r.significant) for r in web_audit.response_diff(pair).collect()}
     assert got[1] == (pytest.approx(0.9), True) and got[2] == (None, True)
+    assert got[3] == (pytest.approx(20_000 / 23_000), True)  # the difference lies behind the first 100,000 characters
     assert "delta 0" in web_audit.diff_evidence(pair, "q").filter("pair_id = 2").first()["evidence"]
 
 
@@ -275,14 +313,14 @@ def test_tree_and_manifest(spark, tmp_path):
     got = tree.source_tree_scan(spark, str(tmp_path), max_bytes=200)
     assert {r.file for r in got.collect()} == {"a.py", "s/d.js", "package.json"}
     assert [tuple(r) for r in records.manifest_read(got.filter("file = 'package.json'")).collect()] == [("package.json", "express", "4.0")]
-    assert tree.source_tree_scan(spark, str(tmp_path), max_bytes=10).count() == 1
+    assert tree.source_tree_scan(spark, str(tmp_path), max_bytes=10).filter("content is not null").count() == 1
 
 
 def test_masked_evidence_and_redos(spark):
     from wardlight.operators import secrets
 
     df = spark.createDataFrame([("f", 1, '"(a+)+"'), ("f", 2, "'(x|x)*'"), ("f", 3, '"[a-z]+$"'), ("f", 4, "/(b*)*/g"), ("f", 5, '"' + "(a+)+" * 120 + '"')], "file string, line bigint, literal string")
-    assert {r.line for r in secrets.detect_redos(df).collect()} == {1, 2, 4}
+    assert {r.line for r in secrets.detect_redos(df).collect()} == {1, 2, 4, 5}
     got = spark.range(1).select(findings.secret_evidence(F.lit("k"), F.lit("abcdefgh"))).first()[0]
     assert got == 'k = "abcd****"'
 

@@ -1,91 +1,145 @@
-"""End-to-end scans of small programs: expected classes per program, and none for clean ones."""
+"""Whole scans of small programs about a parcel depot, one behaviour each: expected classes, none for clean ones."""
 
 import pytest
 
 from wardlight.catalog.rules import rules_df
 from wardlight.plans.static_scan import static_scan
 
+FLASK = "from flask import request\n"
+
 PROGRAMS = {
-    "web.py": ('''from flask import Flask, request
-import subprocess
-app = Flask(__name__)
-API_KEY = "super-private-key-123"
-
-@app.route("/user")
-def user():
-    who = request.args.get("name", "")
-    q = "SELECT id FROM users WHERE name = '%s'" % who
-    cur = conn.execute(q)
-    return cur
-
-@app.route("/run")
-def run_it():
-    cmd = request.args.get("cmd", "echo")
-    out = subprocess.check_output(cmd, shell=True)
-    return out
-''', {"SQLi", "CMDi", "Hardcoded Secret"}),
-    "unsafe.py": ('''from flask import request
-import pickle
-def calc():
-    expression = request.form.get("e")
-    return eval(expression)
-def load():
-    data = request.data_stream()
-    blob = request.json
-    return pickle.loads(blob)
-''', {"Code Injection", "Deserialization"}),
-    "xss.py": ('from flask import request\ndef render():\n    name = request.args.get("name")\n    return render_template_string("<h1>" + name + "</h1>")\n', {"XSS", "SSTI"}),
-    "path.py": ('from flask import request\ndef read():\n    filename = request.args.get("file")\n    with open("/var/www/" + filename) as f:\n        return f.read()\n', {"Path Traversal"}),
-    "ssrf.py": ('from flask import request\ndef fetch():\n    url = request.args.get("url")\n    resp = requests.get(url)\n    return resp\n', {"SSRF"}),
-    "redirect.py": ('from flask import request\ndef login():\n    target = request.args.get("next")\n    return redirect(target)\n', {"Open Redirect"}),
-    "log.py": ('from flask import request\nimport logging\ndef login():\n    user = request.args.get("user")\n    logging.info("login " + user)\n', {"Log Injection"}),
-    "md5.py": ('import hashlib\ndef h(p):\n    return hashlib.md5(p.encode()).hexdigest()\n', {"Weak Crypto"}),
-    "sha256.py": ('import hashlib\ndef h(p):\n    return hashlib.sha256(p).hexdigest()\n', set()),
-    "sanitized.py": ('''from flask import request
-def get_user():
-    user_id = request.args.get("id")
-    safe_id = int(user_id)
-    cur = conn.execute("SELECT * FROM users WHERE id=?", (safe_id,))
-    return cur.fetchone()
+    # a wrapped statement: the call starts on one line, the tainted part stands on the next
+    "depot/wrapped_call.py": (FLASK + '''
+
+class Depot:
+    def parcels_of(self):
+        shelf = request.args.get("shelf")
+        rows = self.db.execute(
+            "select code from parcel "
+            + "where shelf = '" + shelf + "'"
+        )
+        return rows
+''', {"SQLi"}),
+    "depot/backslash.py": (FLASK + '''
+
+def weigh():
+    scale = request.args.get("scale")
+    line = "weigh --scale " + \\
+        scale
+    os.system(line)
+''', {"CMDi"}),
+    # the value comes out of a helper, directly and through a second one
+    "depot/helper_returns.py": (FLASK + '''
+
+def wanted_code():
+    raw = request.args.get("code")
+    return raw
+
+
+def shown_code():
+    return wanted_code()
+
+
+def label():
+    code = shown_code()
+    db.execute("select * from label where code = '" + code + "'")
+''', {"SQLi"}),
+    # the helper hands out a constant, the source stays inside it
+    "depot/helper_keeps.py": (FLASK + '''
+
+def count_hits():
+    raw = request.args.get("code")
+    return 1
+
+
+def report():
+    hits = count_hits()
+    db.execute("select * from report limit " + hits)
 ''', set()),
-    "clean.py": ('import os\n\ndef add(a, b):\n    return a + b\n\nDB_NAME = "myapp.db"\n\ndef get_user(user_id):\n    cur = conn.execute("SELECT * FROM users WHERE id=?", (user_id,))\n    return cur\n', set()),
-    "nested.py": ('''from flask import request
-import os
-def outer():
-    a = request.args.get("a")
-    def inner(x):
-        y = x
-        return y
-    for i in range(3):
-        if a:
-            b = a
-        else:
-            b = "k"
-    os.system(b)
+    "depot/pair.py": (FLASK + '''
+
+def route():
+    van, driver = request.args.get("route").split("-")
+    os.system("dispatch " + driver)
+''', {"CMDi"}),
+    "depot/loop_carries.py": (FLASK + '''
+
+def stamps():
+    mark = ""
+    for part in request.args.getlist("part"):
+        mark = request.args.get("mark")
+        for side in "ab":
+            if side:
+                last = mark
+    os.system("stamp " + last)
 ''', {"CMDi"}),
-    "overwritten.py": ('from flask import request\nimport os\ndef f():\n    a = request.args.get("a")\n    a = "fixed"\n    os.system(a)\n', set()),
-    "go/main.go": ('''package main
-func main() {
-	http.HandleFunc("/x", func(w http.ResponseWriter, r *http.Request) {
-		file := r.URL.Query().Get("file")
-		os.Open(file)
-	})
+    "depot/replaced.py": (FLASK + '''
+
+def gate():
+    lane = request.args.get("lane")
+    lane = "north"
+    os.system("open " + lane)
+''', set()),
+    "depot/number_only.py": (FLASK + '''
+
+def pallet():
+    number = int(request.args.get("pallet", "0"))
+    height = int(number)
+    db.execute("select * from pallet where id = ?", (height,))
+''', set()),
+    "depot/bytes_in.py": (FLASK + "import pickle\n\n\ndef restore():\n    crate = request.data\n    return pickle.loads(crate)\n", {"Deserialization"}),
+    "depot/door_code.py": ('DOOR_PASSWORD = "kt93-vv81-qq07"\nOPEN_HOURS = "8-18"\n', {"Hardcoded Secret"}),
+    "depot/digest.py": ("import hashlib\n\n\ndef seal(manifest):\n    return hashlib.sha1(manifest).hexdigest()\n", {"Weak Crypto"}),
+    "depot/digest_good.py": ("import hashlib\n\n\ndef seal(manifest):\n    return hashlib.sha512(manifest).hexdigest()\n", set()),
+    "depot/arithmetic.py": ("def volume(w, h, d):\n    return w * h * d\n\n\nUNIT = \"litre\"\n", set()),
+    # arrow function with a wrapped call
+    "web/track.js": ('''const express = require("express");
+const track = (req, res) => {
+  const code = req.query.code;
+  db.query(
+    "select * from parcel where code = '" + code + "'"
+  );
+};
+''', {"SQLi"}),
+    "tools/Lift.java": ('''class Lift {
+    ResultSet levels(HttpServletRequest request) {
+        String level = request.getParameter("level");
+        return statement.executeQuery(
+            "select * from lift where level = " + level);
+    }
 }
-''', {"Path Traversal"}),
-    "cs/A.cs": ('public class A\n{\n    public void Run(HttpRequest request)\n    {\n        string c = request.QueryString["cmd"];\n        Process.Start(c);\n    }\n}\n', {"CMDi"}),
+''', {"SQLi"}),
+    # configuration is routed by name, whether or not it holds a quote or a keyword
+    "deploy/docker-compose.yml": ("services:\n  sorter:\n    image: sorter\n    privileged: true\n", {"Misconfiguration"}),
 }
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    files = spark.createDataFrame([("app/" + n, c) for n, (c, _) in PROGRAMS.items()], "file string, content string")
+    files = spark.createDataFrame([(n, c) for n, (c, _) in PROGRAMS.items()], "file string, content string")
     out = {}
     for r in static_scan(files, rules_df(spark)).collect():
-        out.setdefault(r["file"][4:], set()).add(r["vuln_class"])
-        assert r["severity"] and r["confidence"] and r["line"] and r["cvss_score"]
+        out.setdefault(r["file"], []).append(r)
     return out
 
 
 @pytest.mark.parametrize("name", list(PROGRAMS))
 def test_classes(found, name):
-    assert found.get(name, set()) == PROGRAMS[name][1]
+    assert {r["vuln_class"] for r in found.get(name, [])} == PROGRAMS[name][1]
+
+
+def test_records_are_whole(found):
+    for rows in found.values():
+        for r in rows:
+            assert r["id"] and r["severity"] and r["confidence"] and r["issue"] and r["tool"] and r["evidence"]
+            assert r["cvss_score"] or r["vuln_class"] == "Misconfiguration"
+            assert len(r["taint_trace"]) == r["trace_len"] and r["taint_trace"][-1]["line"] == r["line"]
+
+
+def test_trace_leads_from_the_source(found):
+    (r,) = [x for x in found["depot/wrapped_call.py"] if x["vuln_class"] == "SQLi"]
+    assert [s["line"] for s in r["taint_trace"]] == [6, 7] and "shelf" in r["evidence"] and r["cwe"] == "CWE-89" and r["remediation"]
+
+
+def test_secret_is_masked(found):
+    assert all("vv81" not in r["evidence"] for r in found["depot/door_code.py"])

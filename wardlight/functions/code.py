@@ -136,17 +136,3 @@ def calls_udf():
         return pd.Series(out)
 
     return calls
-
-
-def similarity_udf(chars: int):
-    """Ratcliff–Obershelp ratio of the first ``chars`` characters of two texts."""
-
-    @F.pandas_udf("double")
-    def similarity(a, b):
-        import difflib
-
-        import pandas as pd
-
-        return pd.Series([difflib.SequenceMatcher(None, (x or "")[:chars], (y or "")[:chars]).ratio() for x, y in zip(a, b)])
-
-    return similarity

@@ -46,7 +46,7 @@ def by_language(table: dict[str, str], text, group: int) -> Column:
     expr = None
     for lang, pattern in table.items():
         if lang == "typed":
-            langs = [x for x in TYPED if x not in table]
+            langs = [x for x in TYPED if x not in table and (x != "cpp" or "c" not in table)]
         else:
             langs = ["c", "cpp"] if lang == "c" else [lang]
         test = F.col("language").isin(langs)

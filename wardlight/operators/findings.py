@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import CLASS_CVSS, DEFAULT_CVSS, EVIDENCE_CHARS, REPORT_CVSS, SEVERITY_FALLBACK_CVSS
+from wardlight.catalog.fixed import CLASS_CVSS, DEFAULT_CVSS, REPORT_CVSS, SEVERITY_FALLBACK_CVSS
 from wardlight.functions.cols import lit_map
 
 # dialect -> (tests in order: (texts, severity), exact match?, default, value for a missing severity)
@@ -107,12 +107,11 @@ def severity_from_cvss(score) -> Column:
 
 
 def secret_evidence(name, value, mask: bool = True) -> Column:
-    """``name = "value"`` cut at 40 characters; by default the value is masked except its first four characters."""
+    """``name = "value"``; by default the value is masked except its first four characters, its length kept."""
     shown = value
     if mask:
         shown = F.concat(F.substring(value, 1, 4), F.repeat(F.lit("*"), F.greatest(F.length(value) - 4, F.lit(0))))
-    cut = F.when(F.length(shown) > EVIDENCE_CHARS, F.concat(F.substring(shown, 1, EVIDENCE_CHARS), F.lit("..."))).otherwise(shown)
-    return F.concat(name, F.lit(' = "'), cut, F.lit('"'))
+    return F.concat(name, F.lit(' = "'), shown, F.lit('"'))
 
 
 def taint_trace_build(steps: DataFrame, key: str = "seq") -> DataFrame:
@@ -124,14 +123,15 @@ def taint_trace_build(steps: DataFrame, key: str = "seq") -> DataFrame:
 
 def finding_rule_enrich(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Add the rule's severity (unless overridden), confidence, cwe, owasp, texts and scores; unknown rules drop the row."""
-    from wardlight.session import small_side
 
-    one = rules.dropDuplicates(["rule_id"]).select(
+    from wardlight.operators.rules_match import unique_rules
+
+    one = unique_rules(rules).select(
         "rule_id", F.col("vuln_class").alias("rule_class"), F.col("severity").alias("rule_severity"),
         F.col("confidence").alias("rule_confidence"), "cwe", "owasp", F.col("cvss_score").alias("rule_score"),
         F.col("cvss_vector").alias("rule_vector"), "issue", "message", "remediation",
     )
-    j = hits.join(small_side(one), "rule_id")
+    j = hits.join(one, "rule_id")
     score, vector = report_cvss(F.col("rule_score"), F.col("rule_vector"), F.col("vuln_class"))
     keep = [c for c in hits.columns if c not in ("severity_override", "confidence_override")]
     return j.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import FRAMEWORK_ORDER, FRAMEWORK_SIGNALS, FRAMEWORK_SOURCES, GENERIC_CONFIDENCE
 from wardlight.functions.cols import lit_map
+from wardlight.operators.dedup import first_by
 
 
 def framework_detect(files: DataFrame) -> DataFrame:
@@ -44,5 +45,5 @@ def framework_augment(detected: DataFrame, rules: DataFrame) -> DataFrame:
     framework and not once per file. ``detected`` is the result of ``framework_detect``.
     """
     seen = detected.groupBy("language", "framework").agg(F.count("*").alias("n_files"))
-    r = rules.select("language", "rule_id", "sources").dropDuplicates(["language", "rule_id"])
+    r = first_by(rules.select("language", "rule_id", "sources"), ["language", "rule_id"], ["sources"])
     return seen.join(r, "language").select("language", "framework", "n_files", "rule_id", F.array_union("sources", framework_sources(F.col("framework"))).alias("sources"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import CRAWL_DEPTH, MAX_CALL_DEPTH, PAGE_CAP
 from wardlight.operators.iterate import fixpoint
 from wardlight.session import checkpointed
 
@@ -36,7 +35,7 @@ def taint_fixpoint(edges: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFra
     return fixpoint(gen.select("node", "loc"), step)
 
 
-def call_reachability(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_CALL_DEPTH) -> DataFrame:
+def call_reachability(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """``(root, node, depth)``: nodes reached from each root within ``max_depth`` steps, least depth."""
     e = checkpointed(edges.select("src", "dst").distinct())
     seed = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
@@ -47,21 +46,25 @@ def call_reachability(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_C
     return fixpoint(seed, step, max_rounds=max_depth, on=["root", "node"])
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int = CRAWL_DEPTH, cap: int = PAGE_CAP) -> DataFrame:
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, cap: int | None = None) -> DataFrame:
     """``(host, url, depth)``: breadth-first reach over stored links inside each seed's host.
 
-    ``links`` is ``(host, url, target_host, target)``. The first ``cap`` pages per host in the order (depth, url) are
-    kept; the cap is part of the search, so each round only expands pages inside it.
+    ``links`` is ``(host, url, target_host, target)``. The search runs until nothing new is found. A caller may stop it at
+    ``max_depth``, or keep the first ``cap`` pages per host in the order (depth, url); each round then only expands these.
     """
     inner = checkpointed(links.filter("host = target_host").select("host", "url", "target").distinct())
     order = W.partitionBy("host").orderBy("depth", "url")
 
     def capped(df):
-        return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap).drop("_r")
+        return df if cap is None else df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap).drop("_r")
 
     visited = checkpointed(capped(seeds.select("host", "url", F.lit(0).alias("depth")).distinct()))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         front = visited.filter(F.col("depth") == depth - 1)
+        if front.isEmpty():
+            break
         fresh = front.join(inner, ["host", "url"]).select("host", F.col("target").alias("url")).distinct().join(visited, ["host", "url"], "left_anti")
         visited = checkpointed(capped(visited.unionByName(fresh.withColumn("depth", F.lit(depth)))))
     return visited

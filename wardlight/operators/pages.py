@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import JS_ENDPOINT_PATTERNS, ROBOTS_PATTERN, SITEMAP_CAP, SITEMAP_PATTERN, SKIP_INPUT_TYPES, SKIP_LINK_PREFIXES
+from wardlight.catalog.fixed import JS_ENDPOINT_PATTERNS, ROBOTS_PATTERN, SITEMAP_PATTERN, SKIP_INPUT_TYPES, SKIP_LINK_PREFIXES
 from wardlight.functions.cols import any_of, endpoint_key, endpoint_url, explode_once, host_of, query_pairs, resolve_url, url_part
 from wardlight.operators.dedup import dedup_first_seen, first_by
 
@@ -70,11 +70,11 @@ def per_host_cap(df: DataFrame, n: int, order: list, host: str = "host") -> Data
     return df.withColumn("_r", F.row_number().over(W.partitionBy(host).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def sitemap_urls(documents: DataFrame, cap: int = SITEMAP_CAP) -> DataFrame:
-    """``(host, target)``: same-host addresses of sitemap texts ``(url, body)``, first ``cap`` per host by address."""
+def sitemap_urls(documents: DataFrame, cap: int | None = None) -> DataFrame:
+    """``(host, target)``: same-host addresses of sitemap texts ``(url, body)``; with ``cap`` the first per host by address."""
     u = documents.select(host_of(F.col("url")).alias("host"), F.explode(F.regexp_extract_all("body", F.lit(SITEMAP_PATTERN), F.lit(1))).alias("target"))
     own = u.filter(host_of(F.col("target")) == F.col("host")).distinct()
-    return per_host_cap(own, cap, ["target"])
+    return own if cap is None else per_host_cap(own, cap, ["target"])
 
 
 def robots_paths(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.cols import explode_once, let
-from wardlight.session import small_side
+from wardlight.operators.dedup import first_by
 
 PATTERNS_PER_PASS = 2_000
 SPLIT = r"[.\s:>(]+"
@@ -26,18 +26,22 @@ def rule_index_build(rules: DataFrame) -> DataFrame:
     return explode_once(s, ["language", "rule_id"], tokens_of(F.col("sink")), "token").distinct()
 
 
+def unique_rules(rules: DataFrame) -> DataFrame:
+    """One row per rule id; of several the least over all fields, so the pick does not depend on the order of rows."""
+    return first_by(rules, ["rule_id"], [c for c in rules.columns if c != "rule_id"])
+
+
 def sink_candidates(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("file", "line", "col")) -> DataFrame:
-    """``(keep…, function_name, rule_id)``: rules that share a token with the call head and have a sink inside the call.
+    """``(keep…, function_name, rule_id)``: rules with a sink that shares a token with the call head and lies inside the call.
 
     The head's tokens meet the index by equality; the substring test runs on the survivors only.
     """
-    index = rule_index_build(rules).join(
-        rules.select("language", "rule_id", F.transform("sinks", F.lower).alias("_sinks")).dropDuplicates(["language", "rule_id"]), ["language", "rule_id"]
-    )
+    sinks = rules.select("language", "rule_id", F.explode("sinks").alias("sink"))
+    index = explode_once(sinks, ["language", "rule_id", "sink"], tokens_of(F.col("sink")), "token").select("language", "token", "rule_id", F.lower("sink").alias("_sink")).distinct()
     c = calls.select("language", *keep, "function_name", F.lower("full_text").alias("_t"), F.lower("function_name").alias("_f"))
     head = F.array_union(tokens_of(F.col("_f")), tokens_of(F.substring_index("_t", "(", 1)))
-    hit = explode_once(c, c.columns, head, "token").join(small_side(index), ["language", "token"])
-    found = F.exists("_sinks", lambda s: F.contains(F.col("_t"), s) | F.contains(F.col("_f"), s))
+    hit = explode_once(c, c.columns, head, "token").join(index, ["language", "token"])
+    found = F.contains(F.col("_t"), F.col("_sink")) | F.contains(F.col("_f"), F.col("_sink"))
     return hit.filter(found).select(*keep, "function_name", "rule_id").distinct()
 
 
@@ -91,7 +95,7 @@ def sanitizer_exclude(hits: DataFrame, rules: DataFrame, text: str = "full_text"
     """Drop hits whose text contains one of the rule's sanitizers."""
     san = rules.select("rule_id", F.explode("sanitizers").alias("_s")).select("rule_id", F.lower("_s").alias("_s")).distinct()
     cond = (hits["rule_id"] == san["rule_id"]) & F.contains(F.lower(hits[text]), san["_s"])
-    return hits.join(small_side(san), cond, "left_anti")
+    return hits.join(san, cond, "left_anti")
 
 
 def rule_arrays(rules: DataFrame, kind: str) -> dict[str, list[str]]:

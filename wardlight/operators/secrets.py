@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import (
     CREDENTIAL_EXCLUDED, CREDENTIAL_MIN_LENGTH, CREDENTIAL_NAMES, ENTROPY_MIN_BITS, ENTROPY_MIN_LENGTH,
-    PLACEHOLDER_VALUES, REDOS_MAX_LENGTH, REDOS_MIN_LENGTH, REDOS_PATTERNS, SECRET_PATTERNS, SENSITIVE_FILE_PATTERN,
+    PLACEHOLDER_VALUES, REDOS_MIN_LENGTH, REDOS_PATTERNS, SECRET_PATTERNS, SENSITIVE_FILE_PATTERN,
     SKIPPED_PATH_PARTS,
 )
 from wardlight.functions.cols import contains_any, entropy_bits, explode_once
@@ -20,10 +20,10 @@ QUOTED_ASSIGNMENT = r"""[A-Za-z_][\w.-]*\s*=\s*(?:"[^"]*"|'[^']*'|`[^`]*`)"""
 def detect_secret_patterns(lines: DataFrame, patterns=SECRET_PATTERNS, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
     """``(keep…, rule_id, ord, pos, match)`` for every match of every pattern.
 
-    All patterns are evaluated in one pass over the rows. Every pattern needs ``=`` or a token prefix, so a plain
-    substring test drops most lines before any expression runs.
+    All patterns are evaluated in one pass over the rows. Every shipped pattern needs ``=`` or a token prefix, so with
+    these a plain substring test drops most lines before any expression runs; a caller's patterns see every line.
     """
-    gate = contains_any(F.col("text"), ["=", "sk-", "ghp_", "xoxb-"])
+    gate = contains_any(F.col("text"), ["=", "sk-", "ghp_", "xoxb-"]) if patterns is SECRET_PATTERNS else F.col("text").isNotNull()
     found = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule_id"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("m"))
         for i, (rule, p) in enumerate(patterns)
@@ -95,8 +95,11 @@ def clean_pattern(literal) -> Column:
 
 def detect_redos(strings: DataFrame) -> DataFrame:
     """Literals with nested, repeated-alternative or adjacent unbounded repetition; one hit per line."""
-    fit = strings.filter(F.length("literal").between(REDOS_MIN_LENGTH, REDOS_MAX_LENGTH))
+    fit = strings.filter(F.length("literal") >= REDOS_MIN_LENGTH)
     p = fit.withColumn("pattern", clean_pattern(F.col("literal")))
-    shape = F.coalesce(*[F.when(F.col("pattern").rlike(r), F.lit(i + 1)) for i, r in enumerate(REDOS_PATTERNS)])
+    # the first expression in two linear steps: a repetition inside an open group, then a repeated closing bracket behind it
+    behind = F.regexp_extract_all("pattern", F.lit(r"\([^()]*(?:[+*]|\{\d+,?\d*\})(.*)"), F.lit(1))
+    nested = F.exists(behind, lambda rest: rest.rlike(r"\)[+*]"))
+    shape = F.when(nested, 1).when(F.contains("pattern", F.lit("|")) & F.col("pattern").rlike(REDOS_PATTERNS[1]), 2).when(F.col("pattern").rlike(REDOS_PATTERNS[2]), 3)
     hit = p.withColumn("shape", shape).filter("shape is not null").select("file", "line", "shape", "pattern")
     return first_by(hit, ["file", "line"], ["shape", "pattern"])

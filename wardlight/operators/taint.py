@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import MAX_CALL_DEPTH, PARAMETER_MARKS, PARAMETER_MARKS_LOWER, RECEIVER_NAMES, SINK_TEXT_CHARS
+from wardlight.catalog.fixed import PARAMETER_MARKS, PARAMETER_MARKS_LOWER, RECEIVER_NAMES
 from wardlight.functions.cols import contains_any, let
 from wardlight.operators import blocks, extract
 from wardlight.operators.extract import ASSIGN, by_language, header
 from wardlight.operators.framework import framework_detect, framework_sources
 from wardlight.operators.iterate import fixpoint
-from wardlight.operators.rules_match import PATTERNS_PER_PASS, by_language_array, rule_arrays, sanitizer_exclude, sink_candidates
+from wardlight.operators.rules_match import by_language_array, rule_arrays, sanitizer_exclude, sink_candidates
 from wardlight.session import checkpointed, written
 
 IDENT = r"[A-Za-z_$][\w$]*"
@@ -99,9 +99,7 @@ class CodeFacts:
         """
         if not hasattr(self, "_sink_calls"):
             texts = rule_arrays(self.rules, "sinks")
-            stmts = self.stmts
-            if sum(len(v) for v in texts.values()) <= PATTERNS_PER_PASS:
-                stmts = stmts.filter(let(F.lower("text"), lambda low: F.exists(by_language_array(texts), lambda p: F.contains(low, p))))
+            stmts = self.stmts.filter(let(F.lower("text"), lambda low: F.exists(by_language_array(texts), lambda p: F.contains(low, p))))
             found = sink_candidates(extract.extract_calls(stmts), self.rules, keep=("file", "line", "col", "full_text"))
             self._sink_calls = checkpointed(found)
         return self._sink_calls
@@ -124,19 +122,42 @@ def taint_gen_kill(facts: CodeFacts) -> DataFrame:
     return gen.unionByName(kill).unionByName(flow)
 
 
+def returning_functions(facts: CodeFacts) -> DataFrame:
+    """``(file, name)`` of functions whose return statement holds a source, a name their body took from one, or a call of
+    such a function of the same file; names wrapped by a sanitizer do not count."""
+    san = by_language_array(facts.sanitizers)
+    value = F.regexp_extract("text", extract.RETURN, 1)
+    r = facts.stmts.filter("func_start > 0").withColumn("value", value).filter("value <> ''").withColumn("_src", facts.has_source(F.col("value")))
+    open_names = F.array_except(identifiers(F.col("value")), safe_identifiers(F.col("value"), san))
+    names = r.filter("not _src").select("file", "func", "func_start", F.explode(open_names).alias("base"))
+    taken = facts.definitions().filter("from_source").select("file", "func_start", "base").distinct()
+    seed = r.filter("_src").select("file", F.col("func").alias("name")).unionByName(names.join(taken, ["file", "func_start", "base"]).select("file", F.col("func").alias("name")))
+    called = checkpointed(names.select("file", F.col("base").alias("name"), F.col("func").alias("_caller")).join(facts.functions.select("file", "name").distinct(), ["file", "name"]))
+    return fixpoint(seed, lambda front: front.join(called, ["file", "name"]).select("file", F.col("_caller").alias("name")))
+
+
+def from_returns(facts: CodeFacts, d: DataFrame) -> DataFrame:
+    """Definitions whose value calls a function that returns a source count as sources themselves."""
+    calls = d.select("file", "line", "target", F.explode(F.regexp_extract_all("value", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("name"))
+    hit = calls.join(returning_functions(facts), ["file", "name"]).select("file", "line", "target").distinct().withColumn("_ret", F.lit(True))
+    return d.join(hit, ["file", "line", "target"], "left").withColumn("from_source", F.col("from_source") | F.coalesce("_ret", F.lit(False))).drop("_ret")
+
+
 class DefUse:
     """Nodes and static edges for the fixpoint.
 
     Only files with both a place where taint starts and a candidate sink can report, so everything else is dropped
     before the edges are built. The edge tables are partitioned once on the columns they are joined by; a round of the
-    fixpoint then moves its new rows only.
+    fixpoint then moves its new rows only. With ``returns`` a call of a function that hands out a source is a source.
     """
 
-    def __init__(self, facts: CodeFacts):
+    def __init__(self, facts: CodeFacts, returns: bool = False):
         self.facts = facts
         san = by_language_array(facts.sanitizers)
         self.handlers = handler_param_seed(facts)
         d = facts.definitions()
+        if returns:
+            d = from_returns(facts, d)
         starts = d.filter("from_source").select("file").unionByName(self.handlers.select("file")).distinct()
         files = checkpointed(facts.sinks().select("file").distinct().join(starts, "file", "left_semi"))
         d = d.join(files, "file", "left_semi").withColumn("_safe", safe_identifiers(F.col("value"), san))
@@ -206,7 +227,7 @@ def taint_fixpoint(facts: CodeFacts, du: DefUse | None = None) -> DataFrame:
     seed = du.source_nodes().unionByName(du.param_nodes(du.handlers).select("file", "b", "base", "line"))
     state = du.reach(seed)
     hits = du.sink_hits(state)
-    place = facts.stmts.select("file", F.col("line").alias("sink_line"), "func", "func_start", F.substring("text", 1, SINK_TEXT_CHARS).alias("sink_text"))
+    place = facts.stmts.select("file", F.col("line").alias("sink_line"), "func", "func_start", F.col("text").alias("sink_text"))
     located = hits.join(place, ["file", "sink_line"])
     # where the name was tainted first inside the function; the header line for a parameter
     tainted_defs = state.filter("line > 0").join(du.defs.select("file", "line", F.col("base"), "func_start"), ["file", "line", "base"])
@@ -220,7 +241,7 @@ def taint_sinks(facts: CodeFacts, tainted: DataFrame) -> DataFrame:
     san = by_language_array(facts.sanitizers)
     t = facts.stmts.filter(F.contains("text", F.lit("("))).select("file", "line", "text", F.explode(F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san))).alias("base"))
     hit = t.join(tainted.select("file", "base").distinct(), ["file", "base"])
-    return hit.join(facts.sinks(), ["file", "line"]).select("file", "line", "rule_id", F.col("base").alias("var"), F.substring("text", 1, SINK_TEXT_CHARS).alias("sink_text"))
+    return hit.join(facts.sinks(), ["file", "line"]).select("file", "line", "rule_id", F.col("base").alias("var"), F.col("text").alias("sink_text"))
 
 
 # ---------------------------------------------------------------------------- calls between functions
@@ -261,9 +282,9 @@ def module_taint(facts: CodeFacts) -> DataFrame:
     return d.groupBy("file", "base").agg(F.min("line").alias("line"))
 
 
-def interprocedural_contexts(facts: CodeFacts, max_depth: int = MAX_CALL_DEPTH) -> DataFrame:
+def interprocedural_contexts(facts: CodeFacts, max_depth: int | None = None) -> DataFrame:
     """``(file, callee, line, param)``: parameters tainted at a call site, from module level or passed on by a caller's
-    tainted parameter, through at most ``max_depth`` further calls."""
+    tainted parameter; contexts are finite, so chains are followed to their end unless ``max_depth`` says otherwise."""
     edges = checkpointed(call_edges(facts.calls, facts.functions))
     first = param_seed(edges, facts.functions, module_taint(facts)).select("file", "callee", "line", "param")
     passing = positional(edges, facts.functions).withColumn("_w", F.explode(identifiers(F.col("arg")))).select(

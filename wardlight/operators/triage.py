@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import REFUSAL_PHRASES, REPLY_MIN_CHARS
 from wardlight.functions.cols import contains_any
-from wardlight.session import small_side
 
 
 def advisory_match(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Packages ``(file, pkg, version)`` whose version starts with a prefix of their advisory ``(pkg, prefixes, severity)``."""
-    j = deps.join(small_side(advisories), "pkg")
+    j = deps.join(advisories, "pkg")
     return j.filter(F.exists("prefixes", lambda p: F.startswith(F.col("version"), p))).select("file", "pkg", "version", "severity")
 
 
@@ -53,8 +52,8 @@ def reply_quality_filter(replies: DataFrame, text: str = "text") -> DataFrame:
 def patch_apply(files: DataFrame, patches: DataFrame) -> DataFrame:
     """Contents with all patches ``(file, seq, old, new)`` applied in order, each replacing every occurrence.
 
-    Applying patches is a fold in order per file. A file is at most 2 MiB and findings are unique per line and rule, so
-    the list folded for one file is bounded by its own text. Empty texts and files without content are skipped.
+    Applying patches is a fold in order per file. Findings are unique per line and rule, so the list folded for one file
+    is bounded by its own text. Empty texts and files without content are skipped.
     """
     good = patches.filter("old <> '' and new <> ''")
     lists = good.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("_p"))

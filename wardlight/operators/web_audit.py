@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import (
-    DB_ERROR_PATTERNS, DIFF_COMPARED_CHARS, DIFF_EVIDENCE_CHARS, DIFF_MAX_SIMILARITY, DIFF_MIN_LENGTH_DELTA,
+    DB_ERROR_PATTERNS, DIFF_MAX_SIMILARITY, DIFF_MIN_LENGTH_DELTA,
     ENTITY_INDICATORS, HSTS_MIN_AGE, INTERNAL_INDICATORS, LATENCY_MIN_MS, LATENCY_OVER_BASELINE_MS, RISKY_METHODS,
     SERVER_PRODUCTS, UNIX_FILE_INDICATORS, WINDOWS_FILE_INDICATORS,
 )
-from wardlight.functions.code import similarity_udf
 from wardlight.functions.cols import any_of, contains_any, explode_once, first_contained, let, lit_map
 from wardlight.operators.findings import severity_from_cvss
 
@@ -96,13 +97,13 @@ def header_audit(responses: DataFrame, keep: tuple[str, ...] = ("resp_id", "url"
     return with_metadata(explode_once(r, list(keep), failed, "check"), HEADER_CHECKS)
 
 
-def cookie_audit(cookies: DataFrame) -> DataFrame:
+def cookie_audit(cookies: DataFrame, keep: tuple[str, ...] = ("resp_id",)) -> DataFrame:
     """``cookies`` is ``(resp_id, name, http_only, secure, same_site)``; one row per failed check."""
     weak = ~F.lower(F.coalesce("same_site", F.lit(""))).isin("strict", "lax")
     failed = F.array_compact(F.array(
         F.when(~F.coalesce("http_only", F.lit(False)), "cookie_http_only"), F.when(~F.coalesce("secure", F.lit(False)), "cookie_secure"),
         F.when(weak, "cookie_same_site")))
-    return with_metadata(cookies.select("resp_id", "name", F.explode(failed).alias("check")), COOKIE_CHECKS)
+    return with_metadata(cookies.select(*keep, "name", F.explode(failed).alias("check")), COOKIE_CHECKS)
 
 
 def cors_audit(responses: DataFrame, probe_origin: str) -> DataFrame:
@@ -203,7 +204,7 @@ def response_pairs(responses: DataFrame, pairs: DataFrame) -> DataFrame:
 def response_diff(paired: DataFrame, similarity: bool = True, min_delta: int = DIFF_MIN_LENGTH_DELTA, max_similarity: float = DIFF_MAX_SIMILARITY) -> DataFrame:
     """``(pair_id, status_changed, length_delta, similarity, significant)``.
 
-    The ratio is computed for pairs that status and length leave open; for decided pairs it is null. Without
+    The word overlap is computed for pairs that status and length leave open; for decided pairs it is null. Without
     ``similarity`` only status and length decide.
     """
     d = paired.select(
@@ -213,26 +214,37 @@ def response_diff(paired: DataFrame, similarity: bool = True, min_delta: int = D
     if not similarity:
         return d.select("pair_id", "status_changed", "length_delta", decided.alias("significant"))
     closed = d.filter(decided).select("pair_id", "status_changed", "length_delta", F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("significant"))
-    ratio = similarity_udf(DIFF_COMPARED_CHARS)(F.substring("a_body", 1, DIFF_COMPARED_CHARS), F.substring("b_body", 1, DIFF_COMPARED_CHARS))
-    open_ = d.filter(~decided).withColumn("similarity", ratio)
+    open_ = word_overlap(d.filter(~decided), "pair_id", "a_body", "b_body")
     return closed.unionByName(open_.select("pair_id", "status_changed", "length_delta", "similarity", (F.col("similarity") <= max_similarity).alias("significant")))
 
 
-def edit_similarity(a, b, chars: int = DIFF_COMPARED_CHARS) -> Column:
-    """Built-in alternative to the ratio: one minus edit distance over the longer length."""
-    x, y = F.substring(a, 1, chars), F.substring(b, 1, chars)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest > 0, 1 - F.levenshtein(x, y) / longest).otherwise(F.lit(1.0))
+def word_overlap(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``similarity``: twice the words both whole texts share over the words of both, repeats counted.
+
+    Words of both sides are counted in one shuffle by (key, word), so the work is linear in the texts and the words of a
+    very long body are spread; two texts without words are equal.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[^0-9A-Za-z_]+"), lambda w: w != "")
+    left = pairs.select(F.col(key).alias("_p"), F.explode(words(F.col(a))).alias("_w"), F.lit(1).alias("_x"), F.lit(0).alias("_y"))
+    right = pairs.select(F.col(key).alias("_p"), F.explode(words(F.col(b))).alias("_w"), F.lit(0).alias("_x"), F.lit(1).alias("_y"))
+    counts = left.unionByName(right).groupBy("_p", "_w").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+    shared = counts.groupBy("_p").agg((2 * F.sum(F.least("_x", "_y")) / F.sum(F.col("_x") + F.col("_y"))).alias("_s"))
+    return pairs.join(shared, pairs[key] == shared["_p"], "left").withColumn("similarity", F.coalesce("_s", F.lit(1.0))).drop("_p", "_s")
+
+
+def edit_similarity(a, b) -> Column:
+    """One minus edit distance over the longer length, for short values."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
 def diff_evidence(paired: DataFrame, param: str) -> DataFrame:
     """Readable evidence for a pair of responses."""
-    ratio = similarity_udf(DIFF_EVIDENCE_CHARS)(F.substring("a_body", 1, DIFF_EVIDENCE_CHARS), F.substring("b_body", 1, DIFF_EVIDENCE_CHARS))
     text = F.format_string(
         "Boolean difference in parameter '%s': true %s status %d length %d, false %s status %d length %d, delta %d, similarity %.2f%%",
         F.lit(param), "a_url", "a_status", F.length("a_body"), "b_url", "b_status", F.length("b_body"),
-        F.abs(F.length("a_body") - F.length("b_body")), F.col("_r") * 100)
-    return paired.withColumn("_r", ratio).select("pair_id", text.alias("evidence"))
+        F.abs(F.length("a_body") - F.length("b_body")), F.round("similarity", 6) * 100)
+    return word_overlap(paired, "pair_id", "a_body", "b_body").select("pair_id", text.alias("evidence"))
 
 
 def canary_echo(responses: DataFrame, issued: DataFrame) -> DataFrame:
@@ -241,21 +253,41 @@ def canary_echo(responses: DataFrame, issued: DataFrame) -> DataFrame:
 
 
 def canary_callback(probes: DataFrame, callbacks: DataFrame, timeout_seconds: int, pattern: str = "id-[0-9]+") -> DataFrame:
-    """Probes with the callbacks that carry their id within the timeout.
+    """Probes with the callbacks that carry their id in the path, or in the column ``body`` if there is one, within the timeout.
 
     Both sides meet on (id, time slot of one timeout length); a probe covers at most two slots, so an id with very
     many callbacks is split over its slots.
     """
     slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (timeout_seconds * 1_000_000))
     p = probes.withColumn("_s", F.explode(F.array(slot("issued_at"), slot("issued_at") + 1)))
-    c = callbacks.withColumn("canary", F.regexp_extract("path", pattern, 0)).withColumn("_s", slot("received_at"))
+    text = F.concat_ws("\n", "path", "body") if "body" in callbacks.columns else F.col("path")
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    c = callbacks.withColumn("canary", F.explode(ids)).withColumn("_s", slot("received_at"))
     late = F.col("issued_at") + F.expr(f"interval {timeout_seconds} seconds")
     return p.join(c, ["canary", "_s"]).filter((F.col("received_at") >= F.col("issued_at")) & (F.col("received_at") <= late)).drop("_s")
 
 
-def audit_findings(responses: DataFrame) -> DataFrame:
-    """Header, method and error findings of a response log in one shape."""
-    h = header_audit(responses).select("resp_id", "url", F.col("check").alias("rule_id"), F.lit("Misconfiguration").alias("vuln_class"), "severity", "cvss_score")
-    e = db_error_scan(responses).select("resp_id", "url", F.lit("db_error").alias("rule_id"), F.lit("SQLi").alias("vuln_class"),
-                                        severity_from_cvss(F.lit(9.8)).alias("severity"), F.lit(9.8).alias("cvss_score"))
-    return h.unionByName(e)
+def audit_findings(responses: DataFrame, probe_origin: str = "https://probe.example", marker: str = "track(", domain: str = "other.example") -> DataFrame:
+    """Header, cookie, CORS, method, error, indicator and redirect findings of a response log in one shape.
+
+    Cookies are read where the log has a column ``cookies`` (array of name, http_only, secure, same_site), redirect
+    steps where it has ``redirects``. ``probe_origin``, ``marker`` and ``domain`` are what the recorded requests sent.
+    """
+    def shaped(df, rule, cls, severity, score, evidence):
+        return df.select("resp_id", "url", rule.alias("rule_id"), F.lit(cls).alias("vuln_class"), severity.alias("severity"), score.cast("double").alias("cvss_score"), evidence.alias("evidence"))
+
+    fixed = lambda v: (severity_from_cvss(F.lit(v)), F.lit(v))
+    log = responses if "redirects" in responses.columns else responses.withColumn("redirects", F.array().cast("array<string>"))
+    parts = [
+        shaped(header_audit(log), F.col("check"), "Misconfiguration", F.col("severity"), F.col("cvss_score"), F.col("check")),
+        shaped(cors_audit(log, probe_origin), F.concat(F.lit("cors_"), "kind"), "CORS", *fixed(7.5), F.col("allow_origin")),
+        shaped(methods_audit(log, marker), F.concat(F.lit("method_"), F.lower("check")), "Misconfiguration", F.col("severity"), F.col("cvss_score"), F.col("methods")),
+        shaped(db_error_scan(log), F.lit("db_error"), "SQLi", *fixed(9.8), F.col("matched")),
+        shaped(indicator_scan(log), F.concat(F.lit("indicator_"), "kind"), "Information Disclosure", *fixed(7.5), F.col("indicator")),
+        shaped(redirect_check(log, domain), F.lit("open_redirect"), "Open Redirect", *fixed(6.1), F.col("evidence")),
+    ]
+    if "cookies" in responses.columns:
+        flat = log.select("resp_id", "url", F.explode("cookies").alias("k")).select("resp_id", "url", "k.*")
+        parts.append(shaped(cookie_audit(flat, ("resp_id", "url")), F.col("check"), "Insecure Cookie", F.col("severity"), F.col("cvss_score"), F.col("name")))
+    return reduce(DataFrame.unionByName, parts)
+

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.cols import endpoint_url, host_of
 from wardlight.operators import web_audit
-from wardlight.operators.dedup import dedup_first_seen
+from wardlight.operators.dedup import first_by
 from wardlight.operators.scoring import scan_score
 from wardlight.sources.records import response_log_read
 
@@ -15,8 +15,8 @@ from wardlight.sources.records import response_log_read
 def response_findings(responses: DataFrame) -> DataFrame:
     """Findings of a response log, first seen per (rule, address) kept."""
     log = response_log_read(responses)
-    found = web_audit.audit_findings(log).select(F.col("resp_id").alias("seq"), "rule_id", "vuln_class", endpoint_url(F.col("url")).alias("url"), "severity", "cvss_score")
-    return dedup_first_seen(found, ["rule_id", "url"])
+    found = web_audit.audit_findings(log).select(F.col("resp_id").alias("seq"), "rule_id", "vuln_class", endpoint_url(F.col("url")).alias("url"), "severity", "cvss_score", "evidence")
+    return first_by(found, ["rule_id", "url"], ["seq", "evidence"])
 
 
 def response_scores(responses: DataFrame) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import ADVISORIES
+from wardlight.catalog.fixed import ADVISORIES, CONFIG_CHECK_BY_NAME
 from wardlight.operators import extract, secrets, structure_checks, taint, triage
 from wardlight.operators.dedup import dedup_shortest_trace
-from wardlight.operators.files import prescan_gate, with_language
-from wardlight.operators.findings import findings_union, report_cvss
+from wardlight.operators.files import basename, prescan_gate, with_language
+from wardlight.operators.findings import findings_union, fingerprint, report_cvss
 from wardlight.operators.lines import source_lines
-from wardlight.operators.rules_match import rule_arrays
+from wardlight.operators.rules_match import rule_arrays, unique_rules
 from wardlight.operators.scoring import scan_score
-from wardlight.session import small_side
 from wardlight.sources.records import manifest_read
 
 # class, severity and confidence of findings that come from a detector instead of a rule
@@ -29,46 +28,73 @@ DETECTORS = [
 
 
 def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(file, line, rule_id, trace_len, severity_override, confidence_override)`` of every detector."""
+    """``(file, line, rule_id, trace_len, origin_line, var, evidence, severity_override, confidence_override)`` of every detector.
+
+    Configuration files are routed by name first; the keyword gate is for code and text. What a detector saw (statement,
+    call, masked value) is its evidence, so nothing is read again for it.
+    """
     flat = lambda kind: sorted({p for v in rule_arrays(rules, kind).values() for p in v})
+    config = files.filter(F.lower(basename(F.col("file"))).isin(list(CONFIG_CHECK_BY_NAME)))
     gated = prescan_gate(files, flat("sinks"), flat("sources"))
     code = with_language(gated).filter("language is not null").select("file", "language", "content")
     facts = taint.CodeFacts(code, rules)
-    du = taint.DefUse(facts)
+    du = taint.DefUse(facts, returns=True)
     none = F.lit(None).cast("string")
 
-    def shape(df, line="line", trace=1, rule=None):
+    def shape(df, line="line", rule=None, origin=None, evidence=None):
+        own = lambda c: F.col(c) if c in df.columns else none
+        at = F.col(line).cast("bigint") if line else F.lit(None).cast("bigint")
+        start = origin if origin is not None else at
         return df.select(
-            "file", F.col(line).cast("bigint").alias("line") if line else F.lit(None).cast("bigint").alias("line"),
-            F.lit(rule).alias("rule_id") if rule else F.col("rule_id"), F.lit(trace).alias("trace_len"),
-            (F.col("severity_override") if "severity_override" in df.columns else none).alias("severity_override"),
-            (F.col("confidence_override") if "confidence_override" in df.columns else none).alias("confidence_override"))
+            "file", at.alias("line"), (F.lit(rule) if rule else F.col("rule_id")).alias("rule_id"), F.when(start == at, 1).when(at.isNull(), 1).otherwise(2).alias("trace_len"),
+            start.alias("origin_line"), own("var").alias("var"), (evidence if evidence is not None else none).alias("evidence"),
+            own("severity_override").alias("severity_override"), own("confidence_override").alias("confidence_override"))
 
     lines = source_lines(gated.select("file", "content"))
+    config_lines = source_lines(config.select("file", "content"))
     # a file name can be telling whatever the content holds, so names are taken before the gate
     secret_hits = secrets.secret_fp_filter(secrets.secret_dispatch(lines, files.select("file")))
     adv = files.sparkSession.createDataFrame(ADVISORIES, "pkg string, prefixes array<string>, severity string")
-    manifests = gated.filter("regexp_replace(file, '^.*/', '') = 'package.json'").select("file", "content")
+    manifests = config.filter("regexp_replace(file, '^.*/', '') = 'package.json'").select("file", "content")
+    called = taint.interprocedural_taint(facts, du)
+    called = called.join(facts.stmts.select("file", F.col("line").alias("sink_line"), "text"), ["file", "sink_line"])
+    masked = F.concat(F.substring("value", 1, 4), F.repeat(F.lit("*"), F.greatest(F.length("value") - 4, F.lit(0))))
     return findings_union(
-        shape(taint.taint_fixpoint(facts, du), "sink_line", 2), shape(taint.interprocedural_taint(facts, du), "sink_line", 2),
-        shape(structure_checks.detect_shell_true(facts.calls, rules)), shape(structure_checks.detect_weak_crypto(facts.calls, rules)),
-        shape(secret_hits), shape(secrets.detect_redos(extract.extract_strings(lines)), rule="redos_pattern"),
-        shape(triage.detect_env_debug(lines), rule="config_env_debug"), shape(triage.detect_privileged_container(lines), rule="config_privileged"),
-        shape(triage.advisory_match(manifest_read(manifests), adv), line=None, rule="config_outdated_package"),
+        shape(taint.taint_fixpoint(facts, du), "sink_line", origin=F.col("origin_line"), evidence=F.col("sink_text")),
+        shape(called, "sink_line", origin=F.least("call_line", F.col("sink_line") - 1), evidence=F.col("text")),
+        shape(structure_checks.detect_shell_true(facts.calls, rules), evidence=F.col("full_text")),
+        shape(structure_checks.detect_weak_crypto(facts.calls, rules), evidence=F.col("pattern")),
+        shape(secret_hits, evidence=masked), shape(secrets.detect_redos(extract.extract_strings(lines)), rule="redos_pattern", evidence=F.col("pattern")),
+        shape(triage.detect_env_debug(config_lines), rule="config_env_debug", evidence=F.col("evidence")),
+        shape(triage.detect_privileged_container(config_lines), rule="config_privileged", evidence=F.col("evidence")),
+        shape(triage.advisory_match(manifest_read(manifests), adv), line=None, rule="config_outdated_package", evidence=F.concat_ws(" ", "pkg", "version")),
     )
 
 
 def static_scan(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings of ``files(file, content)``: one per (file, rule, line), with class, severity, confidence and CVSS."""
+    """Findings of ``files(file, content)``: one per (file, rule, line), the one with the shortest trace, as whole records.
+
+    A record has an id, class, severity, confidence, score and vector, CWE, OWASP, issue, description, remediation,
+    evidence, and the steps from where the value came in (or the call that handed it over) to where it is used.
+    """
     hits = raw_hits(files, rules).withColumn("vuln_class", F.lit(""))
-    # equal keys differ in trace length only, so the override texts complete the order
-    one = dedup_shortest_trace(hits.withColumn("seq", F.concat_ws("|", F.coalesce("severity_override", F.lit("")), F.coalesce("confidence_override", F.lit("")))))
-    own = files.sparkSession.createDataFrame(DETECTORS, "rule_id string, rule_class string, rule_severity string, rule_confidence string").withColumn("rule_score", F.lit(None).cast("double"))
-    known = rules.dropDuplicates(["rule_id"]).select("rule_id", F.col("vuln_class").alias("rule_class"), F.col("severity").alias("rule_severity"), F.col("confidence").alias("rule_confidence"), F.col("cvss_score").alias("rule_score"))
-    j = one.join(small_side(known.unionByName(own)), "rule_id")
-    score, vector = report_cvss(F.col("rule_score"), F.lit(None).cast("string"), F.col("rule_class"))
-    return j.select("file", "line", "rule_id", F.col("rule_class").alias("vuln_class"), F.coalesce("severity_override", "rule_severity").alias("severity"),
-                    F.coalesce("confidence_override", "rule_confidence").alias("confidence"), score.alias("cvss_score"), vector.alias("cvss_vector"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    one = dedup_shortest_trace(hits.withColumn("seq", F.concat_ws("|", *[blank(c) for c in ("severity_override", "confidence_override", "origin_line", "var", "evidence")])))
+    own = files.sparkSession.createDataFrame(DETECTORS, "rule_id string, vuln_class string, severity string, confidence string")
+    known = unique_rules(rules).select("rule_id", "vuln_class", "severity", "confidence", "cwe", "owasp", "cvss_score", "cvss_vector", "issue", "message", "remediation")
+    known = known.unionByName(own, allowMissingColumns=True).select(*[F.col(c).alias(c if c == "rule_id" else "r_" + c) for c in known.columns])
+    j = one.drop("vuln_class").join(known, "rule_id")
+    score, vector = report_cvss(F.col("r_cvss_score"), F.col("r_cvss_vector"), F.col("r_vuln_class"))
+    step = lambda n, line, text: F.struct(F.lit(n).alias("step"), line.alias("line"), F.col("file").alias("file"), text.alias("description"))
+    use = F.concat(F.lit("used here: "), F.coalesce("evidence", F.lit("")))
+    begin = F.concat(F.lit("enters as "), F.coalesce("var", F.lit("a value")))
+    trace = F.when(F.col("trace_len") == 2, F.array(step(1, F.col("origin_line"), begin), step(2, F.col("line"), use))).otherwise(F.array(step(1, F.col("line"), use)))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return j.select(
+        fingerprint(F.lit("wardlight"), F.col("file"), F.coalesce("line", F.lit(0)), F.col("rule_id"), digest=True).alias("id"), "file", "line", "rule_id", F.col("r_vuln_class").alias("vuln_class"),
+        F.coalesce("severity_override", "r_severity").alias("severity"), F.coalesce("confidence_override", "r_confidence").alias("confidence"), score.alias("cvss_score"), vector.alias("cvss_vector"),
+        text("r_cwe").alias("cwe"), text("r_owasp").alias("owasp"), F.coalesce("r_issue", F.concat("r_vuln_class", F.lit(" detected"))).alias("issue"), text("r_message").alias("description"),
+        text("evidence").alias("evidence"), trace.alias("taint_trace"), text("r_remediation").alias("remediation"), F.lit("wardlight").alias("tool"), "trace_len")
 
 
 def static_scan_scores(files: DataFrame, findings: DataFrame, project) -> DataFrame:

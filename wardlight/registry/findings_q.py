@@ -141,12 +141,12 @@ def line_event_order(t):
 
 @query("findings_union", duck("""
 select 'taint' as part, seq, rule_id, line, cast(null as varchar) as url from findings where severity = 'Critical'
-union all select 'pattern', seq, rule_id, line, cast(null as varchar) from findings where severity = 'High'
+union all select 'pattern', seq, rule_id, line, cast(null as varchar) from findings where severity <> 'Critical'
 union all select 'header', cast(page_id as varchar), 'header_rule', null, url from pages""", "findings"))
 def findings_union(t):
     f = t.findings()
     a = f.filter("severity = 'Critical'").select(F.lit("taint").alias("part"), "seq", "rule_id", "line")
-    b = f.filter("severity = 'High'").select(F.lit("pattern").alias("part"), "seq", "rule_id", "line")
+    b = f.filter("severity <> 'Critical'").select(F.lit("pattern").alias("part"), "seq", "rule_id", "line")
     c = t.pages().select(F.lit("header").alias("part"), F.col("page_id").cast("string").alias("seq"), F.lit("header_rule").alias("rule_id"), "url")
     return fnd.findings_union(a, b, c)
 
@@ -167,14 +167,14 @@ def doc_keys(t):
 DUCK_KEYS = "select doc_id, sha256(concat(source,cast(doc_id as varchar),text)) as k from documents"
 
 
-@query("cache_lookup", duck(f"select doc_id, k, exists (select 1 from scan_cache c where c.k = d.k and {VALID}) as hit from keys d", "scan_cache", keys=DUCK_KEYS))
+@query("cache_lookup", duck(f"select doc_id, k, exists (select 1 from older_cache c where c.k = d.k and {VALID}) as hit from keys d", "older_cache", keys=DUCK_KEYS))
 def cache_lookup(t):
-    return cache_op.cache_lookup(doc_keys(t), cache_op.scan_cache_load(t.scan_cache(), "cur", AS_OF, 10))
+    return cache_op.cache_lookup(doc_keys(t), cache_op.scan_cache_load(t.older_cache(), "cur", AS_OF, 10))
 
 
-@query("cache_misses", duck(f"select doc_id from keys where k not in (select k from scan_cache where {VALID})", "scan_cache", keys=DUCK_KEYS))
+@query("cache_misses", duck(f"select doc_id from keys where k not in (select k from older_cache where {VALID})", "older_cache", keys=DUCK_KEYS))
 def cache_misses(t):
-    return cache_op.cache_misses(doc_keys(t), cache_op.scan_cache_load(t.scan_cache(), "cur", AS_OF, 10)).select("doc_id")
+    return cache_op.cache_misses(doc_keys(t), cache_op.scan_cache_load(t.older_cache(), "cur", AS_OF, 10)).select("doc_id")
 
 
 @query("cache_evict_topn", duck("select k, access_count from scan_cache order by access_count desc, k limit 100", "scan_cache"))

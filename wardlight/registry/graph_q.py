@@ -11,21 +11,17 @@ from wardlight.sources.tree import register_rules as register
 from wardlight.views import duck, lit, values
 
 GK = {
-    "gen": "select s_suppkey as node, s_suppkey as loc from supplier where s_acctbal < 1500",
-    "kill": "select distinct l_suppkey as node, l_partkey % (select count(*) from supplier) as loc from lineitem where l_linenumber = 2",
+    "gen": "select s_suppkey as node, s_nationkey as loc from supplier where s_acctbal < 1500",
+    "kill": "select distinct l_suppkey as node, l_partkey % 25 as loc from lineitem where l_quantity = 50 and l_discount = 0.1",
 }
 
 
-def low_balance(t):
-    return t.read("supplier").filter("s_acctbal < 1500").select(F.col("s_suppkey").alias("node"))
-
-
 def gen_kill(t):
-    """GEN: suppliers with a low balance make their own location. KILL: pairs from the second order lines."""
+    """GEN: suppliers with a low balance make the location of their nation. KILL: pairs from the largest order lines at the
+    highest discount. Locations are as many as nations, so facts grow with the nodes."""
     e = t.edges()
-    gen = low_balance(t).select("node", F.col("node").alias("loc"))
-    vertices = t.read("supplier").agg(F.count("*")).scalar()
-    kill = t.read("lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % vertices).alias("loc")).distinct()
+    gen = t.read("supplier").filter("s_acctbal < 1500").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("loc"))
+    kill = t.read("lineitem").filter("l_quantity = 50 and l_discount = 0.1").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 25).alias("loc")).distinct()
     return e, gen, kill
 
 
@@ -49,9 +45,11 @@ def taint_fixpoint(t):
 
 
 @query("call_reachability", duck("select root, node, min(depth)::int as depth from r group by 1, 2", "edges", recursive=True,
-       r="select s_suppkey as root, s_suppkey as node, 0 as depth from supplier where s_acctbal < 1500 union select r.root, e.dst, r.depth + 1 from r join edges e on e.src = r.node where r.depth < 5"))
+       r="select s_suppkey as root, s_suppkey as node, 0 as depth from (select s_suppkey from supplier order by s_suppkey limit 5) union select r.root, e.dst, r.depth + 1 from r join edges e on e.src = r.node where r.depth < 5"))
 def call_reachability(t):
-    return graph.call_reachability(t.edges(), low_balance(t))
+    """From a short list of roots, so the result grows with the nodes and not with their square."""
+    roots = t.read("supplier").select(F.col("s_suppkey").alias("node")).orderBy("node").limit(5)
+    return graph.call_reachability(t.edges(), roots, 5)
 
 
 def _url(v):
@@ -62,15 +60,15 @@ def _host(v):
     return f"concat('h', cast({v} % 4 as string), '.example')"
 
 
-@query("crawl_frontier", duck("select host, url, depth::int as depth from (select host, url, min(depth) as depth from c group by 1, 2) qualify row_number() over (partition by host order by depth, url) <= 10", "edges", recursive=True,
+@query("crawl_frontier", duck("select host, url, depth::int as depth from (select host, url, min(depth) as depth from c group by 1, 2)", "edges", recursive=True,
        links=f"select {_host('src')} as host, {_url('src')} as url, {_host('dst')} as target_host, {_url('dst')} as target from edges",
        seeds=f"select {_host('v')} as host, {_url('v')} as url from (select min(src) as v from edges group by src % 4)",
-       c="select host, url, 0 as depth from seeds union select c.host, l.target, c.depth + 1 from c join links l on l.host = c.host and l.url = c.url and l.target_host = l.host where c.depth < 3"))
+       c="select host, url, 0 as depth from seeds union select c.host, l.target, c.depth + 1 from c join links l on l.host = c.host and l.url = c.url and l.target_host = l.host where c.depth < 40"))
 def crawl_frontier(t):
     e = t.edges()
     links = e.select(F.expr(_host("src")).alias("host"), F.expr(_url("src")).alias("url"), F.expr(_host("dst")).alias("target_host"), F.expr(_url("dst")).alias("target"))
     seeds = e.groupBy(F.expr("src % 4")).agg(F.min("src").alias("v")).select(F.expr(_host("v")).alias("host"), F.expr(_url("v")).alias("url"))
-    return graph.crawl_frontier(links, seeds, cap=10)
+    return graph.crawl_frontier(links, seeds)
 
 
 # ---------------------------------------------------------------------------- rule sets

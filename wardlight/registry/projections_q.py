@@ -172,8 +172,8 @@ TOKEN = "(\\w+) = \"([0-9a-f]{40,})\""
 
 
 @query("secret_evidence_mask", duck("""
-select file, line, name || ' = "' || case when length(v) > 40 then left(v,40) || '...' else v end || '"' as evidence,
- name || ' = "' || case when length(v) > 40 then left(left(v,4) || repeat('*', length(v)-4), 40) || '...' else left(v,4) || repeat('*', length(v)-4) end || '"' as masked
+select file, line, name || ' = "' || v || '"' as evidence,
+ name || ' = "' || left(v,4) || repeat('*', length(v)-4) || '"' as masked
 from (select file, line, regexp_extract(text, '(\\w+) = "([0-9a-f]{40,})"', 1) as name, regexp_extract(text, '(\\w+) = "([0-9a-f]{40,})"', 2) as v from src_lines) where v <> ''""", "src_lines"))
 def secret_evidence_mask(t):
     hit = t.src_lines().select("file", "line", F.regexp_extract("text", TOKEN, 1).alias("name"), F.regexp_extract("text", TOKEN, 2).alias("v")).filter("v <> ''")

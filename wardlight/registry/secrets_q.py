@@ -104,7 +104,7 @@ select file, line, min(struct_pack(shape := shape, pattern := p)) as m from (
  select file, line, p, case when regexp_matches(p, {lit(REDOS_PATTERNS[0])}) then 1
    when len(list_filter(regexp_extract_all(p, '\\(([^|()]+)\\|([^|()]+)\\)[+*]', 0), lambda x: regexp_extract(x, '\\(([^|()]+)\\|', 1) = regexp_extract(x, '\\|([^|()]+)\\)', 1))) > 0 then 2
    when regexp_matches(p, {lit(REDOS_PATTERNS[2])}) then 3 end as shape
- from (select file, line, {CLEAN} as p from strings where length(literal) between 5 and 500)) where shape is not null group by 1, 2"""
+ from (select file, line, {CLEAN} as p from strings where length(literal) >= 5)) where shape is not null group by 1, 2"""
 
 
 @query("detect_redos", duck(f"select file, line, m.shape as shape, m.pattern as pattern from ({REDOS_SQL})", "src_lines", "code_files", **ALL, **STRINGS))

@@ -16,7 +16,7 @@ def scratch_folder(t: Tables, name: str) -> str:
 
 
 @query("response_log_read", duck(
-    "select resp_id, url, status, cast(length(substring(body,1,524288)) as int) as body_chars from responses"
+    "select resp_id, url, status, cast(length(body) as int) as body_chars from responses"
     " where not regexp_matches(content_type, '^(image/|video/|audio/|application/octet-stream|application/pdf|application/zip|font/)')",
     "responses"))
 def response_log_read(t):

@@ -52,10 +52,9 @@ HITS = {"hits": f"select file || '#' || lpad(cast(line as varchar), 6, '0') as s
 
 @query("prompt_context", duck("""
 select h.seq, h.file, 'A scan reported: text to review' || chr(10) || 'Where: ' || h.file || ', line ' || cast(h.line as varchar) || chr(10)
- || 'Rewrite the file below so that the report no longer applies; answer with the file only.' || chr(10) || '---' || chr(10) || f.content as prompt from hits h join src_files f on f.file = h.file where not ends_with(h.file, '7.txt')""", "src_files", "src_lines", **HITS))
+ || 'Rewrite the file below so that the report no longer applies; answer with the file only.' || chr(10) || '---' || chr(10) || f.content as prompt from hits h join src_files f on f.file = h.file""", "src_files", "src_lines", **HITS))
 def prompt_context(t):
-    """Findings on the documents; the files that end in 7 are treated as missing."""
-    return triage.prompt_context(line_hits(t), t.src_files().filter("not endswith(file, '7.txt')"))
+    return triage.prompt_context(line_hits(t), t.src_files())
 
 
 @query("patch_apply", duck("""

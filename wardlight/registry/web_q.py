@@ -170,19 +170,32 @@ def response_diff(t):
     return web.response_diff(web.response_pairs(t.responses(), _pairs(t)), similarity=False)
 
 
-@query("sequence_similarity")
+SIMILARITY_SQL = f"""
+ select pair_id, case when sum(x + y) > 0 then 2 * sum(least(x, y)) / sum(x + y)::double else 1.0 end as similarity from (
+  select pair_id, w, count(*) filter (where side = 'a') as x, count(*) filter (where side = 'b') as y from (
+   select pair_id, 'a' as side, unnest(list_filter(regexp_split_to_array(a_body, '[^0-9A-Za-z_]+'), lambda v: v <> '')) as w from near
+   union all select pair_id, 'b', unnest(list_filter(regexp_split_to_array(b_body, '[^0-9A-Za-z_]+'), lambda v: v <> '')) from near) group by 1, 2) group by 1"""
+NEAR_SQL = f"select resp_id as pair_id, url as a_url, status as a_status, body as a_body, url as b_url, case when resp_id % 9 = 0 then 503 else status end as b_status, {NEAR} as b_body from responses"
+
+
+@query("sequence_similarity", duck(f"""
+select pair_id, changed as status_changed, delta as length_delta, case when not decided then round(coalesce(similarity, 1.0), 9) end as similarity, decided or round(coalesce(similarity, 1.0), 9) <= 0.95 as significant
+from (select *, changed or delta >= 20 as decided from (select pair_id, a_status <> b_status as changed, abs(length(a_body) - length(b_body))::int as delta from near)) left join ({SIMILARITY_SQL}) using (pair_id)""", "responses", near=NEAR_SQL))
 def sequence_similarity(t):
-    """Full comparison with the matching ratio for the pairs that status and length leave open."""
-    return web.response_diff(near_pairs(t))
+    """Full comparison with the word overlap for the pairs that status and length leave open."""
+    return web.response_diff(near_pairs(t)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("edit_similarity", duck(f"""
-select resp_id as pair_id, round(1 - levenshtein(substring(body,1,5000), substring(b,1,5000)) / greatest(length(substring(body,1,5000)), length(substring(b,1,5000)))::double, 6) as similarity from (select *, {NEAR} as b from responses)""", "responses"))
+select resp_id as pair_id, round(1 - levenshtein(url, b) / greatest(length(url), length(b))::double, 6) as similarity from (select *, replace(url, 'a', 'ei') as b from responses)""", "responses"))
 def edit_similarity(t):
-    return near_pairs(t).select("pair_id", F.round(web.edit_similarity(F.col("a_body"), F.col("b_body")), 6).alias("similarity"))
+    """Addresses next to changed ones; an edit distance is for short values, bodies go through the word overlap."""
+    return t.responses().select(F.col("resp_id").alias("pair_id"), F.round(web.edit_similarity(F.col("url"), F.expr("replace(url, 'a', 'ei')")), 6).alias("similarity"))
 
 
-@query("diff_evidence")
+@query("diff_evidence", duck(f"""
+select pair_id, printf('Boolean difference in parameter ''q'': true %s status %d length %d, false %s status %d length %d, delta %d, similarity %.2f%%', a_url, a_status, length(a_body), b_url, b_status, length(b_body),
+ abs(length(a_body) - length(b_body)), round(coalesce(similarity, 1.0), 6) * 100) as evidence from near left join ({SIMILARITY_SQL}) using (pair_id)""", "responses", near=NEAR_SQL))
 def diff_evidence(t):
     return web.diff_evidence(near_pairs(t), "q")
 
@@ -251,9 +264,9 @@ SITEMAP = "concat('<urlset><url><loc> ', url, '</loc></url><url><loc>https://els
 
 
 @query("sitemap_urls", duck(f"""
-select host, target from (select distinct {HOST} as host, url as target from pages union select {HOST}, {ORIGIN} || '/m' || cast(page_id as varchar) from pages) qualify row_number() over (partition by host order by target) <= 6"""))
+select host, target from (select distinct {HOST} as host, url as target from pages union select {HOST}, {ORIGIN} || '/m' || cast(page_id as varchar) from pages)"""))
 def sitemap_urls(t):
-    return pages_op.sitemap_urls(t.pages().select("url", F.expr(SITEMAP).alias("body")), cap=6)
+    return pages_op.sitemap_urls(t.pages().select("url", F.expr(SITEMAP).alias("body")))
 
 
 ROBOTS = "concat('User-agent: *\\nDisallow: /admin', cast(page_id % 3 as string), '\\nAllow: /pub*\\nDisallow: relative\\nDisallow: /d', cast(page_id as string))"

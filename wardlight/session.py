@@ -1,4 +1,4 @@
-"""Session helpers: builder, reliable checkpoints and checked broadcasts."""
+"""Session helpers: builder, reliable checkpoints and scratch tables. Which side of a join is broadcast is left to Spark."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after its row count was found to be under this bound.
-BROADCAST_ROW_BOUND = 200_000
 
 
 def get_spark(app: str = "wardlight", cpus: str | int = 8) -> SparkSession:
@@ -21,6 +17,7 @@ def get_spark(app: str = "wardlight", cpus: str | int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -74,9 +71,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and read it back: lineage is cut and readers take single columns."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have a scratch folder removed when the driver ends; results may be read lazily until then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
 
 
@@ -89,13 +93,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; reads no more than one row beyond the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Broadcast hint when the size check passes, otherwise leave the join to a shuffle with AQE skew handling."""
-    return F.broadcast(df) if fits(df, max_rows) else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import BINARY_TYPE_PREFIXES, MAX_BODY_CHARS
+from wardlight.catalog.fixed import BINARY_TYPE_PREFIXES
 from wardlight.functions.cols import any_of
 
 
@@ -21,10 +21,10 @@ def manifest_read(files: DataFrame) -> DataFrame:
 
 
 def response_log_read(responses: DataFrame) -> DataFrame:
-    """Recorded responses without binary bodies, bodies cut at the size limit."""
+    """Recorded responses without binary bodies; bodies are kept whole."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     binary = any_of([F.startswith(kind, F.lit(p)) for p in BINARY_TYPE_PREFIXES])
-    return responses.filter(~binary).withColumn("body", F.substring("body", 1, MAX_BODY_CHARS))
+    return responses.filter(~binary)
 
 
 # ---------------------------------------------------------------------------- history
@@ -33,8 +33,10 @@ def history_append(scans: DataFrame, path: str) -> None:
     scans.withColumn("scan_date", F.to_date("ts")).write.mode("append").partitionBy("scan_date").parquet(path)
 
 
-def history_load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("scan_date")
+def history_load(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """All scans, or those of the days from ``since`` (yyyy-mm-dd) on; older folders are then not opened."""
+    scans = spark.read.parquet(path)
+    return (scans if since is None else scans.filter(F.col("scan_date") >= F.to_date(F.lit(since)))).drop("scan_date")
 
 
 def history_read(scans: DataFrame, limit: int | None = None) -> DataFrame:

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.catalog.fixed import CONFIG_CHECK_BY_NAME, LANGUAGE_BY_EXT, MAX_FILE_BYTES, SKIP_DIRS
+from wardlight.catalog.fixed import CONFIG_CHECK_BY_NAME, LANGUAGE_BY_EXT, SKIP_DIRS
 from wardlight.catalog.rules import RULE_SCHEMA
 from wardlight.operators.files import basename, extension
 
 
-def source_tree_scan(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def source_tree_scan(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """``(file, ext, size, content)`` of supported files below ``path``.
 
-    The size test reaches the file listing (``length`` is a pushed filter of the binary source), so oversized files
-    are never opened. Skipped folders are matched on the part of the path below the root.
+    Bytes that are no UTF-8 become replacement characters. There is no size limit unless ``max_bytes`` sets one; files
+    above it keep their row with null content and are not opened (``length`` is a pushed filter of the binary source).
+    Skipped folders are matched on the part of the path below the root.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= max_bytes)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if max_bytes is not None:
+        large = raw.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+        raw = raw.filter(F.col("length") <= max_bytes).select("path", "length", "content").unionByName(large)
     root = path.rstrip("/") + "/"
     below = F.regexp_replace(F.element_at(F.split("path", "\\Q" + root + "\\E"), -1), "^file:", "")
     parts = F.split(below, "/")
@@ -27,7 +31,7 @@ def source_tree_scan(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_B
     known = extension(F.col("path")).isin(list(LANGUAGE_BY_EXT)) | name.isin(list(CONFIG_CHECK_BY_NAME))
     return raw.filter(~F.arrays_overlap(folders, skip) & ~F.exists(folders, lambda p: F.startswith(p, F.lit("."))) & known).select(
         below.alias("file"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
@@ -57,7 +61,10 @@ def rule_catalog_load(spark: SparkSession, path: str) -> DataFrame:
                     if f in lists:
                         row[f] = [str(x) for x in (row[f] or [])]
                     elif f == "cvss_score":
-                        row[f] = None if row[f] is None else float(row[f])
+                        try:
+                            row[f] = None if row[f] is None else float(row[f])
+                        except (TypeError, ValueError):
+                            row[f] = None  # the rule check reports the missing score
                     elif row[f] is not None:
                         row[f] = str(row[f])
                 rows.append({**row, "path": p})
