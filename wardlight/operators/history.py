@@ -29,8 +29,9 @@ def trend(scans: DataFrame, findings: DataFrame, as_of: str, days: int = TREND_D
     """Findings per day and type for the last ``days`` calendar days up to ``as_of``, zero-filled."""
     end = F.to_date(F.lit(as_of))
     first = F.date_sub(end, days - 1)
-    recent = scans.filter((F.to_date("ts") >= first) & (F.to_date("ts") <= end))
-    per = counted_scans(recent, findings).groupBy(F.to_date("ts").alias("day"), "scan_type").agg(F.sum("n_findings").alias("n_findings"))
+    recent = scans.filter((F.col("ts") >= first) & (F.col("ts") < F.date_add(end, 1)))  # on the column itself, so the scan can prune
+    own = findings.join(recent.select("scan_id"), "scan_id", "left_semi")
+    per = counted_scans(recent, own).groupBy(F.to_date("ts").alias("day"), "scan_type").agg(F.sum("n_findings").alias("n_findings"))
     spine = scans.sparkSession.range(1).select(F.explode(F.sequence(first, end)).alias("day")).select(
         "day", F.explode(F.array(*[F.lit(s) for s in SCAN_TYPES])).alias("scan_type")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import FRAMEWORK_ORDER, FRAMEWORK_SIGNALS, FRAMEWORK_SOURCES, SHELL_FUNCTIONS, WEAK_CRYPTO_TEXTS
 from wardlight.catalog.rules import rule_rows
 from wardlight.catalog.programs import PROGRAMS
-from wardlight.operators import extract, framework, intervals, lines as lines_op, rules_match, structure_checks, taint
+from wardlight.operators import extract, framework, intervals, lines as lines_op, pages as pages_op, rules_match, structure_checks, taint
 from wardlight.registry.core import query
 from wardlight.views import duck, lit, values
 
@@ -91,6 +91,30 @@ def extract_calls(t):
     return extract.extract_calls(stmts(t)).select("file", "line", "col", "function_name", "full_text")
 
 
+# the same facts over the inline scripts of stored pages
+PAGE_LINES = """select file, 0 as pid, page_id as k, 'javascript' as language, unnest(generate_series(1, len(string_split(value, chr(10))))) as line, unnest(string_split(value, chr(10))) as text
+ from (select page_id, 'page' || cast(page_id as varchar) || '.js' as file, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as value from pages)"""
+
+
+def page_duck(body, *names):
+    return duck(body, page_lines=PAGE_LINES, **{n: q.replace("from code_lines", "from page_lines") for n, q in facts(*names).items()})
+
+
+def script_stmts(t):
+    inline = pages_op.page_scripts(t.pages()).filter("kind = 'inline'")
+    return extract.statements(inline.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("file"), F.lit("javascript").alias("language"), F.col("value").alias("content")))
+
+
+@query("script_calls", page_duck("select file, line, col::int as col, function_name, full_text from calls", "calls"))
+def script_calls(t):
+    return extract.extract_calls(script_stmts(t)).select("file", "line", "col", "function_name", "full_text")
+
+
+@query("script_assignments", page_duck("select file, line, target, value from asg", "asg"))
+def script_assignments(t):
+    return extract.extract_assignments(script_stmts(t)).select("file", "line", "target", "value")
+
+
 ARGS_SQL = """
 select file, line, col::int as col, string_agg(arg, ' ; ' order by seg) as args from (
  select file, line, col, seg, trim(string_agg(ch, '' order by i)) as arg from (
