@@ -28,7 +28,7 @@ def run_available(df: DataFrame, folder: str, mode: str = "append") -> str:
     return out
 
 
-def run_available_updates(df: DataFrame, folder: str, keys: list[str]) -> str:
+def run_available_updates(df: DataFrame, folder: str) -> str:
     """Run an update-mode aggregation; every micro-batch writes its changed rows with the batch number."""
     out = f"{folder.rstrip('/')}/out"
 
@@ -64,9 +64,11 @@ def stream_incremental_scan(files: DataFrame, folder: str, at: str = "ts", ttl_d
 
 
 def stream_canary_join(probes: DataFrame, callbacks: DataFrame, folder: str, timeout_seconds: int, delay: str = "1 hour") -> str:
-    """Probes with callbacks carrying their id within the timeout; both sides forget rows behind their watermark."""
+    """Probes with callbacks carrying their id in path or body within the timeout; both sides forget rows behind their watermark."""
     p = probes.withColumn("issued_at", F.col("issued_at").cast("timestamp")).withWatermark("issued_at", delay)
-    c = callbacks.withColumn("received_at", F.col("received_at").cast("timestamp")).withColumn("cb_canary", F.regexp_extract("path", "id-[0-9]+", 0)).withWatermark("received_at", delay)
+    text = F.concat_ws("\n", "path", "body") if "body" in callbacks.columns else F.col("path")
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit("id-[0-9]+"), F.lit(0)))
+    c = callbacks.withColumn("received_at", F.col("received_at").cast("timestamp")).withColumn("cb_canary", F.explode(ids)).withWatermark("received_at", delay)
     late = F.expr(f"received_at >= issued_at and received_at <= issued_at + interval {timeout_seconds} seconds")
     joined = p.join(c, (p["canary"] == c["cb_canary"]) & late)
     return run_available(joined.select("canary", "probe_id", "callback_id", "issued_at", "received_at"), folder)
@@ -77,4 +79,4 @@ def stream_findings_trend(scans: DataFrame, folder: str, delay: str = "1 day") -
     t = scans.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     agg = t.groupBy(F.window("ts", "1 day"), "scan_type").agg(F.sum("n_findings").alias("n_findings"), F.count("*").alias("n_scans"))
     rows = agg.select(F.col("window.start").alias("day"), "scan_type", "n_findings", "n_scans")
-    return run_available_updates(rows, folder, ["day", "scan_type"])
+    return run_available_updates(rows, folder)
