@@ -326,9 +326,9 @@ def test_masked_evidence_and_redos(spark):
 
 
 def test_snippet(spark):
-    ls = lines.source_lines(spark.createDataFrame([("f", "a\r\nb\nc\nd")], "file string, content string"))
+    files = spark.createDataFrame([("f", "a\r\nb\nc\nd")], "file string, content string")
     hit = spark.createDataFrame([("f", 1), ("f", 3)], "file string, line bigint")
-    got = {r.line: r.evidence for r in lines.evidence_snippet(hit, ls).collect()}
+    got = {r.line: r.evidence for r in lines.evidence_snippet(hit, files).collect()}
     assert got == {1: "→ 1: a\n  2: b", 3: "  2: b\n→ 3: c\n  4: d"}
 
 

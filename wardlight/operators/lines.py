@@ -13,22 +13,18 @@ def source_lines(files: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFra
     return rows.select(*keep, (F.col("_p") + 1).cast("bigint").alias("line"), "text")
 
 
-def evidence_snippet(hits: DataFrame, lines: DataFrame, context: int = 1) -> DataFrame:
-    """Numbered lines around each distinct hit ``(file, line)``, the hit itself marked.
+def evidence_snippet(hits: DataFrame, files: DataFrame, context: int = 1) -> DataFrame:
+    """Numbered lines around each distinct hit ``(file, line)`` of ``files(file, content)``, the hit itself marked.
 
-    The window of lines is written out as keys, so the range condition becomes an equality join on
-    ``(file, line)``: a file with many hits spreads over as many keys as it has lines.
+    Hits are gathered per file (no more numbers than it has lines) and the lines are cut inside the file's own row, so
+    only files with hits are taken apart and no line is shuffled.
     """
-    wanted = hits.select("file", "line").distinct().select(
-        "file", F.col("line").alias("hit"), F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")
-    )
-    shown = wanted.join(lines.select("file", "line", "text"), ["file", "line"]).select(
-        "file", "hit", "line",
-        F.concat(F.when(F.col("line") == F.col("hit"), "→ ").otherwise("  "), F.col("line").cast("string"), F.lit(": "), "text").alias("s"),
-    )
-    # at most 2*context+1 rows per hit
-    rows = shown.groupBy("file", "hit").agg(F.array_sort(F.collect_list(F.struct("line", "s"))).alias("r"))
-    return rows.select("file", F.col("hit").alias("line"), F.array_join(F.col("r.s"), "\n").alias("evidence"))
+    wanted = hits.select("file", "line").distinct().groupBy("file").agg(F.collect_set("line").alias("_at"))
+    rows = files.select("file", "content").join(wanted, "file").select("file", "_at", F.split("content", r"\r?\n").alias("_l"))
+    cut = f"""transform(_at, x -> struct(x as line, array_join(transform(
+        sequence(greatest(x - {context}, 1), least(x + {context}, cast(size(_l) as bigint))),
+        i -> concat(if(i = x, '→ ', '  '), cast(i as string), ': ', element_at(_l, cast(i as int)))), '\\n') as evidence))"""
+    return rows.select("file", F.inline(F.expr(cut)))
 
 
 def text_cap(col, n: int):

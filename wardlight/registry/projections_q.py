@@ -152,7 +152,7 @@ select h.file, h.line, string_agg(case when l.line = h.line then '→ ' else '
 from (select distinct file, line from src_lines where {LICENSE_HITS}) h join src_lines l on l.file = h.file and l.line between h.line - 1 and h.line + 1 group by 1, 2""", "src_lines"))
 def evidence_snippet(t):
     lines = t.src_lines()
-    return lines_op.evidence_snippet(lines.filter(LICENSE_HITS), lines)
+    return lines_op.evidence_snippet(lines.filter(LICENSE_HITS), t.src_files())
 
 
 @query("taint_trace_build", duck("""
