@@ -11,6 +11,7 @@ from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.quality import quality_filter, quality_model
 from wardlight.llm.queries import table, word_tokenizer
 from wardlight.llm.secret_forest import redacted, secret_model
+from wardlight.llm.text import small_batches
 from wardlight.session import written
 
 
@@ -21,6 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Order MinHash: one document of each class of near copies stays."""
+    small_batches(spark)
     return deduplicated(docs)
 
 
@@ -31,6 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Random forest: secrets are masked in the texts, and ``n_chars`` follows there."""
+    small_batches(spark)
     clean = redacted(docs, secret_model(docs))
     length = F.when(F.contains("text", F.lit("[secret]")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length)
@@ -38,6 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Minimum bin slack: what is left, as pieces of packed sequences."""
+    small_batches(spark)
     return best_fit_packing(docs, word_tokenizer())
 
 

@@ -17,10 +17,12 @@ from wardlight.llm.quality import COUNTS, quality_model, quality_rules
 from wardlight.llm.secret_forest import secret_findings, secret_model
 from wardlight.llm.sharding import grown, shard_rows, tree
 from wardlight.llm.substring import substring_dedup
+from wardlight.llm.text import small_batches
 from wardlight.llm.zip_warc import read_packages, write_packages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
