@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>, bm array<long>"), "sketches")
     nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bm").alias("bm"), F.count("*").alias("copies"))
-    every = nodes.select("key", "n", F.explode("sk").alias("bucket"))
+    every = nodes.select("key", "n", F.posexplode("sk").alias("at", "bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     several = every.join(shared, "bucket").withColumn("hub", F.sum("c").over(W.partitionBy("key"))).drop("c")  # a key has ``SKETCHES`` rows
     members = written(several.join(nodes.select("key", "bm"), "key"), "members")
@@ -224,10 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             sizes = open_members.groupBy("bucket", "class").agg(F.count("*").alias("c"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "class")).alias("_m")).select("bucket", F.col("_m.class").alias("main"))
-            placed = open_members.join(main, "bucket")
+            placed = open_members.join(main, "bucket").join(nodes.select("key", "sk"), "key")
             few = placed.filter("class != main").drop("main")
-            all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("bm").alias("bm2"), F.col("main"))
-            pairs = few.join(all_, "bucket").filter("class != c2 and (c2 = main or key < other)").filter(close).select(*pair)
+            all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("bm").alias("bm2"), F.col("sk").alias("sk2"), F.col("main"))
+            first = " and ".join(f"not (at > {k} and sk[{k}] = sk2[{k}])" for k in range(SKETCHES - 1))  # a pair is made in its first bucket only
+            once = F.expr(f"class != c2 and ((c2 = main and class != main) or key < other) and {first}")
+            pairs = few.join(all_, "bucket").filter(close).filter(once).select(*pair)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = found if edges is None else edges.union(found)
         classes = components(edges)
         if turn < STAR_ROUNDS:
-            now = members.join(classes, "key", "left").select("bucket", "key", "n", "hub", "bm", F.coalesce("label", "key").alias("class"))
+            now = members.join(classes, "key", "left").select("bucket", "at", "key", "n", "hub", "bm", F.coalesce("label", "key").alias("class"))
             mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket")
             open_members = written(now.join(mixed, "bucket"), "open")
 
