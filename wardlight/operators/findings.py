@@ -5,18 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.catalog.fixed import CLASS_CVSS, DEFAULT_CVSS, REPORT_CVSS, SEVERITY_FALLBACK_CVSS
+from wardlight.catalog.fixed import CLASS_CVSS, DEFAULT_CVSS, DIALECTS, REPORT_CVSS, SEVERITY_FALLBACK_CVSS
 from wardlight.functions.cols import lit_map
 
-# dialect -> (tests in order: (texts, severity), exact match?, default, value for a missing severity)
-DIALECTS = {
-    "agent": ([(["low"], "Low"), (["medium"], "Medium"), (["high"], "High"), (["info"], "Low")], True, "Low", "Low"),
-    "dashboard": ([(["crit"], "Critical"), (["high", "error"], "High"), (["med", "warn"], "Medium"), (["low", "info"], "Low")], False, "Low", "Low"),
-    "bandit": ([(["high"], "High"), (["med"], "Medium")], False, "Low", "Low"),
-    "semgrep": ([(["error", "high"], "High"), (["warn", "medium"], "Medium"), (["info", "low"], "Low")], False, "Medium", "Medium"),
-    "zap": ([(["high"], "High"), (["medium"], "Medium")], False, "Low", "Medium"),
-}
-
 
 def severity_normalize(col, dialect: str) -> Column:
     """Canonical severity of a tool's own word."""

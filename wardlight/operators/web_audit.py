@@ -8,45 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import (
-    DB_ERROR_PATTERNS, DIFF_MAX_SIMILARITY, DIFF_MIN_LENGTH_DELTA,
-    ENTITY_INDICATORS, HSTS_MIN_AGE, INTERNAL_INDICATORS, LATENCY_MIN_MS, LATENCY_OVER_BASELINE_MS, RISKY_METHODS,
+    COOKIE_CHECKS, DB_ERROR_PATTERNS, DIFF_MAX_SIMILARITY, DIFF_MIN_LENGTH_DELTA,
+    ENTITY_INDICATORS, HEADER_CHECKS, HSTS_MIN_AGE, INTERNAL_INDICATORS, LATENCY_MIN_MS, LATENCY_OVER_BASELINE_MS, METHOD_CHECKS, RISKY_METHODS,
     SERVER_PRODUCTS, UNIX_FILE_INDICATORS, WINDOWS_FILE_INDICATORS,
 )
 from wardlight.functions.cols import any_of, contains_any, explode_once, first_contained, let, lit_map
 from wardlight.operators.findings import severity_from_cvss
 
-# check -> (severity, cvss score, cwe, owasp, confidence)
-HEADER_CHECKS = {
-    "hsts_missing": ("Medium", 5.9, "CWE-319", "A02:2021", "Confirmed"),
-    "hsts_max_age_short": ("Low", 3.1, "CWE-319", "A02:2021", "Confirmed"),
-    "hsts_no_subdomains": ("Low", 3.1, "CWE-319", "A02:2021", "Confirmed"),
-    "csp_missing": ("Medium", 6.1, "CWE-1021", "A03:2021", "Confirmed"),
-    "csp_unsafe_inline": ("Medium", 6.1, "CWE-1021", "A03:2021", "Confirmed"),
-    "csp_unsafe_eval": ("Medium", 5.4, "CWE-1021", "A03:2021", "Confirmed"),
-    "csp_permissive": ("Low", 4.3, "CWE-1021", "A03:2021", "Probable"),
-    "frame_missing": ("Medium", 4.3, "CWE-1021", "A04:2021", "Confirmed"),
-    "frame_misconfigured": ("Low", 3.1, "CWE-1021", "A04:2021", "Confirmed"),
-    "nosniff_missing": ("Low", 3.7, "CWE-693", "A04:2021", "Confirmed"),
-    "referrer_missing": ("Low", 3.1, "CWE-200", "A01:2021", "Confirmed"),
-    "referrer_permissive": ("Low", 3.1, "CWE-200", "A01:2021", "Confirmed"),
-    "permissions_missing": ("Low", 3.1, "CWE-693", "A04:2021", "Confirmed"),
-    "server_banner": ("Low", 3.1, "CWE-200", "A05:2021", "Confirmed"),
-    "powered_by": ("Low", 3.1, "CWE-200", "A05:2021", "Confirmed"),
-    "cache_control": ("Low", 3.1, "CWE-524", "A04:2021", "Probable"),
-}
-COOKIE_CHECKS = {
-    "cookie_http_only": ("Medium", 5.4, "CWE-1004", "A05:2021", "Confirmed"),
-    "cookie_secure": ("Medium", 5.4, "CWE-614", "A02:2021", "Confirmed"),
-    "cookie_same_site": ("Medium", 4.3, "CWE-352", "A01:2021", "Confirmed"),
-}
-METHOD_CHECKS = {
-    "OPTIONS": ("Medium", 5.3, "CWE-749", "A05:2021", "Confirmed"),
-    "TRACE": ("Medium", 5.3, "CWE-16", "A05:2021", "Confirmed"),
-    "PUT": ("High", 8.6, "CWE-434", "A01:2021", "Confirmed"),
-    "DELETE": ("High", 7.5, "CWE-285", "A01:2021", "Probable"),
-    "CONNECT": ("High", 7.5, "CWE-441", "A01:2021", "Probable"),
-}
-
 
 def header(name: str) -> Column:
     """Value of a header whatever the case of its name, last one on repeats, empty when absent."""

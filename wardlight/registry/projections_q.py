@@ -67,7 +67,6 @@ def severity_normalize(t):
 
 RAW_PATH = ("case when line % 3 = 0 then concat('C:', chr(92), 'work', chr(92), 'temp', chr(92), 'u', cast(scan_id as string), chr(92), replace(file,'/',chr(92)))"
             " when line % 3 = 1 then concat('/var/temp/x/', file) else file end")
-DUCK_PATH = ("case when list_position(string_split(replace({p},chr(92),'/'),'temp') , 'x') is not null then '' end")
 
 
 def _duck_norm(p):
