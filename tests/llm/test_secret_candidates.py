@@ -41,3 +41,9 @@ def test_forest_finds_them(spark):
     got = {(r.doc_id, r.start, r.end, r.length) for r in secret_findings(docs, model).filter("secret").collect()}
     assert got == {(k, 31, 31 + len(s), len(s)) for k, s in enumerate(secrets)}
     assert redacted(docs, model).filter(F.col("text") != 'é the words before password = "[secret]" and after').isEmpty()
+
+
+@pytest.mark.parametrize("text", ['�{"password":"hunter2x1y2z"}', '{"a":"�é","token":"hunter2x1y2z","b":"�"}', "https://h/�?token=hunter2x1y2z�"])
+def test_replacement_characters_hide_nothing(text):
+    places = [(a, b) for _, a, b, *_ in candidates(pa.array(["é " + text]))]
+    assert any(b"hunter2x1y2z" in ("é " + text).encode()[a:b] for a, b in places)

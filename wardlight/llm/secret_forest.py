@@ -12,7 +12,7 @@ its form is certain: a quoted assignment to a secret's name is one, a bare numbe
 dictionary and the letter pairs come from word counts over the whole corpus.
 
 Defined results: one row per candidate with place (code points), SHA-256 and length instead of the secret itself; null
-and empty texts have none; repeated rows are scanned each; without labelled findings of both kinds the forest accepts all
+and empty texts have none; a replacement character (U+FFFD) only ends a run; repeated rows are scanned each; without labelled findings of both kinds the forest accepts all
 (only positives) or nothing; an empty table gives no rows; other columns do not matter and ``redacted`` keeps them.
 """
 
