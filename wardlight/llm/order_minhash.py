@@ -4,7 +4,12 @@ A text is its sequence of shingles of five words, each labelled with its occurre
 of ``SKETCHES`` permutations the ``PICK`` smallest labelled shingles are taken and put back in text order; their hash is
 a bucket key. Two texts meet in a bucket when they share these shingles in the same order, which follows their edit
 similarity. (Texts of more than ``SAMPLE`` shingles first keep the ``SAMPLE`` with the smallest hashes, a sample that two
-texts draw alike.) At a similarity of 0.8 two texts miss all buckets with a chance of 3e-6.
+texts draw alike.) The minima are drawn without replacement, so at a similarity of 0.8 two texts of some hundred
+shingles miss all buckets with a chance of 3e-6, and of 25 shingles together with 2e-5, if what they share is in order.
+
+Shorter texts would miss more often (all of them below ``PICK`` shingles), so texts of up to ``SHORT`` shingles have exact
+buckets too: a similarity of s needs ceil(s n) common labelled shingles, so two such texts share one of their
+n - ceil(s n) + 1 rarest ones, each by the same order of all shingles of short texts.
 
 The similarity of two texts with n and m shingles is L / (n + m - L), L the length of their longest common subsequence
 of shingles: the Jaccard similarity of aligned shingles. It is computed exactly by a bit-parallel alignment in a band as
@@ -16,7 +21,7 @@ classes, and buckets inside one class are closed. In the buckets that are left,
 class are compared with all members of other classes, so each candidate pair that could still join two classes is
 looked at. Each text carries a bitmap of ``BITS`` bits of its labelled shingles: a bit that only one side has stands for a
 shingle that the other lacks, so the bits bound L from above, and a pair whose bound is too low is left out by the join
-itself. Only pairs close to the threshold are made and aligned, and none that reaches it is lost.
+itself. Only pairs close to the threshold are made and aligned, and none that meets in a bucket and reaches it is lost.
 
 Defined results: texts without words (and nulls) are classes of one row; texts of one to four words are one shingle;
 repeated rows and equal word sequences share a class; class ids are the smallest id of the class, null ids aside; an
@@ -43,6 +48,7 @@ SKETCHES = 32
 PICK = 5
 SAMPLE = 256
 BITS = 1024
+SHORT = 25
 STAR_ROUNDS = 2
 
 
@@ -184,6 +190,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(align, "a binary, b binary, similarity double")
 
 
+def short_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, at, bucket) of the rarest labelled shingles of short texts, so many that no two near copies share none."""
+    each = nodes.filter(f"n <= {SHORT}").select("key", "n", F.explode("few").alias("x"))
+    each = each.join(each.groupBy("x").agg(F.count("*").alias("c")), "x")
+    rare = each.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("c", "x"))).filter(f"c > 1 and r <= n - ceil({threshold} * n - 1e-9) + 1")
+    return rare.select("key", "n", F.lit(SKETCHES).alias("at"), F.xxhash64("x", F.lit("short")).alias("bucket"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id``, the text hash ``_k`` and ``_label``, the class as a key
     that is null only for texts without words."""
@@ -196,13 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sh, doc = shingles(flat, words)
             x = labelled(sh, doc) if len(sh) else sh
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(flat.n + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in (sketches(x, doc, flat.n).view(np.int64), bitmaps(x, doc, flat.n))]
-            yield pa.record_batch([get(part, "_id"), get(part, "_k"), pa.array(text_keys(flat), pa.binary()), pa.array(np.bincount(doc, minlength=flat.n)), *lists], ["_id", "_k", "key", "n", "sk", "bm"])
-
-    table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>, bm array<long>"), "sketches")
-    nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bm").alias("bm"), F.count("*").alias("copies"))
-    every = nodes.select("key", "n", F.posexplode("sk").alias("at", "bucket"))
+            n = np.bincount(doc, minlength=flat.n)
+            few = np.where(n <= SHORT, n, 0)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(few))).astype(np.int32)), pa.array(x[few[doc] > 0].view(np.int64))))
+            yield pa.record_batch([get(part, "_id"), get(part, "_k"), pa.array(text_keys(flat), pa.binary()), pa.array(n), *lists], ["_id", "_k", "key", "n", "sk", "bm", "few"])
+
+    table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>, bm array<long>, few array<long>"), "sketches")
+    nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bm").alias("bm"), F.first("few").alias("few"), F.count("*").alias("copies"))
+    every = nodes.select("key", "n", F.posexplode("sk").alias("at", "bucket")).union(short_buckets(nodes, threshold))
     shared = every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    several = every.join(shared, "bucket").withColumn("hub", F.sum("c").over(W.partitionBy("key"))).drop("c")  # a key has ``SKETCHES`` rows
+    several = every.join(shared, "bucket").withColumn("hub", F.sum("c").over(W.partitionBy("key"))).drop("c")  # a key has ``SKETCHES`` rows and a few
     members = written(several.join(nodes.select("key", "bm"), "key"), "members")
 
     wanted = members.select("key").distinct().join(nodes.select("key", F.col("row._id").alias("_id2"), F.col("row._k").alias("_k")), "key")
@@ -227,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = open_members.join(main, "bucket").join(nodes.select("key", "sk"), "key")
             few = placed.filter("class != main").drop("main")
             all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("bm").alias("bm2"), F.col("sk").alias("sk2"), F.col("main"))
-            first = " and ".join(f"not (at > {k} and sk[{k}] = sk2[{k}])" for k in range(SKETCHES - 1))  # a pair is made in its first bucket only
+            first = " and ".join(f"not (at > {k} and sk[{k}] = sk2[{k}])" for k in range(SKETCHES))  # a pair is made in its first bucket only
             once = F.expr(f"class != c2 and ((c2 = main and class != main) or key < other) and {first}")
             pairs = few.join(all_, "bucket").filter(close).filter(once).select(*pair)
         pairs = pairs.distinct()
