@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.llm.components import components
-from wardlight.llm.text import Flat, get, mix, powers, rolling, slices
+from wardlight.llm.text import Flat, get, mix, rolling, sequences, slices
 from wardlight.session import written
 
 WORDS = 5
@@ -70,15 +70,8 @@ def shingles(flat: Flat, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 def text_keys(flat: Flat) -> list[bytes]:
     """128-bit hash of each text's word sequence."""
-    out = []
-    for seed in (1, 2):
-        h = flat.words(seed)
-        up, down = powers(30 + seed).get(len(h) + 1)
-        run = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[: len(h)], out=run[1:])
-        a, b = flat.first[:-1], flat.first[1:]
-        out.append(mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64)))
-    return [x.tobytes() for x in np.stack(out, axis=1)]
+    both = [sequences(flat.words(seed), flat.first, 30 + seed) for seed in (1, 2)]
+    return [x.tobytes() for x in np.stack(both, axis=1)]
 
 
 def labelled(sh: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -26,63 +26,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+NEAR = 64
+_TABLES: dict[int, np.ndarray] = {}
 
-    def __init__(self, seed: int):
-        self.base = (int(mix(np.array([seed * 2 + 12345], dtype=U))[0]) & ~7) | 5
-        self.table = mix(np.arange(256, dtype=U) + U(1 + seed * 1009))
-        self._up = self._down = np.ones(1, dtype=U)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, BLOCK)
-            self._up = np.concatenate(([U(1)], np.cumprod(np.full(size, self.base, dtype=U))))
-            self._down = np.concatenate(([U(1)], np.cumprod(np.full(size, pow(self.base, -1, 1 << 64), dtype=U))))
-        return self._up[:n], self._down[:n]
+def place_table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each (place below ``NEAR``, byte)."""
+    if seed not in _TABLES:
+        _TABLES[seed] = mix(np.arange(NEAR << 8, dtype=U) + salt(seed))
+    return _TABLES[seed]
 
 
-_POWERS: dict[int, Powers] = {}
-
-
-def powers(seed: int) -> Powers:
-    if seed not in _POWERS:
-        _POWERS[seed] = Powers(seed)
-    return _POWERS[seed]
+def salt(seed: int) -> np.uint64:
+    return mix(np.array([(seed + 1) << 48], dtype=U))[0]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hash of each ``data[start:end]``; spans are sorted and disjoint, and hashed in blocks of bounded size."""
-    p = powers(seed)
+    """64-bit hash of each ``data[start:end]``; spans are sorted and disjoint, and hashed in blocks of bounded size.
+
+    Every byte counts with a value mixed from itself and its place, so no byte patterns cancel as they do in polynomials
+    modulo a power of two.
+    """
+    table = place_table(seed)
     out = np.empty(len(start), dtype=U)
     k = 0
     while k < len(start):
         j = max(int(np.searchsorted(end, start[k] + BLOCK, "right")), k + 1)
         seg = data[start[k] : end[j - 1]]
-        up, down = p.get(len(seg) + 1)
-        run = np.zeros(len(seg) + 1, dtype=U)
-        np.cumsum(p.table[seg] * up[: len(seg)], out=run[1:])
         s, e = start[k:j] - start[k], end[k:j] - start[k]
-        out[k:j] = (run[e] - run[s]) * down[s]
+        begin = np.zeros(len(seg), dtype=np.int64)
+        begin[s[e > s]] = s[e > s]
+        cell = ((np.arange(len(seg)) - np.maximum.accumulate(begin)) << 8) | seg
+        far = np.flatnonzero(cell >= len(table))
+        value = table[np.minimum(cell, len(table) - 1)]
+        value[far] = mix(cell[far].astype(U) + salt(seed))
+        run = np.zeros(len(seg) + 1, dtype=U)
+        np.cumsum(value, out=run[1:])
+        out[k:j] = run[e] - run[s]
         k = j
     return mix(out ^ ((end - start).astype(U) * U(0x9E3779B97F4A7C15)))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbours from their hashes; order matters."""
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
+
+
 def rolling(h: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hash of each ``k`` consecutive items of ``h``; length ``len(h) - k + 1`` (empty when shorter)."""
+    """Hash of each ``k`` consecutive items of ``h``; length ``len(h) - k + 1`` (empty when shorter).
+
+    Windows are put together from mixed halves, quarters and so on, so a window costs as many steps as ``k`` has bits.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, dtype=U)
-    up, down = powers(seed).get(len(h))
+    level, width, done, at = mix(h ^ salt(seed)), 1, None, 0
+    while True:
+        if k & width:
+            part = level[at : at + n]
+            done = part if done is None else joined(done, part)
+            at += width
+        if at == k:
+            return done
+        level = joined(level[:-width], level[width:])
+        width *= 2
+
+
+def sequences(h: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each ``h[first[i]:first[i + 1]]``, sequences of any length."""
+    size = np.diff(first)
+    place = np.arange(len(h)) - np.repeat(first[:-1], size)
     run = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * up, out=run[1:])
-    return mix((run[k:] - run[:n]) * down[:n])
+    np.cumsum(mix(h ^ mix(place.astype(U) + salt(seed))), out=run[1:])
+    return mix((run[first[1:]] - run[first[:-1]]) + size.astype(U))
 
 
 class Flat:
-    """Bytes and word spans of a slice of texts laid end to end."""
+    """Bytes and word spans of a slice of texts laid end to end; ``spaces`` marks the bytes between words."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, spaces: np.ndarray = SPACE):
         column = column.fill_null("") if column.null_count else column
         kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
         n = len(column)
@@ -92,7 +114,7 @@ class Flat:
         self.n = n
         self.data = data[off[0] : off[-1]]
         self.off = off - off[0]
-        gap = SPACE[self.data]
+        gap = spaces[self.data]
         cut = np.zeros(len(self.data) + 1, dtype=bool)
         cut[self.off] = True
         word = ~gap
