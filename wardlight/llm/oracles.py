@@ -31,3 +31,27 @@ sim as (select doc_id, item_id, start, o / (n + m - o) as similarity from shared
 select doc_id, item_id, max(similarity)::double as similarity, arg_max(start, similarity - start * 1e-12)::int as first_word
 from sim where similarity >= 0.8 group by doc_id, item_id
 """
+
+
+def clusters(k: int = 40, dim: int = 64, scale: int = 256, rounds: int = 5, prefix: str = "2:") -> str:
+    """Lloyd rounds written out, each with all distances; whole numbers in doubles are exact at this size."""
+    parts = [
+        f"v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double))::double[{dim}] as x from embeddings "
+        f"where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as (select (row_number() over (order by sha256('{prefix}' || vec_id), x) - 1)::int as cluster, x as c from v where vec_id is not null order by cluster limit {k})",
+    ]
+    for n in range(rounds + 1):
+        distance = "array_inner_product(x, x) - 2 * array_inner_product(x, c) + array_inner_product(c, c)"
+        parts.append(f"a{n} as materialized (select r, arg_min(cluster, (d, cluster)) as cluster, min(d) as d from (select r, cluster, {distance} as d from v, c{n}) group by r)")
+        if n < rounds:
+            parts.append(
+                f"s{n} as (select cluster, j, floor(sum(x[j]::hugeint)::double / count(*)) as m from a{n} join v using (r), unnest(range(1, {dim + 1})) as t(j) group by cluster, j)"
+            )
+            parts.append(
+                f"c{n + 1} as materialized (select cluster, coalesce(m, c) as c from c{n} left join (select cluster, list(m order by j)::double[{dim}] as m from s{n} group by cluster) using (cluster))"
+            )
+    return "with " + ",\n".join(parts) + f"""
+select vec_id, a{rounds}.cluster, d::bigint as distance, (sum(d) over (partition by a{rounds}.cluster))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+       sha256(array_to_string(list_transform(c::double[], lambda y: y::bigint::varchar), ',')) as centroid_sha256
+from a{rounds} join v using (r) join c{rounds} on c{rounds}.cluster = a{rounds}.cluster
+"""

@@ -11,6 +11,7 @@ from wardlight.llm import oracles
 from wardlight.llm.chat import chat_digest, chat_windows
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.order_minhash import near_duplicates
+from wardlight.llm.orchard import orchard_clusters
 from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
 from wardlight.llm.quality import COUNTS, quality_model, quality_rules
@@ -82,6 +83,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_decontamination": op1_simhash_decontamination,
     "op2_secret_forest": op2_secret_forest,
@@ -93,9 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_orchard_clusters": op12_orchard_clusters,
 }
 
 ORACLES: dict[str, str] = {
     "op1_simhash_decontamination": oracles.CONTAMINATION,
     "op10_substring_dedup": oracles.SUBSTRING,
+    "op12_orchard_clusters": oracles.clusters(),
 }
