@@ -19,6 +19,7 @@ from wardlight.llm.secret_forest import secret_findings, secret_model
 from wardlight.llm.sharding import grown, shard_rows, tree
 from wardlight.llm.substring import substring_dedup
 from wardlight.llm.text import small_batches
+from wardlight.llm.toxicity import toxicity_model, toxicity_scores
 from wardlight.llm.zip_warc import read_packages, write_packages
 
 
@@ -83,6 +84,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op11_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_toxicity_machine": op11_toxicity_machine,
     "op12_orchard_clusters": op12_orchard_clusters,
 }
 
