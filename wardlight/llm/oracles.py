@@ -55,3 +55,21 @@ select vec_id, a{rounds}.cluster, d::bigint as distance, (sum(d) over (partition
        sha256(array_to_string(list_transform(c::double[], lambda y: y::bigint::varchar), ',')) as centroid_sha256
 from a{rounds} join v using (r) join c{rounds} on c{rounds}.cluster = a{rounds}.cluster
 """
+
+
+SEARCH = r"""
+with word as (select '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' as p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as up, 'abcdefghijklmnopqrstuvwxyz' as low),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), p) as ts from documents, word),
+b as (select row_number() over () as q, * from (select distinct item_id, text from benchmark)),
+i as (select q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), up, low), p)) as t from b, word),
+asked as (select q, item_id, t, count(*) as times from i group by all),
+tf as (select r, t, count(*) as tf from (select r, unnest(ts) as t from d) group by all),
+s as (select count(*) as n_docs, sum(len(ts))::bigint as n_terms from d where len(ts) > 0),
+df as (select t, count(*) as df from tf group by t),
+w as (select t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from df, s),
+m as (select r, doc_id, 100 - 25 + ((25 * len(ts) * n_docs) // n_terms) as m from d, s where len(ts) > 0),
+score as (select q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+          from asked join w using (t) join tf using (t) join m using (r) group by all)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from score where score > 0) where rank <= 20
+"""

@@ -11,6 +11,7 @@ from wardlight.llm import oracles
 from wardlight.llm.chat import chat_digest, chat_windows
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.order_minhash import near_duplicates
+from wardlight.llm.lexical import lexical_search
 from wardlight.llm.orchard import orchard_clusters
 from wardlight.llm.packing import best_fit_packing
 from wardlight.llm.pseudo_likelihood import pseudo_likelihood, pseudo_likelihood_model
@@ -93,6 +94,10 @@ def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_decontamination": op1_simhash_decontamination,
     "op2_secret_forest": op2_secret_forest,
@@ -106,10 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_toxicity_machine": op11_toxicity_machine,
     "op12_orchard_clusters": op12_orchard_clusters,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op1_simhash_decontamination": oracles.CONTAMINATION,
     "op10_substring_dedup": oracles.SUBSTRING,
     "op12_orchard_clusters": oracles.clusters(),
+    "op13_lexical_search": oracles.SEARCH,
 }
