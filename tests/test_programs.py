@@ -56,6 +56,75 @@ def report():
     hits = count_hits()
     db.execute("select * from report limit " + hits)
 ''', set()),
+    # a tainted local name goes down through two helpers
+    "depot/hand_down.py": (FLASK + '''
+
+def dispatch(order):
+    line = "van " + order
+    os.system(line)
+
+
+def plan(stop):
+    dispatch("to " + stop)
+
+
+def tour():
+    town = request.args.get("town")
+    plan(town)
+''', {"CMDi"}),
+    # what comes back depends on the argument, also through a helper of the helper and a recursive one
+    "depot/hand_back.py": (FLASK + '''
+
+def quoted(part):
+    return "'" + part + "'"
+
+
+def listed(part, depth):
+    if depth:
+        return listed(part, depth - 1)
+    inner = quoted(part)
+    return inner
+
+
+def stock():
+    shelf = request.args.get("shelf")
+    db.execute("select * from stock where shelf = " + listed(shelf, 3))
+''', {"SQLi"}),
+    # a helper that ignores its argument, and one that cleans it
+    "depot/hand_nothing.py": (FLASK + '''
+
+def lane_of(parcel):
+    return "north"
+
+
+def size_of(parcel):
+    return int(parcel)
+
+
+def both():
+    parcel = request.args.get("parcel")
+    lane = lane_of(parcel)
+    os.system("open " + lane)
+    db.execute("select * from size where s = " + size_of(parcel))
+''', set()),
+    # the same helper gets something tainted in one place and a constant in another
+    "depot/two_calls.py": (FLASK + '''
+
+def marked(text):
+    return "*" + text
+
+
+def one():
+    note = marked(request.args.get("note"))
+    return note
+
+
+def two():
+    os.system(marked("fixed"))
+''', set()),
+    # the source is written into the sink, plain and cleaned
+    "depot/straight.py": (FLASK + "\n\ndef go():\n    os.system(request.args.get(\"gate\"))\n", {"CMDi"}),
+    "depot/straight_clean.py": (FLASK + "\n\ndef go():\n    db.execute(\"select \" + str(int(request.args.get(\"gate\"))))\n", set()),
     "depot/pair.py": (FLASK + '''
 
 def route():
@@ -136,9 +205,21 @@ def test_records_are_whole(found):
             assert len(r["taint_trace"]) == r["trace_len"] and r["taint_trace"][-1]["line"] == r["line"]
 
 
-def test_trace_leads_from_the_source(found):
-    (r,) = [x for x in found["depot/wrapped_call.py"] if x["vuln_class"] == "SQLi"]
-    assert [s["line"] for s in r["taint_trace"]] == [6, 7] and "shelf" in r["evidence"] and r["cwe"] == "CWE-89" and r["remediation"]
+STEPS = {
+    "depot/wrapped_call.py": [(6, "enters as shelf"), (7, "used here")],
+    "depot/helper_returns.py": [(5, "enters as raw"), (10, "comes back from wanted_code"), (14, "comes back from shown_code"), (14, "moves on as code"), (15, "used here")],
+    "depot/loop_carries.py": [(7, "enters as mark"), (10, "moves on as last"), (11, "used here")],
+    "depot/hand_down.py": [(14, "enters as town"), (15, "handed to plan as stop"), (10, "handed to dispatch as order"), (5, "moves on as line"), (6, "used here")],
+    "depot/hand_back.py": [(16, "enters as shelf"), (17, "passes through listed"), (17, "used here")],
+    "depot/straight.py": [(5, "enters and is used here")],
+}
+
+
+@pytest.mark.parametrize("name", list(STEPS))
+def test_every_step_is_told(found, name):
+    (r,) = [x for x in found[name] if x["vuln_class"] in ("SQLi", "CMDi")]
+    assert [(s["line"], s["description"].split(":")[0]) for s in r["taint_trace"]] == STEPS[name]
+    assert [s["step"] for s in r["taint_trace"]] == list(range(1, len(STEPS[name]) + 1)) and r["cwe"] and r["remediation"]
 
 
 def test_secret_is_masked(found):

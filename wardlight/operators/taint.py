@@ -71,7 +71,8 @@ class CodeFacts:
         self.files = files
         self.rules = rules
         self.sanitizers = rule_arrays(rules, "sanitizers")
-        self.rule_sources = rule_arrays(rules, "sources")
+        rule_sources = by_language_array(rule_arrays(rules, "sources"))
+        self._sources = F.array_union(rule_sources, F.transform(framework_sources(F.col("framework")), lambda s: F.lower(s)))
         told = framework_detect(files.select("file", "language", "content"))
         self.stmts = written(blocks.with_roles(extract.statements(told, keep=("framework",))).drop("parent_text"), "stmts")
         self.functions = extract.extract_functions(self.stmts)
@@ -80,7 +81,7 @@ class CodeFacts:
 
     def sources(self) -> Column:
         """Lower-case source texts of the row's language and framework."""
-        return F.array_union(by_language_array(self.rule_sources), F.transform(framework_sources(F.col("framework")), lambda s: F.lower(s)))
+        return self._sources
 
     def has_source(self, text) -> Column:
         return let(F.lower(text), lambda low: F.exists(self.sources(), lambda s: F.contains(low, s)))
@@ -122,42 +123,19 @@ def taint_gen_kill(facts: CodeFacts) -> DataFrame:
     return gen.unionByName(kill).unionByName(flow)
 
 
-def returning_functions(facts: CodeFacts) -> DataFrame:
-    """``(file, name)`` of functions whose return statement holds a source, a name their body took from one, or a call of
-    such a function of the same file; names wrapped by a sanitizer do not count."""
-    san = by_language_array(facts.sanitizers)
-    value = F.regexp_extract("text", extract.RETURN, 1)
-    r = facts.stmts.filter("func_start > 0").withColumn("value", value).filter("value <> ''").withColumn("_src", facts.has_source(F.col("value")))
-    open_names = F.array_except(identifiers(F.col("value")), safe_identifiers(F.col("value"), san))
-    names = r.filter("not _src").select("file", "func", "func_start", F.explode(open_names).alias("base"))
-    taken = facts.definitions().filter("from_source").select("file", "func_start", "base").distinct()
-    seed = r.filter("_src").select("file", F.col("func").alias("name")).unionByName(names.join(taken, ["file", "func_start", "base"]).select("file", F.col("func").alias("name")))
-    called = checkpointed(names.select("file", F.col("base").alias("name"), F.col("func").alias("_caller")).join(facts.functions.select("file", "name").distinct(), ["file", "name"]))
-    return fixpoint(seed, lambda front: front.join(called, ["file", "name"]).select("file", F.col("_caller").alias("name")))
-
-
-def from_returns(facts: CodeFacts, d: DataFrame) -> DataFrame:
-    """Definitions whose value calls a function that returns a source count as sources themselves."""
-    calls = d.select("file", "line", "target", F.explode(F.regexp_extract_all("value", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("name"))
-    hit = calls.join(returning_functions(facts), ["file", "name"]).select("file", "line", "target").distinct().withColumn("_ret", F.lit(True))
-    return d.join(hit, ["file", "line", "target"], "left").withColumn("from_source", F.col("from_source") | F.coalesce("_ret", F.lit(False))).drop("_ret")
-
-
 class DefUse:
     """Nodes and static edges for the fixpoint.
 
     Only files with both a place where taint starts and a candidate sink can report, so everything else is dropped
     before the edges are built. The edge tables are partitioned once on the columns they are joined by; a round of the
-    fixpoint then moves its new rows only. With ``returns`` a call of a function that hands out a source is a source.
+    fixpoint then moves its new rows only. Calls are followed by ``flows``.
     """
 
-    def __init__(self, facts: CodeFacts, returns: bool = False):
+    def __init__(self, facts: CodeFacts):
         self.facts = facts
         san = by_language_array(facts.sanitizers)
         self.handlers = handler_param_seed(facts)
         d = facts.definitions()
-        if returns:
-            d = from_returns(facts, d)
         starts = d.filter("from_source").select("file").unionByName(self.handlers.select("file")).distinct()
         files = checkpointed(facts.sinks().select("file").distinct().join(starts, "file", "left_semi"))
         d = d.join(files, "file", "left_semi").withColumn("_safe", safe_identifiers(F.col("value"), san))
@@ -282,36 +260,6 @@ def module_taint(facts: CodeFacts) -> DataFrame:
     return d.groupBy("file", "base").agg(F.min("line").alias("line"))
 
 
-def interprocedural_contexts(facts: CodeFacts, max_depth: int | None = None) -> DataFrame:
-    """``(file, callee, line, param)``: parameters tainted at a call site, from module level or passed on by a caller's
-    tainted parameter; contexts are finite, so chains are followed to their end unless ``max_depth`` says otherwise."""
-    edges = checkpointed(call_edges(facts.calls, facts.functions))
-    first = param_seed(edges, facts.functions, module_taint(facts)).select("file", "callee", "line", "param")
-    passing = positional(edges, facts.functions).withColumn("_w", F.explode(identifiers(F.col("arg")))).select(
-        "file", F.col("caller"), F.col("callee").alias("_c"), F.col("line").alias("_l"), F.col("param").alias("_p"), "_w")
-    passing = checkpointed(passing)
-
-    def step(front):
-        return front.select("file", F.col("callee").alias("caller"), F.col("param").alias("_w")).distinct().join(passing, ["file", "caller", "_w"]).select(
-            "file", F.col("_c").alias("callee"), F.col("_l").alias("line"), F.col("_p").alias("param"))
-
-    return fixpoint(first, step, max_rounds=max_depth)
-
-
-def interprocedural_taint(facts: CodeFacts, du: DefUse | None = None) -> DataFrame:
-    """Hits reached from a parameter tainted by a call: ``(file, callee, call_line, rule_id, sink_line, var)``.
-
-    Reachability distributes over the seeds, so each parameter is followed once, whatever number of call sites taints it.
-    """
-    du = du or DefUse(facts)
-    ctx = checkpointed(interprocedural_contexts(facts))
-    starts = facts.functions.select("file", F.col("name").alias("callee"), "start_line")
-    params = ctx.select("file", "callee", "param").distinct().join(starts, ["file", "callee"])
-    seed = du.param_nodes(params.withColumn("base", F.col("param")))
-    hits = du.sink_hits(du.reach(seed, ["callee", "param"]), ["callee", "param"])
-    return ctx.withColumnRenamed("line", "call_line").join(hits, ["file", "callee", "param"]).select("file", "callee", "call_line", "rule_id", "sink_line", "var").distinct()
-
-
 # ---------------------------------------------------------------------------- flow-insensitive line order
 def function_returns_taint(facts: CodeFacts) -> DataFrame:
     """Functions with a source in a return or an assignment of their span: ``(file, name)``.

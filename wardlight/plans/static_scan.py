@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import ADVISORIES, CONFIG_CHECK_BY_NAME
-from wardlight.operators import extract, secrets, structure_checks, taint, triage
+from wardlight.operators import extract, flows, secrets, structure_checks, taint, triage
 from wardlight.operators.dedup import dedup_shortest_trace
 from wardlight.operators.files import basename, prescan_gate, with_language
 from wardlight.operators.findings import findings_union, fingerprint, report_cvss
@@ -28,7 +28,7 @@ DETECTORS = [
 
 
 def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(file, line, rule_id, trace_len, origin_line, var, evidence, severity_override, confidence_override)`` of every detector.
+    """``(file, line, rule_id, taint_trace, trace_len, evidence, severity_override, confidence_override)`` of every detector.
 
     Configuration files are routed by name first; the keyword gate is for code and text. What a detector saw (statement,
     call, masked value) is its evidence, so nothing is read again for it.
@@ -38,17 +38,16 @@ def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     gated = prescan_gate(files, flat("sinks"), flat("sources"))
     code = with_language(gated).filter("language is not null").select("file", "language", "content")
     facts = taint.CodeFacts(code, rules)
-    du = taint.DefUse(facts, returns=True)
     none = F.lit(None).cast("string")
 
-    def shape(df, line="line", rule=None, origin=None, evidence=None):
+    def shape(df, line="line", rule=None, evidence=None):
         own = lambda c: F.col(c) if c in df.columns else none
         at = F.col(line).cast("bigint") if line else F.lit(None).cast("bigint")
-        start = origin if origin is not None else at
+        shown = evidence if evidence is not None else none
+        used = F.array(F.struct(F.lit(1).alias("step"), at.alias("line"), F.concat(F.lit("used here: "), F.coalesce(shown, F.lit(""))).alias("description")))
         return df.select(
-            "file", at.alias("line"), (F.lit(rule) if rule else F.col("rule_id")).alias("rule_id"), F.when(start == at, 1).when(at.isNull(), 1).otherwise(2).alias("trace_len"),
-            start.alias("origin_line"), own("var").alias("var"), (evidence if evidence is not None else none).alias("evidence"),
-            own("severity_override").alias("severity_override"), own("confidence_override").alias("confidence_override"))
+            "file", at.alias("line"), (F.lit(rule) if rule else F.col("rule_id")).alias("rule_id"), (F.col("taint_trace") if "taint_trace" in df.columns else used).alias("taint_trace"),
+            shown.alias("evidence"), own("severity_override").alias("severity_override"), own("confidence_override").alias("confidence_override")).withColumn("trace_len", F.size("taint_trace"))
 
     lines = source_lines(gated.select("file", "content"))
     config_lines = source_lines(config.select("file", "content"))
@@ -56,12 +55,9 @@ def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     secret_hits = secrets.secret_fp_filter(secrets.secret_dispatch(lines, files.select("file")))
     adv = files.sparkSession.createDataFrame(ADVISORIES, "pkg string, prefixes array<string>, severity string")
     manifests = config.filter("regexp_replace(file, '^.*/', '') = 'package.json'").select("file", "content")
-    called = taint.interprocedural_taint(facts, du)
-    called = called.join(facts.stmts.select("file", F.col("line").alias("sink_line"), "text"), ["file", "sink_line"])
     masked = F.concat(F.substring("value", 1, 4), F.repeat(F.lit("*"), F.greatest(F.length("value") - 4, F.lit(0))))
     return findings_union(
-        shape(taint.taint_fixpoint(facts, du), "sink_line", origin=F.col("origin_line"), evidence=F.col("sink_text")),
-        shape(called, "sink_line", origin=F.least("call_line", F.col("sink_line") - 1), evidence=F.col("text")),
+        shape(flows.taint_paths(facts), "sink_line", evidence=F.col("sink_text")),
         shape(structure_checks.detect_shell_true(facts.calls, rules), evidence=F.col("full_text")),
         shape(structure_checks.detect_weak_crypto(facts.calls, rules), evidence=F.col("pattern")),
         shape(secret_hits, evidence=masked), shape(secrets.detect_redos(extract.extract_strings(lines)), rule="redos_pattern", evidence=F.col("pattern")),
@@ -75,20 +71,17 @@ def static_scan(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of ``files(file, content)``: one per (file, rule, line), the one with the shortest trace, as whole records.
 
     A record has an id, class, severity, confidence, score and vector, CWE, OWASP, issue, description, remediation,
-    evidence, and the steps from where the value came in (or the call that handed it over) to where it is used.
+    evidence, and every step from where the value came in to where it is used.
     """
     hits = raw_hits(files, rules).withColumn("vuln_class", F.lit(""))
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = dedup_shortest_trace(hits.withColumn("seq", F.concat_ws("|", *[blank(c) for c in ("severity_override", "confidence_override", "origin_line", "var", "evidence")])))
+    one = dedup_shortest_trace(hits.withColumn("seq", F.concat_ws("|", *[blank(c) for c in ("severity_override", "confidence_override", "evidence")])))
     own = files.sparkSession.createDataFrame(DETECTORS, "rule_id string, vuln_class string, severity string, confidence string")
     known = unique_rules(rules).select("rule_id", "vuln_class", "severity", "confidence", "cwe", "owasp", "cvss_score", "cvss_vector", "issue", "message", "remediation")
     known = known.unionByName(own, allowMissingColumns=True).select(*[F.col(c).alias(c if c == "rule_id" else "r_" + c) for c in known.columns])
     j = one.drop("vuln_class").join(known, "rule_id")
     score, vector = report_cvss(F.col("r_cvss_score"), F.col("r_cvss_vector"), F.col("r_vuln_class"))
-    step = lambda n, line, text: F.struct(F.lit(n).alias("step"), line.alias("line"), F.col("file").alias("file"), text.alias("description"))
-    use = F.concat(F.lit("used here: "), F.coalesce("evidence", F.lit("")))
-    begin = F.concat(F.lit("enters as "), F.coalesce("var", F.lit("a value")))
-    trace = F.when(F.col("trace_len") == 2, F.array(step(1, F.col("origin_line"), begin), step(2, F.col("line"), use))).otherwise(F.array(step(1, F.col("line"), use)))
+    trace = F.transform("taint_trace", lambda x: F.struct(x["step"].alias("step"), x["line"].alias("line"), F.col("file").alias("file"), x["description"].alias("description")))
     text = lambda c: F.coalesce(c, F.lit(""))
     return j.select(
         fingerprint(F.lit("wardlight"), F.col("file"), F.coalesce("line", F.lit(0)), F.col("rule_id"), digest=True).alias("id"), "file", "line", "rule_id", F.col("r_vuln_class").alias("vuln_class"),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import FRAMEWORK_ORDER, FRAMEWORK_SIGNALS, FRAMEWORK_SOURCES, SHELL_FUNCTIONS, WEAK_CRYPTO_TEXTS
 from wardlight.catalog.rules import rule_rows
 from wardlight.catalog.programs import PROGRAMS
-from wardlight.operators import extract, framework, intervals, lines as lines_op, pages as pages_op, rules_match, structure_checks, taint
+from wardlight.operators import extract, flows, framework, intervals, lines as lines_op, pages as pages_op, rules_match, structure_checks, taint
 from wardlight.registry.core import query
-from wardlight.views import duck, lit, values
+from wardlight.views import ORDER_STEP, duck, lit, values
 
 N = len(PROGRAMS)
 HASH = "case when language = 'python' then regexp_replace(text, '(^|\\s+)#[^\"'']*$', '') else regexp_replace(text, '\\s*//[^\"'']*$', '') end"
@@ -376,7 +376,55 @@ def code_taint_fixpoint(t):
 @query("interprocedural_taint", expected([(5, "run", 8, "python_cmdi", 5, "cmd")], "callee, call_line, rule_id, sink_line, var",
        "c.file, e.callee, e.call_line::bigint as call_line, e.rule_id, e.sink_line::bigint as sink_line, e.var"))
 def interprocedural_taint(t):
-    return taint.interprocedural_taint(taint.CodeFacts(t.code(), t.rules()))
+    return flows.interprocedural_taint(taint.CodeFacts(t.code(), t.rules()))
+
+
+# whole paths by program: lines and what happens there; the text behind "used here" is the statement
+PATHS = [
+    (0, "get_user_@K@", "python_sqli", 8, "query", "6 enters as name > 7 moves on as query > 8 used here"),
+    (3, "search", "python_sqli", 7, "sql", "5 enters as params > 6 moves on as sql > 7 used here"),
+    (4, "lookup", "python_sqli", 9, "sql", "7 enters in read_name > 7 moves on as who > 8 moves on as sql > 9 used here"),
+    (5, "run", "python_cmdi", 5, "cmd", "2 enters as target > 10 handed to ping as host > 8 handed to run as cmd > 5 used here"),
+    (6, "pick", "python_cmdi", 10, "path", "7 enters as path > 10 used here"),
+    (8, "poll", "python_cmdi", 8, "prev", "10 enters as cur > 9 moves on as prev > 8 used here"),
+    (9, "ping", "python_cmdi", 8, "line", "6 enters as parameter host > 7 moves on as line > 8 used here"),
+    (10, "<module>", "python_cmdi", 5, "full", "3 enters as cmd > 4 moves on as full > 5 used here"),
+    (13, "<anonymous>", "js_sqli", 6, "sql", "4 enters as id > 5 moves on as sql > 6 used here"),
+    (14, "render", "js_xss", 6, "who", "2 enters as who > 6 used here"),
+    (15, "handle", "go_sqli", 5, "query", "3 enters as id > 4 moves on as query > 5 used here"),
+    (15, "handle", "go_cmdi", 6, "id", "3 enters as id > 6 used here"),
+    (16, "Load", "csharp_sqli", 7, "text", "5 enters as id > 6 moves on as text > 7 used here"),
+    (17, "find", "java_sqli", 5, "sql", "3 enters as id > 4 moves on as sql > 5 used here"),
+    (18, "<module>", "php_sqli", 4, "$sql", "2 enters as $id > 3 moves on as $sql > 4 used here"),
+    (19, "main", "c_strcpy", 4, "name", "3 enters as name > 4 used here"),
+    (22, "build", "python_cmdi", 10, "line", "7 enters as line > 10 used here"),
+    (23, "attempt", "python_cmdi", 10, "value", "7 enters as value > 10 used here"),
+]
+
+
+def paths(found):
+    steps = F.array_join(F.transform("taint_trace", lambda s: F.concat(s["line"].cast("string"), F.lit(" "), F.substring_index(s["description"], ":", 1))), " > ")
+    return found.select("file", "func", "rule_id", "sink_line", "var", steps.alias("steps"))
+
+
+@query("taint_paths", expected(PATHS, "func, rule_id, sink_line, var, steps",
+       f"c.file, {KSUB.format('e.func')} as func, e.rule_id, e.sink_line::bigint as sink_line, e.var, e.steps"))
+def taint_paths(t):
+    """Whole paths from sources to sinks, calls included."""
+    return paths(flows.taint_paths(taint.CodeFacts(t.code(), t.rules())))
+
+
+@query("order_taint_paths", f"""
+with l as (select l_orderkey as o, {ORDER_STEP} as step, row_number() over (partition by l_orderkey order by l_linenumber, {ORDER_STEP}) as i, count(*) over (partition by l_orderkey) as n from lineitem),
+g as (select o, n, max(case when i > 1 and step = 'drop' then 1 else 0 end) as dropped,
+ string_agg(case when i = 1 then '13 enters as v1' when step = 'keep' then (12 + i) || ' passes through keep > ' || (12 + i) || ' moves on as v' || i else (12 + i) || ' moves on as v' || i end, ' > ' order by i) as steps
+ from l group by o, n)
+select 'orders/o' || o || '.py' as file, 'run' as func, 'python_cmdi' as rule_id, 10::bigint as sink_line, 'line' as var, steps || ' > ' || (13 + n) || ' handed to run as line > 10 used here' as steps
+from g where dropped = 0""")
+def order_taint_paths(t):
+    """Programs written from orders: a line item hands a value on, passes it through a helper that keeps it, or through
+    one that drops it, so which path exists is in the data."""
+    return paths(flows.taint_paths(taint.CodeFacts(t.order_code(), t.rules())))
 
 
 LINE_FLOW = [

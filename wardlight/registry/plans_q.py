@@ -12,23 +12,20 @@ from wardlight.registry.core import ORACLES, query
 from wardlight.registry.web_q import CHAIN, COOKIES, ERROR_BODY, MARK_BODY
 from wardlight.views import duck, lit, values
 
-PARTS = {n: ORACLES[n] for n in ("code_taint_fixpoint", "interprocedural_taint", "detect_shell_true", "detect_weak_crypto", "secret_dispatch", "detect_redos",
+PARTS = {n: ORACLES[n] for n in ("taint_paths", "detect_shell_true", "detect_weak_crypto", "secret_dispatch", "detect_redos",
                                  "detect_env_debug", "detect_privileged_container", "header_audit", "db_error_scan")}
 SCAN_SQL = f"""
 select h.file, h.line, h.rule_id, k.vuln_class, coalesce(h.sev, k.severity) as severity, coalesce(h.conf, k.confidence) as confidence, coalesce(k.cwe, '') as cwe, coalesce(k.owasp, '') as owasp,
- coalesce(k.remediation, '') as remediation, h.trace_len::int as trace_len from (
- select file, line, rule_id, any_value(sev) as sev, any_value(conf) as conf, min(trace_len) as trace_len from (
- select file, sink_line as line, rule_id, cast(null as varchar) as sev, cast(null as varchar) as conf, case when origin_line = sink_line then 1 else 2 end as trace_len from ({PARTS['code_taint_fixpoint']})
- union all select file, sink_line, rule_id, null, null, 2 from ({PARTS['interprocedural_taint']})
- union all select file, line, rule_id, severity_override, confidence_override, 1 from ({PARTS['detect_shell_true']})
- union all select file, line, rule_id, null, null, 1 from ({PARTS['detect_weak_crypto']})
- union all select file, line, rule_id, null, null, 1 from ({PARTS['secret_dispatch']}) where file like 'src/u%' and not contains(lower(value),'your_key_here') and not contains(lower(value),'placeholder') and not contains(lower(value),'example')
- union all select file, line, 'redos_pattern', null, null, 1 from ({PARTS['detect_redos']}) where file like 'src/u%'
- union all select file, line, 'config_env_debug', null, null, 1 from ({PARTS['detect_env_debug']})
- union all select file, line, 'config_privileged', null, null, 1 from ({PARTS['detect_privileged_container']})
- -- a call of a function that returns request text
- union all select 'src/u' || cast(c_custkey as varchar) || '/ret.py', 9, 'python_sqli', null, null, 2 from customer where c_custkey % 28 = 4
- union all select 'src/u' || cast(c_custkey as varchar) || '/package.json', null, 'config_outdated_package', null, null, 1 from customer where c_custkey % 28 = 26
+ coalesce(k.remediation, '') as remediation, len(string_split(h.steps, ' > '))::int as trace_len, h.steps from (
+ select file, line, rule_id, any_value(sev) as sev, any_value(conf) as conf, arg_min(steps, len(string_split(steps, ' > '))) as steps from (
+ select file, sink_line as line, rule_id, cast(null as varchar) as sev, cast(null as varchar) as conf, steps from ({PARTS['taint_paths']})
+ union all select file, line, rule_id, severity_override, confidence_override, line || ' used here' from ({PARTS['detect_shell_true']})
+ union all select file, line, rule_id, null, null, line || ' used here' from ({PARTS['detect_weak_crypto']})
+ union all select file, line, rule_id, null, null, line || ' used here' from ({PARTS['secret_dispatch']}) where file like 'src/u%' and not contains(lower(value),'your_key_here') and not contains(lower(value),'placeholder') and not contains(lower(value),'example')
+ union all select file, line, 'redos_pattern', null, null, line || ' used here' from ({PARTS['detect_redos']}) where file like 'src/u%'
+ union all select file, line, 'config_env_debug', null, null, line || ' used here' from ({PARTS['detect_env_debug']})
+ union all select file, line, 'config_privileged', null, null, line || ' used here' from ({PARTS['detect_privileged_container']})
+ union all select 'src/u' || cast(c_custkey as varchar) || '/package.json', null, 'config_outdated_package', null, null, ' used here' from customer where c_custkey % 28 = 26
  ) group by all
 ) h join known k on k.rule_id = h.rule_id"""
 KNOWN = {"known": values([(r[0], r[2], r[3], r[8], r[4], r[5], r[-1]) for r in rule_rows()] + [(*d, None, None, None) for d in DETECTORS], "rule_id, vuln_class, severity, confidence, cwe, owasp, remediation")}
@@ -38,7 +35,8 @@ KNOWN = {"known": values([(r[0], r[2], r[3], r[8], r[4], r[5], r[-1]) for r in r
 def q_static_scan(t):
     """Every detector over the code files, deduplicated and enriched."""
     found = static_scan.static_scan(t.code_files().select("file", "content"), t.rules())
-    return found.select("file", "line", "rule_id", "vuln_class", "severity", "confidence", "cwe", "owasp", "remediation", "trace_len")
+    return found.select("file", "line", "rule_id", "vuln_class", "severity", "confidence", "cwe", "owasp", "remediation", "trace_len",
+                        F.array_join(F.transform("taint_trace", lambda s: F.concat(F.coalesce(s["line"].cast("string"), F.lit("")), F.lit(" "), F.substring_index(s["description"], ":", 1))), " > ").alias("steps"))
 
 
 def _any(words, fold):

@@ -136,6 +136,16 @@ class Tables:
 
         return with_language(self.code_files()).filter(F.col("language").isNotNull())
 
+    def order_code(self) -> DataFrame:
+        """A program for each order, a statement for each of its line items (a few)."""
+        items = self.read("lineitem").select("l_orderkey", "l_linenumber", F.expr(ORDER_STEP).alias("step"))
+        each = spread(items).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "step"))).alias("items"))
+        v = lambda i: F.concat(F.lit("v"), i.cast("string"))
+        work = lambda x, i: F.concat(F.lit("    "), v(i + 1), F.lit(" = "), F.when(i == 0, F.concat(F.lit('request.args.get("o'), F.col("l_orderkey").cast("string"), F.lit('")'))).when(
+            x["step"] == "join", F.concat(F.lit('"a" + '), v(i))).otherwise(F.concat(x["step"], F.lit("("), v(i), F.lit(")"))), F.lit("\n"))
+        text = F.concat(F.lit(ORDER_HEAD), F.array_join(F.transform("items", work), ""), F.lit("    run("), v(F.size("items")), F.lit(")\n"))
+        return each.select(F.concat(F.lit("orders/o"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("file"), F.lit("python").alias("language"), text.alias("content"))
+
     # -- rules ----------------------------------------------------------------------------------
     def rules(self) -> DataFrame:
         return rules_df(self.spark)
@@ -163,6 +173,21 @@ class Tables:
         return self.scan_cache().filter("doc_id % 3 <> 0")
 
 
+# what a line item does with the value of the one before
+ORDER_STEP = "case when l_quantity > 45 then 'drop' when l_returnflag = 'R' then 'keep' else 'join' end"
+ORDER_HEAD = '''from flask import request
+
+def keep(part):
+    return "p" + part
+
+def drop(part):
+    return "none"
+
+def run(line):
+    os.system(line)
+
+def job():
+'''
 SPAN_COLS = [
     "user_id as file", "event_id as line", "concat('v',cast(event_id % 5 as string)) as name",
     "case when event_type in ('signup','purchase') then 'def' else 'use' end as kind", "event_type",
