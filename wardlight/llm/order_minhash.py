@@ -17,11 +17,13 @@ wide as a similarity of ``threshold`` allows. Classes are connected components o
 
 Equal texts are one node, whatever their number. A bucket emits no pair list: each member meets one leader (two rounds;
 the first leader is the member in the largest buckets, which is the centre of a group of copies), verified pairs form
-classes, and buckets inside one class are closed. In the buckets that are left, members outside the bucket's largest
-class are compared with all members of other classes, so each candidate pair that could still join two classes is
-looked at. Each text carries a bitmap of ``BITS`` bits of its labelled shingles: a bit that only one side has stands for a
-shingle that the other lacks, so the bits bound L from above, and a pair whose bound is too low is left out by the join
-itself. Only pairs close to the threshold are made and aligned, and none that meets in a bucket and reaches it is lost.
+classes, and buckets inside one class are closed. In the buckets that are left, texts outside a bucket's largest class are
+compared with texts of other classes by an exact prefix filter: the shingles of a text are ordered by the number of open
+texts that hold them, and two texts that reach the threshold share a shingle at places i and j that leave
+min(n - i, m - j) >= L common ones. Shingles of one text alone come first, so copies that differ from all others in a
+ninth of their shingles meet nobody, whatever the size of their group. Each text also carries a bitmap of ``BITS`` bits of
+its labelled shingles, which bounds L from above as well. Only pairs within both bounds are made and aligned, and none that
+meets in a bucket and reaches the threshold is lost.
 
 Defined results: texts without words (and nulls) are classes of one row; texts of one to four words are one shingle;
 repeated rows and equal word sequences share a class; class ids are the smallest id of the class, null ids aside; an
@@ -183,6 +185,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(align, "a binary, b binary, similarity double")
 
 
+def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(key, x, i): labelled shingles ``x`` of each text and their places ``i`` when the text's shingles are ordered by the
+    number of texts that hold them; only those places that a common shingle of two near copies can have first."""
+
+    def each(batches):
+        for part in slices(batches, "_t"):
+            sh, doc = shingles(Flat(get(part, "_t")), words)
+            x = labelled(sh, doc) if len(sh) else sh
+            size = np.bincount(doc, minlength=part.num_rows)
+            yield pa.record_batch([get(part, "key").take(pa.array(doc)), pa.array(x.view(np.int64)), pa.array(size[doc])], ["key", "x", "n"])
+
+    rows = texts.select("key", "_t").mapInArrow(each, "key binary, x long, n long")
+    rows = written(rows, "open_shingles")
+    held = rows.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")  # a shingle of one text stands first and is shared with none
+    lists = rows.join(held, "x").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
+    spare = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)
+    room = F.greatest(spare + 1 - (F.col("n") - F.size("r")), F.lit(0)).cast("int")
+    at = lists.select("key", (F.col("n") - F.size("r")).alias("own"), F.posexplode(F.slice("r", 1, room)).alias("p", "e"))
+    return at.select("key", F.col("e.x").alias("x"), (F.col("own") + F.col("p")).alias("i"))
+
+
 def short_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
     """(key, n, at, bucket) of the rarest labelled shingles of short texts, so many that no two near copies share none."""
     each = nodes.filter(f"n <= {SHORT}").select("key", "n", F.explode("few").alias("x"))
@@ -234,12 +257,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             sizes = open_members.groupBy("bucket", "class").agg(F.count("*").alias("c"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "class")).alias("_m")).select("bucket", F.col("_m.class").alias("main"))
-            placed = open_members.join(main, "bucket").join(nodes.select("key", "sk"), "key")
-            few = placed.filter("class != main").drop("main")
-            all_ = placed.select("bucket", F.col("key").alias("other"), F.col("n").alias("m"), F.col("class").alias("c2"), F.col("bm").alias("bm2"), F.col("sk").alias("sk2"), F.col("main"))
-            first = " and ".join(f"not (at > {k} and sk[{k}] = sk2[{k}])" for k in range(SKETCHES))  # a pair is made in its first bucket only
-            once = F.expr(f"class != c2 and ((c2 = main and class != main) or key < other) and {first}")
-            pairs = few.join(all_, "bucket").filter(close).filter(once).select(*pair)
+            placed = open_members.join(main, "bucket").groupBy("key").agg(F.first("class").alias("class"), F.first("n").alias("n"), F.first("bm").alias("bm"), F.max(F.col("class") != F.col("main")).alias("aside"))
+            placed = written(placed, "placed")
+            rare = prefixes(texts.join(placed.select("key"), "key", "left_semi"), threshold, words).join(placed.drop("bm"), "key")
+            band = lambda c: F.floor(F.log(c) / math.log(1.02)).cast("int")
+            least = F.ceil(threshold * F.col("n") - 1e-9)
+            most = F.floor((F.col("n") - F.col("i")) * (1 + threshold) / threshold - F.col("n") + 1e-6)  # lengths of texts that can still reach it
+            rare = written(rare.withColumns({"own": band(F.col("n")), "least": least, "most": most}).filter("most >= least").withColumn("fits", F.sequence(band(F.col("least")), band(F.col("most")))), "prefixes")
+            left = rare.filter("aside").select("key", "x", "i", "n", "class", F.col("own").alias("from"), F.explode("fits").alias("to"))
+            right = rare.select(F.col("key").alias("other"), "x", F.col("i").alias("j"), F.col("n").alias("m"), F.col("class").alias("c2"), F.explode("fits").alias("from"), F.col("own").alias("to"))
+            met = left.join(right, ["x", "from", "to"]).filter(F.expr(f"class != c2 and n - i >= {need} and m - j >= {need}")).select("key", "other", "n", "m").distinct()
+            maps = placed.select("key", "bm")
+            pairs = met.join(maps, "key").join(maps.select(F.col("key").alias("other"), F.col("bm").alias("bm2")), "other").filter(close).select(*pair)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
