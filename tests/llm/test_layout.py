@@ -53,6 +53,17 @@ def test_small_payloads_are_never_shared(spark):
     assert got == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(k, f"http://p/{k}", f"text {k} " * 50) for k in range(600)], PAGE).repartition(3)
+    manifest = write_packages(pages)
+    few = read_packages(manifest, piece=4000)
+    assert few.rdd.getNumPartitions() > 10 and few.count() == 600
+    used = few.withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task").alias("n"), F.count_distinct("page_id").alias("pages")).first()
+    assert used.n > 5 and used.pages == 600
+    small = write_packages(pages, package=2000)
+    assert small.count() > 20 and read_packages(small).rdd.getNumPartitions() >= small.count()
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], PAGE)
     assert read_packages(write_packages(empty)).count() == 0

@@ -148,3 +148,54 @@ def test_secrets_in_documents(spark, odd, none):
     assert secret_findings(odd, model).filter("secret").count() == 0
     assert sorted(map(str, redacted(odd, model).collect())) == sorted(map(str, odd.collect()))
     assert secret_findings(none, secret_model(none)).count() == 0
+
+
+def near(rng, words, share, k):
+    """A text whose words are those of ``words`` but for single ones, so that about ``share`` of the shingles stay."""
+    out = list(words)
+    changes = max(1, round((1 - share) * len(words) / 5))
+    for j, at in enumerate(rng.sample(range(2, len(words) - 2), changes)):
+        out[at] = f"c{k}x{j}"
+    return " ".join(out)
+
+
+def test_copies_just_below_the_threshold_make_few_pairs(spark, frame, monkeypatch):
+    """2,000 texts near one base, none a near copy of another: pairs grow with the texts, not with their square."""
+    import wardlight.llm.order_minhash as module
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    docs = [(k, near(rng, base, 0.86, k)) for k in range(2000)]
+    made = []
+    keep = module.written
+    monkeypatch.setattr(module, "written", lambda df, name: made.append((name, out.count())) or out if (out := keep(df, name)) is not None and name == "pairs" else out)
+    got = {r.doc_id: r.class_id for r in near_duplicates(frame(docs, 4)).collect()}
+    assert sum(n for _, n in made) < 40 * len(docs)
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, []).append(i)
+    shingled = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in docs}
+    ids = rng.sample(range(2000), 120)
+    for a in ids:
+        for b in ids:
+            x, y = shingled[a], shingled[b]
+            if a < b and len(x & y) / len(x | y) >= 0.8:
+                assert got[a] == got[b]
+
+
+def test_recall_just_above_the_threshold(spark, frame):
+    """Pairs of 0.80 to 0.85, short and over ``SAMPLE`` shingles: at least 99 of 100 share a class."""
+    rng = random.Random(12)
+    docs, pairs = [], []
+    while len(pairs) < 300:
+        n = rng.choice([12, 26, 40, 90, 300, 700])
+        words = [f"v{len(pairs)}y{k}" for k in range(n)]
+        other = near(rng, words, 0.905, 5000 + len(pairs)).split()
+        x, y = ({tuple(w[j : j + 5]) for j in range(n - 4)} for w in (words, other))
+        s = len(x & y) / len(x | y)
+        if 0.8 <= s <= 0.85:
+            pairs.append((len(docs), len(docs) + 1))
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(frame(docs, 4)).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert found >= 0.99 * len(pairs) and len(set(got.values())) == len(docs) - found

@@ -38,6 +38,7 @@ from wardlight.llm.text import get
 from wardlight.session import scratch_path, written
 
 PACKAGE = 32 << 20
+PIECE = 8 << 20
 READ = 8 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -225,29 +226,66 @@ def records_of(file, base: int, length: int, step: int):
                 inflate, out = zlib.decompressobj(31), []
 
 
-def read_packages(manifest: DataFrame, step: int = READ) -> DataFrame:
-    """All records of the packages named in column ``path``, with headers and payload facts."""
+def pieces_of(file, path: str, piece: int):
+    """(archive's place, its length, record offsets, record lengths) of runs of about ``piece`` bytes; an archive without
+    an index is one run without offsets."""
+    found = members(file, file.size())
+    for name, (method, _, _) in found.items():
+        if method != 0:
+            raise ValueError(f"{path}: member {name} is compressed, not stored")
+    places: dict[str, list[tuple[int, int]]] = {}
+    for name, (_, at, n) in found.items():
+        if name.startswith("indexes/"):
+            for warc, o, m in ranges(read_at(file, at, n).decode()):
+                places.setdefault(f"archive/{warc}", []).append((o, m))
+    for name, (_, at, n) in found.items():
+        if name.startswith("archive/"):
+            if name not in places:
+                yield at, n, None, None
+                continue
+            run: list[tuple[int, int]] = []
+            for o, m in sorted(places[name]):
+                run.append((o, m))
+                if o + m - run[0][0] >= piece:
+                    yield at, n, [x for x, _ in run], [x for _, x in run]
+                    run = []
+            if run:
+                yield at, n, [x for x, _ in run], [x for _, x in run]
+
+
+def tasks(rows: int) -> int:
+    """Partitions for so many packages or runs; a given number is not coalesced."""
+    return max(1, min(rows, 10_000))
+
+
+def read_packages(manifest: DataFrame, step: int = READ, piece: int = PIECE) -> DataFrame:
+    """All records of the packages named in column ``path``, with headers and payload facts.
+
+    Directories and indexes are read first, a task for each package; the runs of records that they tell of are then read
+    by as many tasks, so neither a table of a few packages nor one large package ends in a single task. File systems are
+    opened by the address in ``path`` in each worker, with the credentials of the worker's own environment.
+    """
+
+    def look(batches):
+        for part in batches:
+            for path in get(part, "path").to_pylist():
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as file:
+                    runs = list(pieces_of(file, path, piece))
+                columns = [pa.array([path] * len(runs)), pa.array(range(len(runs)), pa.int32()), *(pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))]
+                yield pa.record_batch(columns, ["path", "run", "at", "size", "offsets", "lengths"])
 
     def read(batches):
         for part in batches:
-            for path in get(part, "path").to_pylist():
+            for path, at, n, offsets, lengths in zip(*(get(part, c).to_pylist() for c in ("path", "at", "size", "offsets", "lengths")), strict=True):
                 store, inner = fs.FileSystem.from_uri(path)
                 with store.open_input_file(inner) as file:
-                    found = members(file, file.size())
-                    for name, (method, _, _) in found.items():
-                        if method != 0:
-                            raise ValueError(f"{path}: member {name} is compressed, not stored")
-                    places: dict[str, list[tuple[int, int]]] = {}
-                    for name, (_, at, n) in found.items():
-                        if name.startswith("indexes/"):
-                            for warc, o, m in ranges(read_at(file, at, n).decode()):
-                                places.setdefault(f"archive/{warc}", []).append((o, m))
-                    for name, (_, at, n) in found.items():
-                        if name.startswith("archive/"):
-                            got = records_at(file, at, sorted(places[name]), step) if name in places else records_of(file, at, n, step)
-                            yield from batched(got)
-
-    return manifest.select("path").repartition("path").mapInArrow(
+                    yield from batched(records_of(file, at, n, step) if offsets is None else records_at(file, at, list(zip(offsets, lengths, strict=True)), step))
+
+    packages = manifest.select("path")
+    runs = packages.repartition(tasks(manifest.count()), "path").mapInArrow(look, "path string, run int, at long, size long, offsets array<long>, lengths array<long>")
+    runs = written(runs, "runs")
+    return runs.repartition(tasks(runs.count()), "path", "run").mapInArrow(
         read, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, stated_digest string, payload binary")
 
 
