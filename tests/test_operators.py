@@ -336,3 +336,65 @@ def test_location(spark):
     df = spark.createDataFrame([('d["k"]',), ("a.b.c",), ("x",)], "t string")
     got = [tuple(r) for r in df.select(*extract.taint_location(F.col("t")).values()).collect()]
     assert got == [("index", "d", "k"), ("field", "a", "b.c"), ("var", "x", "")]
+
+
+STRUCTURES = {
+    "javascript": ('''const a = (req) => { // it's
+  db.query({
+    sql: "x {" + code, /* ( */
+    values: [1, {b: 2}]
+  }, (err, rows) => {
+    send(`<b>${rows.map(r => `(${r["a}"]})`).join("")}</b>
+      more ( text`);
+  });
+  if (/["'({]/.test(code)) { go(); }
+  return {
+    a: f(code)
+  };
+};
+''', [(1, 0, 13), (2, 1, 8), (6, 2, 7), (8, 1, 8), (9, 1, 9), (10, 1, 12), (13, 0, 13)]),
+    "python": ('''def f(x):
+    """doc ( with
+    # brackets and 'quotes
+    """
+    q = \'\'\'a (
+      b = \'\'\' + x
+    y = {"a": [1,
+      2], "b#": f(x)}  # c (
+    return y
+z = 1
+''', [(1, 0, 9), (2, 1, 4), (5, 1, 6), (7, 1, 8), (9, 1, 9), (10, 0, 10)]),
+    "go": ("func main() {\n\tx := Point{\n\t\tA: 1,\n\t}\n\tgo func() {\n\t\trun(Point{A: x})\n\t}()\n}\n", [(1, 0, 8), (2, 1, 4), (5, 1, 7), (6, 2, 6), (7, 1, 7), (8, 0, 8)]),
+}
+
+
+@pytest.mark.parametrize("language", list(STRUCTURES))
+def test_statements_follow_the_structure(spark, language):
+    from wardlight.operators import extract
+
+    text, want = STRUCTURES[language]
+    rows = extract.statements(spark.createDataFrame([("f", language, text)], "file string, language string, content string")).orderBy("line").collect()
+    assert [(r.line, r.depth, r.end_line) for r in rows] == want
+
+
+def test_calls_keep_objects_and_templates(spark):
+    from wardlight.operators import extract
+
+    text, _ = STRUCTURES["javascript"]
+    stmts = extract.statements(spark.createDataFrame([("f", "javascript", text)], "file string, language string, content string"))
+    got = {(r.line, r.function_name): r.args for r in extract.extract_calls(stmts).collect()}
+    assert got[2, "db.query"] == ["{ sql: \"x {\" + code, values: [1, {b: 2}] }", "(err, rows) => {"]
+    assert got[6, "rows.map"] == ["r => `(${r[\"a}\"]})`"] and got[10, "f"] == ["code"] and got[9, "go"] == []
+
+
+def test_a_line_of_two_megabytes(spark):
+    import time
+
+    from wardlight.operators import extract
+
+    text = "x = f(" + ",".join(f'g("a{k}", h({k}))' for k in range(95_000)) + ")"
+    assert len(text) > 2_000_000
+    files = spark.createDataFrame([("f", "python", text)], "file string, language string, content string")
+    start = time.time()
+    assert extract.extract_calls(extract.statements(files)).count() == 190_001
+    assert time.time() - start < 60  # some five seconds on an idle core, start of workers included

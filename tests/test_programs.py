@@ -169,6 +169,27 @@ const track = (req, res) => {
     "select * from parcel where code = '" + code + "'"
   );
 };
+''', {"SQLi"}),
+    # an object literal inside the call, over several lines
+    "web/shelf.js": ('''const express = require("express");
+const shelf = (req, res) => {
+  const code = req.query.code;
+  db.query({
+    sql: "select * from parcel where code = '" + code + "'",
+    timeout: 40
+  });
+};
+''', {"SQLi"}),
+    # a text over several lines, with brackets and a comment sign in it
+    "depot/long_text.py": (FLASK + '''
+
+def parcels():
+    """All parcels (of a shelf. # not a comment"""
+    shelf = request.args.get("shelf")
+    sql = """
+        select code from parcel  -- (open
+        where shelf = ''' + "\'" + '''""" + shelf
+    db.execute(sql)
 ''', {"SQLi"}),
     "tools/Lift.java": ('''class Lift {
     ResultSet levels(HttpServletRequest request) {

@@ -12,34 +12,146 @@ OUTLINE_TYPE = "array<struct<line:bigint,depth:int,parent:bigint,end_line:bigint
 CALLS_TYPE = "array<struct<col:int,name:string,full_text:string,args:array<string>>>"
 
 
+def template_scanner():
+    """``(text, at)`` to the end of the template that opens at ``at``; its holes may hold strings and templates of their own."""
+    import re
+
+    in_template = re.compile(r"\\.|`|\$\{", re.DOTALL)
+    in_hole = re.compile(r"""[`{}]|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""")
+
+    def template_end(text, at):
+        stack, pos = ["`"], at + 1
+        while stack:
+            m = (in_template if stack[-1] == "`" else in_hole).search(text, pos)
+            if not m:
+                return len(text)
+            pos = m.end()
+            if stack[-1] == "`":
+                if m[0] == "`":
+                    stack.pop()
+                elif m[0] == "${":
+                    stack.append("{")
+            elif m[0] == "}":
+                stack.pop()
+            elif m[0] in "`{":
+                stack.append(m[0])
+        return pos
+
+    return template_end
+
+
 def outline_udf(headers: dict[str, str], arrow: tuple[str, str], anonymous: str, module: str):
     """``(content, by_braces, language)`` to statements with depth, parent line, last line of the block they open, the text
     of the parent and the innermost function around them.
 
-    Indentation or braces give the depth; blank lines, comment lines and lone opening braces are left out. A statement
-    runs on over the following lines while a bracket is open (in brace languages until a body opens) or the line ends in
-    a backslash; its text is then one line. ``headers`` has the expression of function headers by language, ``arrow`` a
-    rewriting of arrow functions to plain headers.
+    A first pass over the text finds its structure: strings (triple-quoted ones and templates with nested templates too),
+    comments, patterns between slashes, and which braces belong to objects rather than to bodies. Indentation or body
+    braces then give the depth; blank lines, comments and lone opening braces are left out. A statement runs on over the
+    following lines while a bracket, an object or a string is open, or the line ends in a backslash; its text is then one
+    line. ``headers`` has the expression of function headers by language, ``arrow`` a rewriting of arrow functions to
+    plain headers.
     """
 
+    template_end = template_scanner()
+
     @F.pandas_udf(OUTLINE_TYPE)
     def outline(content, by_braces, language):
         import re
 
         import pandas as pd
 
-        literal = re.compile(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'')
         heads = {k: re.compile(v) for k, v in headers.items()}
         rewrite = re.compile(arrow[0])
+        marks = {True: re.compile(r"""["'`/(){}\[\]#]"""), False: re.compile(r"""["'#(){}\[\]]""")}
+        quoted = {q: re.compile(rf"{q}(?:\\.|[^{q}\\\n])*{q}") for q in "\"'"}
+        triple = {q: re.compile(rf"{q}(?:\\.|(?!{q})[\s\S])*(?:{q}|\Z)") for q in ('"""', "'''")}
+        pattern = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+        block = re.compile(r"/\*[\s\S]*?(?:\*/|\Z)")
+        not_line = re.compile(r"[^\n]")
+
+        def structure(text, braces, lang):
+            """The text with strings and comments blanked and object braces as round ones; the text without comments."""
+            shape, plain, done, pos, open_, last = [], [], 0, 0, [], -1
+
+            def put(start, end, form, shown):
+                nonlocal done
+                shape.extend((text[done:start], form))
+                plain.extend((text[done:start], shown))
+                done = end
+
+            while True:
+                m = marks[braces].search(text, pos)
+                if not m:
+                    break
+                c, at = m[0], m.start()
+                end = at + 1
+                gap = at - 1
+                while gap >= 0 and text[gap].isspace():
+                    gap -= 1
+                gap = max(gap, last)  # comments between do not count as text before
+                if c in "\"'" or c == "`":
+                    if c == "`":
+                        end = template_end(text, at)
+                    elif not braces and text.startswith(c * 3, at):
+                        end = triple[c * 3].match(text, at).end()
+                    else:
+                        whole = quoted[c].match(text, at)
+                        end = whole.end() if whole else end
+                    if end > at + 1:
+                        inner = text[at:end]
+                        if "\n" in inner:
+                            put(at, end, "(" + not_line.sub("_", inner[1:-1]) + ")", inner)
+                        else:
+                            put(at, end, '"' + "_" * (end - at - 2) + '"', inner)
+                elif c == "#" or c == "/" and text.startswith("//", at):
+                    if c == "/" or not braces or lang == "php":
+                        end = text.find("\n", at)
+                        end = len(text) if end < 0 else end
+                        if c == "/" or at == 0 or text[at - 1].isspace():
+                            put(at, end, " " * (end - at), " " * (end - at))
+                        else:
+                            end = at + 1
+                elif c == "/":
+                    if text.startswith("/*", at):
+                        end = block.match(text, at).end()
+                        blank = not_line.sub(" ", text[at:end])
+                        put(at, end, blank, blank)
+                    elif lang == "javascript" and (gap < 0 or text[gap] in "(,=:[!&|?{};"):
+                        whole = pattern.match(text, at)
+                        if whole:
+                            end = whole.end()
+                            put(at, end, '"' + "_" * (end - at - 2) + '"', text[at:end])
+                elif c in "([":
+                    open_.append(c)
+                elif c == "{":
+                    before = text[gap] if gap >= 0 else ""
+                    body = before == ")" or text[max(gap - 1, 0) : gap + 1] == "=>"
+                    nested = bool(open_) and open_[-1] != "{"
+                    word = re.search(r"\w+$", text[max(gap - 9, 0) : gap + 1]) if before.isalnum() else None
+                    value = before and before in "=(,[?&|]" or (word and word[0] == "return") or lang == "go" and gap == at - 1 and before.isalnum()
+                    if not body and (nested or value):
+                        open_.append("o")
+                        if braces:
+                            put(at, end, "(", "{")
+                    else:
+                        open_.append("{")
+                elif open_:
+                    top = open_.pop()
+                    if top == "o" and c == "}" and braces:
+                        put(at, end, ")", "}")
+                pos = end
+            put(len(text), len(text), "", "")
+            return "".join(shape).split("\n"), "".join(plain).split("\n")
+
         out = []
         for text, braces, lang in zip(content, by_braces, language):
             rows, stack, level, still_open = [], [], 0, 0
             head = heads.get(lang)
-            for n, raw in enumerate((text or "").split("\n"), 1):
-                body = re.sub(r'\s*//[^"\']*$|\s+/\*.*\*/\s*$' if braces else r'(^|\s+)#[^"\']*$', "", raw.rstrip("\r"))
-                bare = literal.sub('""', body)
+            braces = bool(braces)
+            for n, (bare, body) in enumerate(zip(*structure((text or "").replace("\r\n", "\n"), braces, lang)), 1):
+                bare, body = bare.rstrip(), body.rstrip()
                 lead = bare.strip()
-                if not lead or lead.startswith(("//", "*", "/*") if braces else "#"):
+                if not lead:
                     continue
                 brackets = sum(map(bare.count, "([" if braces else "([{")) - sum(map(bare.count, ")]" if braces else ")]}"))
                 turn = bare.count("{") - bare.count("}") if braces else 0
@@ -86,9 +198,11 @@ def calls_udf():
     """One statement to its calls, nested ones included: column, dotted name, text and top-level arguments.
 
     One pass from left to right with a stack of open brackets finds where every call ends, so the time grows with the
-    length of the statement (and with the text that is returned). Calls inside a string literal are taken apart within it.
+    length of the statement (and with the text that is returned). Calls inside a string or a template are taken apart within it.
     """
 
+    template_end = template_scanner()
+
     @F.pandas_udf(CALLS_TYPE)
     def calls(texts):
         import re
@@ -96,17 +210,20 @@ def calls_udf():
         import pandas as pd
 
         head = re.compile(r"(?<![\w$])(?:new\s+)?[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*\s*\(")
-        token = re.compile(r"""(["'`])(?:\\.|(?!\1)[^\\])*\1|[()\[\]{},]""", re.DOTALL)
+        token = re.compile(r"""(["'])(?:\\.|(?!\1)[^\\])*\1|[`()\[\]{},]""", re.DOTALL)
         words = {"if", "while", "for", "switch", "catch", "return", "function", "def", "func", "elif", "and", "or", "not", "in"}
 
         def ends(s, opened, low, high, found):
             """Fill ``found`` (position of a call's bracket to its end and argument cuts) for the part ``low:high``."""
-            stack = []
-            for m in token.finditer(s, low, high):
-                c, j = m[0], m.start()
+            stack, pos = [], low
+            while m := token.search(s, pos, high):
+                c, j, pos = m[0], m.start(), m.end()
+                if c == "`":
+                    pos = min(template_end(s, j), high)
+                    c = s[j:pos]
                 if len(c) > 1:
                     if "(" in c:
-                        ends(s, opened, j + 1, m.end() - 1, found)
+                        ends(s, opened, j + 1, pos - 1, found)
                 elif c in "([{":
                     stack.append((j, [j]))
                 elif c == ",":
