@@ -398,3 +398,44 @@ def test_a_line_of_two_megabytes(spark):
     start = time.time()
     assert extract.extract_calls(extract.statements(files)).count() == 190_001
     assert time.time() - start < 60  # some five seconds on an idle core, start of workers included
+
+
+def test_incremental_scan_reads_changed_files_only(spark, tmp_path):
+    folder = str(tmp_path / "results")
+    schema = "file string, content string"
+    scanned = []
+
+    def scan(files):
+        scanned.append(sorted(r.file for r in files.collect()))
+        return files.select("file", F.explode(F.split("content", "\n")).alias("text")).filter("text like '%bad%'")
+
+    def run(rows, digest="r1", as_of="2024-01-31 00:00:00"):
+        found, read = cache.incremental_scan(spark.createDataFrame(rows, schema), scan, digest, folder, as_of, 30)
+        assert sorted(r.file for r in read.collect()) == scanned[-1]
+        return sorted((r.file, r.text, r.cached) for r in found.collect())
+
+    one = [("a", "bad 1\nok\nbad 2"), ("b", "fine"), ("c", "bad 3")]
+    assert run(one) == [("a", "bad 1", False), ("a", "bad 2", False), ("c", "bad 3", False)] and scanned[-1] == ["a", "b", "c"]
+    two = [("a", "bad 1\nok\nbad 2"), ("b", "bad now"), ("c", "bad 3"), ("d", "bad 3")]
+    assert run(two) == [("a", "bad 1", True), ("a", "bad 2", True), ("b", "bad now", False), ("c", "bad 3", True), ("d", "bad 3", False)] and scanned[-1] == ["b", "d"]
+    assert all(x[2] for x in run(two)) and scanned[-1] == []
+    assert not any(x[2] for x in run(two, digest="r2")) and len(scanned[-1]) == 4  # other rules
+    assert not any(x[2] for x in run(two, as_of="2024-03-15 00:00:00")) and len(scanned[-1]) == 4  # too old
+    assert all(x[2] for x in run(two, as_of="2024-03-16 00:00:00"))  # the newest entry counts
+    assert run([]) == []
+
+
+def test_static_scan_from_stored_results(spark, tmp_path):
+    from wardlight.operators.rules_check import rule_set_hash
+    from wardlight.plans.static_scan import static_scan
+
+    rules = rules_df(spark)
+    digest = rule_set_hash(rules).first().digest
+    files = [("a.py", "import os\nfrom flask import request\n\ndef a():\n    x = request.args.get('q')\n    os.system(x)\n"), ("b.py", "def b():\n    return 1\n")]
+    frame = lambda rows: spark.createDataFrame(rows, "file string, content string")
+    scan = lambda f: static_scan(f, rules)
+    first, _ = cache.incremental_scan(frame(files), scan, digest, str(tmp_path / "r"), "2024-01-31 00:00:00")
+    again, read = cache.incremental_scan(frame(files[:1] + [("b.py", "API = 1\n")]), scan, digest, str(tmp_path / "r"), "2024-02-01 00:00:00")
+    assert [r.file for r in read.collect()] == ["b.py"]
+    plain = lambda df: sorted(str(r) for r in df.filter("file = 'a.py'").drop("cached").collect())
+    assert plain(first) == plain(again) and again.filter("cached").count() == first.count() > 0

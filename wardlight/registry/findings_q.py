@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.operators import cache as cache_op
-from wardlight.operators import dedup, history, ordered, scoring
+from wardlight.operators import dedup, history, ordered, scoring, secrets
 from wardlight.operators import findings as fnd
 from wardlight.operators import lines as lines_op
 from wardlight.catalog.fixed import CLASS_CVSS, SECRET_PATTERNS
 from wardlight.registry.core import query
 from wardlight.registry.sources_q import scratch_folder
-from wardlight.views import duck, values
+from wardlight.views import duck, lit, values
 
 COUNTS = ", ".join(f"count(*) filter (where severity = '{s}') as n_{s.lower()}" for s in ("Critical", "High", "Medium", "Low", "Info"))
 CC = values(list(CLASS_CVSS.items()), "k, v")
@@ -177,6 +177,23 @@ def cache_misses(t):
     return cache_op.cache_misses(doc_keys(t), cache_op.scan_cache_load(t.older_cache(), "cur", AS_OF, 10)).select("doc_id")
 
 
+LINES = "select doc_id, file, text, unnest(string_split(text, chr(10))) as line_text, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from (select doc_id, source || '/' || doc_id || '.txt' as file, replace(text, chr(13) || chr(10), chr(10)) as text from documents)"
+MATCHES = " union all ".join(f"select file, doc_id, line, '{r}' as rule_id, unnest(regexp_extract_all(line_text, {lit(p)}, 0)) as match from lines" for r, p in SECRET_PATTERNS)
+
+
+@query("incremental_scan", duck(f"select file, line, rule_id, match, doc_id % 3 <> 0 as cached from ({MATCHES})", lines=LINES))
+def incremental_scan(t):
+    """A first scan of the documents that were there, then one of all of them: what was stored comes back, the rest is scanned."""
+    docs = t.read("documents")
+    files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").alias("content"), "doc_id")
+    folder = scratch_folder(t, "results")
+    digest = F.sha2(F.lit(str(SECRET_PATTERNS)), 256)
+    digest = t.spark.range(1).select(digest).first()[0]
+    scan = lambda f: secrets.detect_secret_patterns(lines_op.source_lines(f)).select("file", "line", "rule_id", "match")
+    cache_op.incremental_scan(files.filter("doc_id % 3 <> 0").select("file", "content"), scan, digest, folder, AS_OF)
+    return cache_op.incremental_scan(files.select("file", "content"), scan, digest, folder, AS_OF)[0]
+
+
 @query("cache_evict_topn", duck("select k, access_count from scan_cache order by access_count desc, k limit 100", "scan_cache"))
 def cache_evict_topn(t):
     return cache_op.cache_evict(t.scan_cache(), 100).select("k", "access_count")
@@ -188,9 +205,9 @@ def cache_trim_half(t):
     return cache_op.cache_trim_half(t.scan_cache()).select("k", "stored_at")
 
 
-@query("scan_cache_save", duck("select k, rule_hash, access_count, stored_at, doc_id from scan_cache order by access_count desc, k limit 200", "scan_cache"))
+@query("scan_cache_save", duck("select k, rule_hash, access_count, stored_at, doc_id from scan_cache", "scan_cache"))
 def scan_cache_save(t):
-    path = cache_op.scan_cache_save(t.scan_cache(), scratch_folder(t, "cache"), 200)
+    path = cache_op.scan_cache_save(t.scan_cache(), scratch_folder(t, "cache"))
     return cache_op.load_version(t.spark, path)
 
 
