@@ -214,6 +214,18 @@ def short_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
     return rare.select("key", "n", F.lit(SKETCHES).alias("at"), F.xxhash64("x", F.lit("short")).alias("bucket"))
 
 
+def merged(classes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``classes`` (key, label) after more ``edges`` (a, b): whole classes are joined, as single nodes."""
+    if classes is None:
+        return components(edges)
+    for c in ("a", "b"):
+        own = classes.select(F.col("key").alias(c), F.col("label").alias("_l"))
+        edges = edges.join(own, c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+    joined = components(edges.select("a", "b").filter("a != b"))
+    after = classes.join(joined.select(F.col("key").alias("label"), F.col("label").alias("_l")), "label", "left").select("key", F.coalesce("_l", "label").alias("label"))
+    return written(after.unionByName(joined.join(classes.select("key"), "key", "left_anti").select("key", "label")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id``, the text hash ``_k`` and ``_label``, the class as a key
     that is null only for texts without words."""
@@ -233,6 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     table = written(rows.mapInArrow(sketch, f"_id {kind}, _k long, key binary, n long, sk array<long>, bm array<long>, few array<long>"), "sketches")
     nodes = table.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.min(F.struct("_id", "_k")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bm").alias("bm"), F.first("few").alias("few"), F.count("*").alias("copies"))
+    nodes = written(nodes, "nodes")
     every = nodes.select("key", "n", F.posexplode("sk").alias("at", "bucket")).union(short_buckets(nodes, threshold))
     shared = every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     several = every.join(shared, "bucket").withColumn("hub", F.sum("c").over(W.partitionBy("key"))).drop("c")  # a key has ``SKETCHES`` rows and a few
@@ -246,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     missing = ["+".join(f"bit_count({a}[{k}] & ~{b}[{k}])" for k in range(BITS // 64)) for a, b in (("bm", "bm2"), ("bm2", "bm"))]
     close = F.expr(f"least(n, m) >= {need} and n - ({missing[0]}) >= {need} and m - ({missing[1]}) >= {need}")
     pair = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
-    tested = edges = classes = None
+    tested = classes = None
     open_members = members.withColumn("class", F.col("key"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
@@ -275,8 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = written(verified(pairs, texts, threshold, words), "found")
-        edges = found if edges is None else edges.union(found)
-        classes = components(edges)
+        classes = merged(classes, found)
         if turn < STAR_ROUNDS:
             now = members.join(classes, "key", "left").select("bucket", "at", "key", "n", "hub", "bm", F.coalesce("label", "key").alias("class"))
             mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket")
