@@ -439,3 +439,13 @@ def test_static_scan_from_stored_results(spark, tmp_path):
     assert [r.file for r in read.collect()] == ["b.py"]
     plain = lambda df: sorted(str(r) for r in df.filter("file = 'a.py'").drop("cached").collect())
     assert plain(first) == plain(again) and again.filter("cached").count() == first.count() > 0
+
+
+def test_links_take_their_dots(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.example/a/b/c.html", "https://h.example/a/b/", "http://h.example/x?y=../z"]
+    hrefs = ["../d", "./d", "../../../d", "d/../e/./f", "..", ".", "../", "d/..", "/p/../q?r=../s", "/../q", "../d?e=/../f#g", "d..e/f.", "...", "../a.b/..c", "/", "d#../x"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    got = rows.select("base", "href", cols.resolve_url(F.col("base"), F.col("href")).alias("u")).collect()
+    assert {(r.base, r.href): r.u for r in got} == {(b, h): urljoin(b, h) for b in bases for h in hrefs}

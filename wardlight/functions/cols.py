@@ -93,23 +93,34 @@ def endpoint_key(method, url) -> Column:
     return F.concat(F.upper(method), F.lit(":"), endpoint_url(url))
 
 
-def resolve_url(base, href) -> Column:
-    """Absolute address of ``href`` seen on page ``base`` (absolute, protocol-relative, rooted, query and plain paths).
+def without_dots(path) -> Column:
+    """A rooted path with its ``.`` and ``..`` steps taken; steps above the root stay at the root."""
 
-    Dot segments at the start of a plain path are dropped; deeper ``..`` steps are left as they are.
-    """
+    def take(done, step):
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    taken = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), take), "/")
+    folder = path.rlike(r"/\.\.?$")
+    return F.when(~path.rlike(r"/\.\.?(/|$)"), path).otherwise(F.concat(taken, F.when(folder, "/").otherwise("")))
+
+
+def resolve_url(base, href) -> Column:
+    """Absolute address of ``href`` seen on page ``base`` (absolute, protocol-relative, rooted, query and plain paths); steps
+    with dots are taken."""
     origin = F.concat(url_part(base, "PROTOCOL"), F.lit("://"), host_of(base))
     path = url_part(base, "PATH")
     folder = F.regexp_replace(path, "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    plain = F.regexp_replace(href, r"^(\./)+", "")
+    plain = F.regexp_extract(href, "^[^?#]*", 0)
+    rest = F.substring(href, F.length(plain) + 1, F.length(href))
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(url_part(base, "PROTOCOL"), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, without_dots(plain), rest))
         .when(F.startswith(href, F.lit("?")), F.concat(origin, path, href))
         .when(href == "", base)
-        .otherwise(F.concat(origin, folder, plain))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, plain)), rest))
     )
 
 

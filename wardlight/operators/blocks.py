@@ -33,7 +33,7 @@ def _role(language_text, opens) -> Column:
 def with_roles(stmts: DataFrame) -> DataFrame:
     """Add ``role``, ``parent_role``, next and previous sibling, ``next_child``, block leader and chain start.
 
-    All windows run inside one file, which is at most 2 MiB; one shuffle by file serves them all.
+    All windows run inside one file and are as large as its statements; one shuffle by file serves them all.
     """
     s = stmts.withColumn("role", _role(F.col("text"), F.col("end_line") > F.col("line")))
     s = s.withColumn("parent_role", F.when(F.col("parent") > 0, _role(F.col("parent_text"), F.lit(True))))

@@ -177,8 +177,9 @@ def cache_misses(t):
     return cache_op.cache_misses(doc_keys(t), cache_op.scan_cache_load(t.older_cache(), "cur", AS_OF, 10)).select("doc_id")
 
 
+CONTACTS = [("contact_phone", r"\+[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}"), ("contact_mail", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+")]
 LINES = "select doc_id, file, text, unnest(string_split(text, chr(10))) as line_text, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from (select doc_id, source || '/' || doc_id || '.txt' as file, replace(text, chr(13) || chr(10), chr(10)) as text from documents)"
-MATCHES = " union all ".join(f"select file, doc_id, line, '{r}' as rule_id, unnest(regexp_extract_all(line_text, {lit(p)}, 0)) as match from lines" for r, p in SECRET_PATTERNS)
+MATCHES = " union all ".join(f"select file, doc_id, line, '{r}' as rule_id, unnest(regexp_extract_all(line_text, {lit(p)}, 0)) as match from lines" for r, p in CONTACTS)
 
 
 @query("incremental_scan", duck(f"select file, line, rule_id, match, doc_id % 3 <> 0 as cached from ({MATCHES})", lines=LINES))
@@ -187,9 +188,9 @@ def incremental_scan(t):
     docs = t.read("documents")
     files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").alias("content"), "doc_id")
     folder = scratch_folder(t, "results")
-    digest = F.sha2(F.lit(str(SECRET_PATTERNS)), 256)
+    digest = F.sha2(F.lit(str(CONTACTS)), 256)
     digest = t.spark.range(1).select(digest).first()[0]
-    scan = lambda f: secrets.detect_secret_patterns(lines_op.source_lines(f)).select("file", "line", "rule_id", "match")
+    scan = lambda f: secrets.detect_secret_patterns(lines_op.source_lines(f), CONTACTS).select("file", "line", "rule_id", "match")
     cache_op.incremental_scan(files.filter("doc_id % 3 <> 0").select("file", "content"), scan, digest, folder, AS_OF)
     return cache_op.incremental_scan(files.select("file", "content"), scan, digest, folder, AS_OF)[0]
 
