@@ -449,3 +449,25 @@ def test_links_take_their_dots(spark):
     rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
     got = rows.select("base", "href", cols.resolve_url(F.col("base"), F.col("href")).alias("u")).collect()
     assert {(r.base, r.href): r.u for r in got} == {(b, h): urljoin(b, h) for b in bases for h in hrefs}
+
+
+def test_tainted_members_in_texts(spark):
+    texts = spark.createDataFrame([(k, "f", t) for k, t in enumerate(['run(d["a"])', "run(d['b'])", "run(d)", "run(d.a)", "run(d[k])", "run(d.get('b'))", "run(e.a, c)", "run(dd['a'])"])], "n int, file string, text string")
+    tainted = spark.createDataFrame([("f", "d", "a"), ("f", "c", "")], "file string, base string, member string")
+    got = sorted((r.n, r.base, r.member) for r in taint.tainted_in_text(texts, tainted).collect())
+    assert got == [(0, "d", "a"), (2, "d", "a"), (3, "d", "a"), (4, "d", "a"), (5, "d", "a"), (6, "c", "")]
+
+
+def test_names_outside_of_strings(spark):
+    from wardlight.operators.flows import names_used, outside_strings
+
+    rows = [
+        ("python", """d["a"] + x + d["b"] + "y" """, {"d", "d[a]", "d[b]", "d[?]", "x", "x[*]"}),
+        ("python", """f"{u}" + v + 'w' + rf'{z}'""", {"f", "f[*]", "rf", "rf[*]", "u", "u[*]", "v", "v[*]", "z", "z[*]"}),
+        ("python", """["p", q] + [r]""", {"q", "q[*]", "r", "r[*]"}),
+        ("javascript", """`${a}` + "b" + c.d""", {"$", "$[*]", "a", "a[*]", "c", "c[d]", "c[?]"}),
+        ("php", """"x $y" . 'z' . $r['k']""", {"x", "x[*]", "$y", "$y[*]", "$r", "$r[k]", "$r[?]"}),
+    ]
+    df = spark.createDataFrame([(n, lang, t) for n, (lang, t, _) in enumerate(rows)], "n int, language string, text string")
+    got = {r.n: set(r.u) for r in df.select("n", names_used(outside_strings(F.col("text")), F.array().cast("array<string>")).alias("u")).collect()}
+    assert got == {n: want for n, (_, _, want) in enumerate(rows)}

@@ -125,6 +125,47 @@ def two():
     # the source is written into the sink, plain and cleaned
     "depot/straight.py": (FLASK + "\n\ndef go():\n    os.system(request.args.get(\"gate\"))\n", {"CMDi"}),
     "depot/straight_clean.py": (FLASK + "\n\ndef go():\n    db.execute(\"select \" + str(int(request.args.get(\"gate\"))))\n", set()),
+    # members of one container are told apart, whole values and computed members are not
+    "depot/other_member.py": (FLASK + '''
+
+def label():
+    parcel = {}
+    parcel["note"] = request.args.get("note")
+    parcel["code"] = "fixed"
+    os.system("print " + parcel["code"])
+    parcel["note"] = "blank"
+    os.system("print " + parcel["note"])
+''', set()),
+    "depot/same_member.py": (FLASK + '''
+
+def label():
+    parcel = {}
+    parcel["note"] = request.args.get("note")
+    parcel["code"] = "fixed"
+    os.system("print " + parcel["note"])
+''', {"CMDi"}),
+    "depot/whole_value.py": (FLASK + '''
+
+def label():
+    parcel = {}
+    parcel["note"] = request.args.get("note")
+    os.system("print " + str.join(parcel))
+''', {"CMDi"}),
+    "depot/computed_member.py": (FLASK + '''
+
+def label(k):
+    parcel = {}
+    parcel[k] = request.args.get("note")
+    os.system("print " + parcel["code"])
+''', {"CMDi"}),
+    "depot/new_value.py": (FLASK + '''
+
+def label(k):
+    parcel = {}
+    parcel["note"] = request.args.get("note")
+    parcel = {"note": "blank"}
+    os.system("print " + parcel["note"])
+''', set()),
     "depot/pair.py": (FLASK + '''
 
 def route():

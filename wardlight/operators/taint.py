@@ -54,10 +54,28 @@ def safe_identifiers(text, sanitizers) -> Column:
     return F.array_union(wrapped_identifiers(text, sanitizers), parameterised_identifiers(text))
 
 
+ACCESS = IDENT + r"""(?:\[\s*(?:"[^"\]]*"|'[^'\]]*'|\d+)\s*\]|\.[A-Za-z_$][\w$]*(?![\w$]|\s*\())?"""
+
+
+def accesses(text) -> Column:
+    """Names in a text with the member that is read of them: an array of ``(base, member)``, the member empty for a whole
+    value, a computed index or a method call."""
+    member = lambda m: F.regexp_extract(m, r"""^[\w$]+(?:\.|\[\s*["']?)(.*?)["']?\s*\]?$""", 1)
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, IDENT, 0).alias("base"), member(m).alias("member"))))
+
+
 def tainted_in_text(texts: DataFrame, tainted: DataFrame, text: str = "text", key: str = "file") -> DataFrame:
-    """Rows of ``texts`` with each tainted base that occurs in them as a word: an equality join on identifiers."""
-    words = texts.withColumn("base", F.explode(identifiers(F.col(text))))
-    return words.join(tainted.select(key, "base").distinct(), [key, "base"])
+    """Rows of ``texts`` with each tainted location that occurs in them: an equality join on the names of the text.
+
+    A location is a ``base`` and, if ``tainted`` has that column, a ``member``. A tainted member is found where it or the
+    whole value is used, and a tainted whole value (member empty) wherever its name stands; other members are left alone.
+    """
+    if "member" not in tainted.columns:
+        words = texts.withColumn("base", F.explode(identifiers(F.col(text))))
+        return words.join(tainted.select(key, "base").distinct(), [key, "base"])
+    used = texts.withColumn("_a", F.explode(accesses(F.col(text)))).withColumns({"base": F.col("_a.base"), "_m": F.col("_a.member")}).drop("_a")
+    hit = used.join(tainted.select(key, "base", "member").distinct(), [key, "base"]).filter("member = '' or _m = '' or member = _m")
+    return hit.drop("_m").distinct()
 
 
 class CodeFacts:

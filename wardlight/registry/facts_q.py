@@ -382,7 +382,7 @@ def interprocedural_taint(t):
 # whole paths by program: lines and what happens there; the text behind "used here" is the statement
 PATHS = [
     (0, "get_user_@K@", "python_sqli", 8, "query", "6 enters as name > 7 moves on as query > 8 used here"),
-    (3, "search", "python_sqli", 7, "sql", "5 enters as params > 6 moves on as sql > 7 used here"),
+    (3, "search", "python_sqli", 7, "sql", "5 enters as params[name] > 6 moves on as sql > 7 used here"),
     (4, "lookup", "python_sqli", 9, "sql", "7 enters in read_name > 7 moves on as who > 8 moves on as sql > 9 used here"),
     (5, "run", "python_cmdi", 5, "cmd", "2 enters as target > 10 handed to ping as host > 8 handed to run as cmd > 5 used here"),
     (6, "pick", "python_cmdi", 10, "path", "7 enters as path > 10 used here"),
