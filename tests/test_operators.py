@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.rules import rules_df
 from wardlight.functions import cols
 from wardlight.functions.code import calls_udf, outline_udf
-from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, rules_check, rules_match, scoring, secrets, taint, triage, web_audit
+from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, patterns, rules_check, rules_match, scoring, secrets, taint, triage, web_audit
 from wardlight.sources import records, tree
 
 R = random.Random(7)
@@ -471,3 +471,31 @@ def test_names_outside_of_strings(spark):
     df = spark.createDataFrame([(n, lang, t) for n, (lang, t, _) in enumerate(rows)], "n int, language string, text string")
     got = {r.n: set(r.u) for r in df.select("n", names_used(outside_strings(F.col("text")), F.array().cast("array<string>")).alias("u")).collect()}
     assert got == {n: want for n, (_, _, want) in enumerate(rows)}
+
+
+def test_patterns_by_automaton_and_by_grams(spark, monkeypatch):
+    """Random patterns, nested, overlapping, short and empty ones, against brute force on both ways."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcé.(") for _ in range(n))
+    rules = [(lang, f"r{i}", [word(rnd.randint(1, 9)).upper() for _ in range(3)] + ([None] if i % 7 == 0 else [])) for i in range(60) for lang in ("python", "go")]
+    rules += [("php", "empty", [""]), ("ruby", "none", None), (None, "lost", ["a"])]
+    texts = [(i, rnd.choice(["python", "go", "php", "ruby", "other", None]), rnd.choice([None, "", word(40), word(400), word(3)])) for i in range(300)]
+    want = sorted({(i, r, p.lower()) for i, lang, t in texts for rl, r, ps in rules for p in ps or () if p is not None and t is not None and rl == lang and rl and p.lower() in t.lower()})
+    df = spark.createDataFrame(texts, "id int, language string, text string")
+    made = spark.createDataFrame(rules, "language string, rule_id string, sinks array<string>")
+    for limit in (patterns.AUTOMATON_BYTES, 0):
+        monkeypatch.setattr(patterns, "AUTOMATON_BYTES", limit)
+        found = patterns.PatternSet(made, "sinks")
+        assert found.fits == (limit > 0)
+        assert sorted((r.id, r.rule_id, r.pattern) for r in found.matches(df, F.col("text")).collect()) == want
+    none = patterns.PatternSet(made.limit(0), "sinks")
+    assert none.matches(df, F.col("text")).count() == 0
+
+
+def test_rules_are_no_part_of_the_plan(spark):
+    """10,000 rules: the plan of the search names none of them and has no join with the texts before the hits."""
+    rules = spark.range(10_000).selectExpr("'python' as language", "concat('r', id) as rule_id", "array(concat('lib', id, '.run(')) as sinks")
+    calls = spark.range(1_000).selectExpr("'f' as file", "cast(id as int) as line", "1 as col", "'python' as language", "concat('lib', id * 20, '.run') as function_name", "concat('lib', id * 20, '.run(x)') as full_text")
+    found = rules_match.sink_candidates(calls, rules)
+    assert "lib" + "77.run" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.rule_id for r in found.collect()) == sorted(f"r{i * 20}" for i in range(500))

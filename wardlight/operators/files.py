@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight.catalog.fixed import CONFIG_CHECK_BY_NAME, LANGUAGE_BY_EXT, MIN_KEYWORD_LEN, STRING_MARKS
 from wardlight.functions.cols import lit_map
+from wardlight.operators.patterns import PatternSet
 
 
 def basename(path) -> Column:
@@ -38,22 +39,19 @@ def keywords(patterns: list[str]) -> list[str]:
     return sorted(p for p in parts if len(p) >= MIN_KEYWORD_LEN)
 
 
-def prescan_gate(files: DataFrame, sinks: list[str], sources: list[str]) -> DataFrame:
-    """Keep files that hold a string mark, a sink keyword or a source keyword.
+def prescan_gate(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Keep files that hold a string mark, or a keyword (see ``keywords``) of a sink or a source of any rule.
 
-    The cheap marks come first, so the keyword tests run only for the few files without any of them. The keyword
-    list comes from a rule catalog and is part of the plan, not of the data.
+    The cheap marks come first; the keywords are looked for, all in one pass, only in the few files without any of them.
     """
     content = F.col("content")
     marks = F.lit(False)
     for m in STRING_MARKS:
         marks = marks | F.contains(content, F.lit(m))
-    low = F.lower(content)
-    words = sorted(set(keywords(sinks)) | set(keywords(sources)))
-    hit = F.lit(False)
-    if words:
-        hit = low.rlike("|".join("\\Q" + w + "\\E" for w in words))
-    return files.filter(marks | hit)
+    both = F.concat(F.coalesce("sinks", F.array().cast("array<string>")), F.coalesce("sources", F.array().cast("array<string>")))
+    parts = F.filter(F.flatten(F.transform(both, lambda p: F.split(F.replace(p, F.lit("::"), F.lit(".")), r"\."))), lambda w: F.length(w) >= MIN_KEYWORD_LEN)
+    words = PatternSet(rules.select(F.lit("").alias("language"), F.lit("").alias("rule_id"), parts.alias("words")), "words")
+    return files.filter(marks | (F.size(words.inside(F.when(~marks, content), language=F.lit(""))) > 0))
 
 
 def static_asset_filter(df: DataFrame, suffixes: list[str], url: str = "url") -> DataFrame:

@@ -1,14 +1,14 @@
-"""Joining texts with rules: token-pruned sink lookup, scans, sources, sanitizers."""
+"""Joining texts with rules: sink lookup, scans, sources, sanitizers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.cols import explode_once, let
+from wardlight.functions.cols import explode_once
 from wardlight.operators.dedup import first_by
+from wardlight.operators.patterns import PatternSet, patterns_of
 
-PATTERNS_PER_PASS = 2_000
 SPLIT = r"[.\s:>(]+"
 
 
@@ -31,59 +31,32 @@ def unique_rules(rules: DataFrame) -> DataFrame:
     return first_by(rules, ["rule_id"], [c for c in rules.columns if c != "rule_id"])
 
 
-def sink_candidates(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("file", "line", "col")) -> DataFrame:
+def sink_candidates(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("file", "line", "col"), sinks: PatternSet | None = None) -> DataFrame:
     """``(keep…, function_name, rule_id)``: rules with a sink that shares a token with the call head and lies inside the call.
 
-    The head's tokens meet the index by equality; the substring test runs on the survivors only.
+    All sinks inside a call are found in one pass over its text, whatever their number; tokens are compared on these
+    hits only, and the rules of a sink are looked up by equality.
     """
-    sinks = rules.select("language", "rule_id", F.explode("sinks").alias("sink"))
-    index = explode_once(sinks, ["language", "rule_id", "sink"], tokens_of(F.col("sink")), "token").select("language", "token", "rule_id", F.lower("sink").alias("_sink")).distinct()
+    sinks = sinks or PatternSet(rules, "sinks")
     c = calls.select("language", *keep, "function_name", F.lower("full_text").alias("_t"), F.lower("function_name").alias("_f"))
     head = F.array_union(tokens_of(F.col("_f")), tokens_of(F.substring_index("_t", "(", 1)))
-    hit = explode_once(c, c.columns, head, "token").join(index, ["language", "token"])
-    found = F.contains(F.col("_t"), F.col("_sink")) | F.contains(F.col("_f"), F.col("_sink"))
-    return hit.filter(found).select(*keep, "function_name", "rule_id").distinct()
-
-
-def pattern_passes(rules: DataFrame, kind: str) -> list[dict[str, list[tuple[str, str]]]]:
-    """Patterns of a rule set as plan literals, ``language -> [(rule_id, pattern)]``, at most 2,000 in one pass.
-
-    A rule set is configuration written by people; however large it is, each pass stays small.
-    """
-    rows = rules.select("language", "rule_id", F.explode(kind).alias("p")).select("language", "rule_id", F.lower("p").alias("p")).distinct()
-    passes: list[dict[str, list[tuple[str, str]]]] = []
-    for i, r in enumerate(sorted((r["language"], r["rule_id"], r["p"]) for r in rows.toLocalIterator())):
-        if i % PATTERNS_PER_PASS == 0:
-            passes.append({})
-        passes[-1].setdefault(r[0], []).append((r[1], r[2]))
-    return passes
-
-
-def _hits(text, patterns: list[tuple[str, str]]) -> Column:
-    lits = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(p).alias("pattern")) for r, p in patterns])
-    return let(F.lower(text), lambda low: F.filter(lits, lambda x: F.contains(low, x["pattern"])))
+    hit = sinks.contained(c, F.concat_ws("\n", "_t", "_f")).filter(F.arrays_overlap(tokens_of(F.col("pattern")), head))
+    return hit.join(sinks.rows, ["language", "pattern"]).select(*keep, "function_name", "rule_id").distinct()
 
 
 def pattern_scan(df: DataFrame, text, rules: DataFrame, kind: str) -> DataFrame:
-    """``df`` with one row per pattern of ``kind`` contained in ``text`` (columns ``rule_id``, ``pattern``).
-
-    Every row meets only the patterns of its language, as literals: no join and no shuffle.
-    """
-    out = None
-    for by_lang in pattern_passes(rules, kind):
-        expr = None
-        for lang, pats in sorted(by_lang.items()):
-            test = F.col("language") == lang
-            expr = F.when(test, _hits(text, pats)) if expr is None else expr.when(test, _hits(text, pats))
-        part = explode_once(df, df.columns, expr, "_h").select(*df.columns, "_h.rule_id", "_h.pattern")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.withColumn("rule_id", F.lit("")).withColumn("pattern", F.lit("")).limit(0)
+    """``df`` with one row per rule and pattern of ``kind`` contained in ``text`` (columns ``rule_id``, ``pattern``)."""
+    return PatternSet(rules, kind).matches(df, text)
 
 
 def sink_match_scan(calls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("file", "line", "col")) -> DataFrame:
-    """Same question as ``sink_candidates`` without the index: every sink of the language is tried on every call."""
-    both = F.concat_ws("\n", "full_text", "function_name")
-    return pattern_scan(calls.select("language", *keep, "function_name", "full_text"), both, rules, "sinks").select(*keep, "function_name", "rule_id").distinct()
+    """Sinks inside a call or its name, by trying every sink of the language on every call: the plain measure of the index.
+
+    Its time grows with the number of rules; ``sink_candidates`` is the one to use.
+    """
+    both = F.lower(F.concat_ws("\n", "full_text", "function_name"))
+    c = calls.select("language", *keep, "function_name", both.alias("_t")).join(patterns_of(rules, "sinks"), "language")
+    return c.filter(F.contains("_t", F.col("pattern"))).select(*keep, "function_name", "rule_id").distinct()
 
 
 def source_attribution(df: DataFrame, text: str, rules: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -96,22 +69,3 @@ def sanitizer_exclude(hits: DataFrame, rules: DataFrame, text: str = "full_text"
     san = rules.select("rule_id", F.explode("sanitizers").alias("_s")).select("rule_id", F.lower("_s").alias("_s")).distinct()
     cond = (hits["rule_id"] == san["rule_id"]) & F.contains(F.lower(hits[text]), san["_s"])
     return hits.join(san, cond, "left_anti")
-
-
-def rule_arrays(rules: DataFrame, kind: str) -> dict[str, list[str]]:
-    """All patterns of one kind per language (configuration, see ``pattern_passes``)."""
-    out: dict[str, set[str]] = {}
-    for p in pattern_passes(rules, kind):
-        for lang, pats in p.items():
-            out.setdefault(lang, set()).update(x for _, x in pats)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def by_language_array(table: dict[str, list[str]]) -> Column:
-    """Literal string array of the row's language."""
-    expr = None
-    for lang, pats in sorted(table.items()):
-        arr = F.array(*[F.lit(p) for p in pats])
-        expr = F.when(F.col("language") == lang, arr) if expr is None else expr.when(F.col("language") == lang, arr)
-    empty = F.array().cast("array<string>")
-    return empty if expr is None else expr.otherwise(empty)

@@ -22,7 +22,8 @@ from wardlight.operators import blocks, extract
 from wardlight.operators.extract import ASSIGN, by_language, header
 from wardlight.operators.framework import framework_detect, framework_sources
 from wardlight.operators.iterate import fixpoint
-from wardlight.operators.rules_match import by_language_array, rule_arrays, sanitizer_exclude, sink_candidates
+from wardlight.operators.patterns import PatternSet
+from wardlight.operators.rules_match import sanitizer_exclude, sink_candidates
 from wardlight.session import checkpointed, written
 
 IDENT = r"[A-Za-z_$][\w$]*"
@@ -88,21 +89,29 @@ class CodeFacts:
     def __init__(self, files: DataFrame, rules: DataFrame):
         self.files = files
         self.rules = rules
-        self.sanitizers = rule_arrays(rules, "sanitizers")
-        rule_sources = by_language_array(rule_arrays(rules, "sources"))
-        self._sources = F.array_union(rule_sources, F.transform(framework_sources(F.col("framework")), lambda s: F.lower(s)))
+        cleaners = rules.select("language", "rule_id", F.transform("sanitizers", lambda s: F.rtrim(s, F.lit("("))).alias("sanitizers"))
+        self.patterns = {"sources": PatternSet(rules, "sources"), "sinks": PatternSet(rules, "sinks"), "sanitizers": PatternSet(cleaners, "sanitizers")}
         told = framework_detect(files.select("file", "language", "content"))
         self.stmts = written(blocks.with_roles(extract.statements(told, keep=("framework",))).drop("parent_text"), "stmts")
         self.functions = extract.extract_functions(self.stmts)
         self.calls = extract.extract_calls(self.stmts, keep=("func",))
         self.assignments = extract.extract_assignments(self.stmts, keep=("framework", "func", "func_start", "block"))
 
-    def sources(self) -> Column:
-        """Lower-case source texts of the row's language and framework."""
-        return self._sources
+    def has_source(self, text, left=None) -> Column:
+        """True when a source of the row's language or framework occurs in ``text``, and still in its part ``left`` if given."""
+        part = text if left is None else left
+        found = self.patterns["sources"].inside(text)
+        still = F.size(found) > 0 if left is None else let(
+            F.struct(F.lower(left).alias("low"), found.alias("known")), lambda b: F.exists(b["known"], lambda s: F.contains(b["low"], s)))
+        return still | let(F.lower(part), lambda low: F.exists(framework_sources(F.col("framework")), lambda s: F.contains(low, F.lower(s))))
 
-    def has_source(self, text) -> Column:
-        return let(F.lower(text), lambda low: F.exists(self.sources(), lambda s: F.contains(low, s)))
+    def sanitizers(self, text) -> Column:
+        """Sanitizers of the row's language, without their bracket, that occur in ``text``; no other can stand around a name of it."""
+        return self.patterns["sanitizers"].inside(text)
+
+    def safe(self, text) -> Column:
+        """Names of ``text`` that a sanitizer or a placeholder of the row's language makes safe."""
+        return safe_identifiers(text, self.sanitizers(text))
 
     def definitions(self) -> DataFrame:
         """Assignments with their place in the program: ``(…, func, func_start, block, kind, base, member, weak, from_source)``."""
@@ -117,9 +126,9 @@ class CodeFacts:
         are dropped before their calls are taken apart.
         """
         if not hasattr(self, "_sink_calls"):
-            texts = rule_arrays(self.rules, "sinks")
-            stmts = self.stmts.filter(let(F.lower("text"), lambda low: F.exists(by_language_array(texts), lambda p: F.contains(low, p))))
-            found = sink_candidates(extract.extract_calls(stmts), self.rules, keep=("file", "line", "col", "full_text"))
+            sinks = self.patterns["sinks"]
+            stmts = self.stmts.filter(F.size(sinks.inside(F.col("text"))) > 0)
+            found = sink_candidates(extract.extract_calls(stmts), self.rules, keep=("file", "line", "col", "full_text"), sinks=sinks)
             self._sink_calls = checkpointed(found)
         return self._sink_calls
 
@@ -131,8 +140,7 @@ class CodeFacts:
 def taint_gen_kill(facts: CodeFacts) -> DataFrame:
     """Effects of assignments: ``gen`` from a source, ``kill`` of wrapped names, ``flow`` from a name to the target."""
     d = facts.definitions()
-    san = by_language_array(facts.sanitizers)
-    safe = d.withColumn("_safe", safe_identifiers(F.col("value"), san))
+    safe = d.withColumn("_safe", facts.safe(F.col("value")))
     gen = d.filter("from_source").select("file", "line", F.lit("gen").alias("effect"), F.lit("").alias("name"), "kind", "base", "member")
     open_ = safe.filter("not from_source")
     kill = open_.select("file", "line", F.lit("kill").alias("effect"), F.explode(F.array_intersect("_safe", identifiers(F.col("value")))).alias("name"),
@@ -151,19 +159,18 @@ class DefUse:
 
     def __init__(self, facts: CodeFacts):
         self.facts = facts
-        san = by_language_array(facts.sanitizers)
         self.handlers = handler_param_seed(facts)
         d = facts.definitions()
         starts = d.filter("from_source").select("file").unionByName(self.handlers.select("file")).distinct()
         files = checkpointed(facts.sinks().select("file").distinct().join(starts, "file", "left_semi"))
-        d = d.join(files, "file", "left_semi").withColumn("_safe", safe_identifiers(F.col("value"), san))
+        d = d.join(files, "file", "left_semi").withColumn("_safe", facts.safe(F.col("value")))
         d = d.withColumn("uses", F.when(F.col("from_source"), F.array().cast("array<string>")).otherwise(F.array_except(identifiers(F.col("value")), "_safe")))
         d = d.withColumn("uses", F.when(F.col("weak"), F.array_union("uses", F.array("base"))).otherwise(F.col("uses")))
         self.defs = checkpointed(d.select("file", "line", "func", "func_start", (F.col("block") * 4).alias("b"), "base", "from_source", "uses"))
         stmts = facts.stmts.join(files, "file", "left_semi")
         # text uses matter at sink statements only
         text = stmts.join(facts.sinks().select("file", "line").distinct(), ["file", "line"], "left_semi").select(
-            "file", "line", (F.col("block") * 4).alias("b"), F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san)).alias("uses"))
+            "file", "line", (F.col("block") * 4).alias("b"), F.array_except(identifiers(F.col("text")), facts.safe(F.col("text"))).alias("uses"))
         # every use finds the last definition before its own line in the same block, or the block entry (0)
         uses = self.defs.select("file", "b", F.explode("uses").alias("base"), "line", F.lit("def").alias("role"), F.col("base").alias("target")).unionByName(
             text.select("file", "b", F.explode("uses").alias("base"), "line", F.lit("text").alias("role"), F.lit("").alias("target")))
@@ -234,8 +241,7 @@ def taint_fixpoint(facts: CodeFacts, du: DefUse | None = None) -> DataFrame:
 
 def taint_sinks(facts: CodeFacts, tainted: DataFrame) -> DataFrame:
     """Statements with a sink and a tainted, unsanitized name, whatever the path: ``tainted`` is ``(file, base)``."""
-    san = by_language_array(facts.sanitizers)
-    t = facts.stmts.filter(F.contains("text", F.lit("("))).select("file", "line", "text", F.explode(F.array_except(identifiers(F.col("text")), safe_identifiers(F.col("text"), san))).alias("base"))
+    t = facts.stmts.filter(F.contains("text", F.lit("("))).select("file", "line", "text", F.explode(F.array_except(identifiers(F.col("text")), facts.safe(F.col("text")))).alias("base"))
     hit = t.join(tainted.select("file", "base").distinct(), ["file", "base"])
     return hit.join(facts.sinks(), ["file", "line"]).select("file", "line", "rule_id", F.col("base").alias("var"), F.col("text").alias("sink_text"))
 

@@ -11,7 +11,7 @@ from wardlight.operators.dedup import dedup_shortest_trace
 from wardlight.operators.files import basename, prescan_gate, with_language
 from wardlight.operators.findings import findings_union, fingerprint, report_cvss
 from wardlight.operators.lines import source_lines
-from wardlight.operators.rules_match import rule_arrays, unique_rules
+from wardlight.operators.rules_match import unique_rules
 from wardlight.operators.scoring import scan_score
 from wardlight.sources.records import manifest_read
 
@@ -33,9 +33,8 @@ def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     Configuration files are routed by name first; the keyword gate is for code and text. What a detector saw (statement,
     call, masked value) is its evidence, so nothing is read again for it.
     """
-    flat = lambda kind: sorted({p for v in rule_arrays(rules, kind).values() for p in v})
     config = files.filter(F.lower(basename(F.col("file"))).isin(list(CONFIG_CHECK_BY_NAME)))
-    gated = prescan_gate(files, flat("sinks"), flat("sources"))
+    gated = prescan_gate(files, rules)
     code = with_language(gated).filter("language is not null").select("file", "language", "content")
     facts = taint.CodeFacts(code, rules)
     none = F.lit(None).cast("string")

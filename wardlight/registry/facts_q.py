@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from wardlight.catalog.fixed import FRAMEWORK_ORDER, FRAMEWORK_SIGNALS, FRAMEWORK_SOURCES, SHELL_FUNCTIONS, WEAK_CRYPTO_TEXTS
 from wardlight.catalog.rules import rule_rows
 from wardlight.catalog.programs import PROGRAMS
+from wardlight.functions.cols import explode_once
 from wardlight.operators import extract, flows, framework, intervals, lines as lines_op, pages as pages_op, rules_match, structure_checks, taint
+from wardlight.operators.patterns import PatternSet
 from wardlight.registry.core import query
 from wardlight.views import ORDER_STEP, duck, lit, values
 
@@ -229,6 +231,22 @@ def sanitizer_exclude(t):
     return rules_match.sanitizer_exclude(hits, t.rules()).select("file", "line", "rule_id").distinct()
 
 
+PART_CALLS = "select l_orderkey, l_linenumber, p_partkey, case p_size % 4 when 0 then 'python' when 1 then 'javascript' when 2 then 'java' else 'go' end as language"
+PART_CALLS += ", concat('x.', replace(p_name, ' ', '.'), '(v', l_linenumber, ', run_', p_type, '.exec)') as full_text from {lineitem} join {part} on p_partkey = l_partkey"
+
+
+@query("part_rule_sinks", duck(f"""
+select c.l_orderkey, c.l_linenumber, count(*) as n_patterns, count(distinct s.pattern) as n_texts from ({PART_CALLS.format(lineitem="lineitem", part="part")}) c
+join (select distinct language, rule_id, lower(unnest(sinks)) as pattern from part_rules) s on s.language = c.language and contains(lower(c.full_text), s.pattern) group by all""", "part_rules"))
+def part_rule_sinks(t):
+    """A rule for each part looked for in a call for each line item: how many sinks of all these rules lie in it."""
+    calls = t.spark.sql(PART_CALLS.format(lineitem="{lineitem}", part="{part}"), lineitem=t.read("lineitem"), part=t.read("part"))
+    sinks = PatternSet(t.part_rules(), "sinks")
+    rules = sinks.rows.groupBy("language", "pattern").agg(F.count("*").alias("n"))
+    hit = sinks.contained(calls, F.col("full_text")).join(rules, ["language", "pattern"])
+    return hit.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n_patterns"), F.count_distinct("pattern").alias("n_texts"))
+
+
 @query("rule_index_build", duck(f"select distinct language, rule_id, unnest({tok('sink')}) as token from (select language, rule_id, unnest(sinks) as sink from part_rules)", "part_rules"))
 def rule_index_build(t):
     return rules_match.rule_index_build(t.part_rules())
@@ -247,9 +265,10 @@ USES = {
 
 @query("sanitizer_wraps", fduck("select file, line, ident as var from wrapped", "asg", **USES))
 def sanitizer_wraps(t):
-    san = rules_match.by_language_array(rules_match.rule_arrays(t.rules(), "sanitizers"))
-    a = extract.extract_assignments(stmts(t))
-    return a.select("file", "line", F.explode(F.array_intersect(taint.wrapped_identifiers(F.col("value"), san), taint.identifiers(F.col("value")))).alias("var"))
+    stems = t.rules().withColumn("sanitizers", F.transform("sanitizers", lambda s: F.rtrim(s, F.lit("("))))
+    a = extract.extract_assignments(stmts(t)).filter(F.contains("value", F.lit("(")))
+    wrapped = taint.wrapped_identifiers(F.col("value"), PatternSet(stems, "sanitizers").inside(F.col("value")))
+    return explode_once(a, ["file", "line"], F.array_intersect(wrapped, taint.identifiers(F.col("value"))), "var")
 
 
 @query("parameterized_query_check", fduck("select file, line, ident as var from placeheld", "asg", **USES))

@@ -36,7 +36,7 @@ KW = sorted(set(files_op.keywords(_kw(12))) | set(files_op.keywords(_kw(11))))
     "select file from src_files f where contains(content,'\"') or contains(content,'''') or contains(content,'`') or contains(content,'=')"
     " or exists (select 1 from kw where contains(lower(f.content), kw.w))", "src_files", kw=values([(w,) for w in KW], "w")))
 def prescan_gate(t):
-    return files_op.prescan_gate(t.src_files(), _kw(12), _kw(11)).select("file")
+    return files_op.prescan_gate(t.src_files(), t.rules()).select("file")
 
 
 @query("source_lines", duck("select file, line, text from src_lines", "src_lines"))
