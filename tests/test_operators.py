@@ -237,6 +237,9 @@ def test_similarity_and_evidence(spark):
     assert got[1] == (pytest.approx(0.9), True) and got[2] == (None, True)
     assert got[3] == (pytest.approx(20_000 / 23_000), True)  # the difference lies behind the first 100,000 characters
     assert "delta 0" in web_audit.diff_evidence(pair, "q").filter("pair_id = 2").first()["evidence"]
+    # 99.845 in decimal is 99.8449… as a double, and printf goes by the double
+    near = spark.createDataFrame([(1, "u", 200, "a " * 19969 + "b " * 31, "u", 200, "a " * 19969 + "c " * 31)], pair.schema)
+    assert web_audit.diff_evidence(near, "q").first()["evidence"].endswith(f"similarity {0.99845 * 100:.2f}%")
 
 
 def test_headers_any_case_and_repeats(spark):
