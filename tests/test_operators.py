@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from wardlight.catalog.rules import rules_df
 from wardlight.functions import cols
-from wardlight.functions.code import calls_udf, outline_udf
+from wardlight.functions.code import calls_udf, in_runs, outline_udf
 from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, patterns, rules_check, rules_match, scoring, secrets, taint, triage, web_audit
+from wardlight.operators.patterns import PatternSet
 from wardlight.sources import records, tree
 
 R = random.Random(7)
@@ -502,3 +503,53 @@ def test_rules_are_no_part_of_the_plan(spark):
     found = rules_match.sink_candidates(calls, rules)
     assert "lib" + "77.run" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.rule_id for r in found.collect()) == sorted(f"r{i * 20}" for i in range(500))
+
+
+def test_values_of_one_run_live_at_a_time():
+    import weakref
+
+    import pyarrow as pa
+
+    live, most = weakref.WeakSet(), 0
+
+    class Row(list):
+        __hash__ = object.__hash__
+
+    def each(n):
+        nonlocal most
+        row = Row([n] * 3)
+        live.add(row)
+        most = max(most, len(live))
+        return [row, [str(n)] * 3]
+
+    got = in_runs(4)(each, [("n", pa.int64()), ("t", pa.string())], pa.array(list(range(50))))
+    assert got.to_pylist() == [[{"n": n, "t": str(n)}] * 3 for n in range(50)] and most <= 4
+    assert in_runs(4)(each, [("n", pa.int64()), ("t", pa.string())], pa.array([], pa.int64())).to_pylist() == []
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_arguments_are_taken_apart_once(spark):
+    df = spark.createDataFrame([("f(a, g(b))",), ("no call",), (None,)], "text string")
+    got = extract.split_args(df)
+    assert [r.args for r in got.collect()] == [["a", "g(b)"], None, None]
+    assert python_steps(got.filter(F.size("args") > 0)) == 1
+
+
+def test_calls_are_read_once(spark):
+    files = spark.createDataFrame([("a", "python", "def f():\n    g(h(1))\n    g(2)\ndef g(x):\n    g(x)\nf()\n")], "file string, language string, content string")
+    s = extract.statements(files)
+    f = extract.extract_functions(s)
+    flat = f.localCheckpoint()
+    edges = taint.call_edges(extract.extract_calls(s, keep=("func",)), flat)
+    got = taint.callers_callees(edges, flat)
+    assert python_steps(got) == python_steps(edges)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "f", 1, "<module>", "g", False), ("a", "g", 3, "f,g", "g", False)]
+
+
+def test_rules_are_looked_up_without_a_shuffle(spark):
+    calls = spark.createDataFrame([("python", "x = request.args.get(1)")], "language string, t string")
+    plan = PatternSet(rules_df(spark), "sources").matches(calls, F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
