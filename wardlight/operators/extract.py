@@ -101,8 +101,12 @@ def extract_calls(stmts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def split_args(df: DataFrame, text: str = "text") -> DataFrame:
-    """Top-level arguments of the first call in ``text``."""
-    return df.withColumn("args", F.get(calls_udf()(F.col(text)), F.lit(0))["args"])
+    """Top-level arguments of the first call in ``text``.
+
+    The first call is exploded, not taken by index, so that a filter on ``args`` does not take the text apart again.
+    """
+    first = df.select("*", F.explode_outer(F.slice(calls_udf()(F.col(text)), 1, 1)).alias("_c"))
+    return first.withColumn("args", F.col("_c.args")).drop("_c")
 
 
 def _param_names(language, params) -> Column:
