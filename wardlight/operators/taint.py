@@ -255,13 +255,18 @@ def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def callers_callees(edges: DataFrame, functions: DataFrame) -> DataFrame:
-    """Per function: number of call sites, distinct callers and callees, and whether nobody in the file calls it."""
-    f = functions.select("file", "name").distinct()
-    inc = edges.groupBy("file", F.col("callee").alias("name")).agg(F.count("*").alias("n_sites"), F.array_join(F.array_sort(F.collect_set("caller")), ",").alias("callers"))
-    out = edges.groupBy("file", F.col("caller").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("callee")), ",").alias("callees"))
-    j = f.join(inc, ["file", "name"], "left").join(out, ["file", "name"], "left")
-    return j.select("file", "name", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.coalesce("callers", F.lit("")).alias("callers"),
-                    F.coalesce("callees", F.lit("")).alias("callees"), F.col("n_sites").isNull().alias("uncalled"))
+    """Per function: number of call sites, distinct callers and callees, and whether nobody in the file calls it.
+
+    An edge counts for both of its ends in one grouping, so edges and functions are read once.
+    """
+    role = lambda n, c: (F.lit(n).alias("_r"), c.cast("string").alias("_o"))
+    known = functions.select("file", "name", *role(0, F.lit(None)))
+    both = F.array(F.struct(F.col("callee").alias("name"), *role(1, F.col("caller"))), F.struct(F.col("caller").alias("name"), *role(2, F.col("callee"))))
+    rows = known.unionByName(edges.select("file", F.explode(both).alias("e")).select("file", "e.*"))
+    names = lambda r: F.array_join(F.array_sort(F.collect_set(F.when(F.col("_r") == r, F.col("_o")))), ",")
+    found = rows.groupBy("file", "name").agg(
+        F.min("_r").alias("_f"), F.count_if(F.col("_r") == 1).alias("n_sites"), names(1).alias("callers"), names(2).alias("callees"))
+    return found.filter("_f = 0").select("file", "name", "n_sites", "callers", "callees", (F.col("n_sites") == 0).alias("uncalled"))
 
 
 def positional(edges: DataFrame, functions: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from wardlight.functions.cols import explode_once
 from wardlight.operators import extract, flows, framework, intervals, lines as lines_op, pages as pages_op, rules_match, structure_checks, taint
 from wardlight.operators.patterns import PatternSet
 from wardlight.registry.core import query
+from wardlight.session import checkpointed
 from wardlight.views import ORDER_STEP, duck, lit, values
 
 N = len(PROGRAMS)
@@ -342,7 +343,7 @@ select f.file, f.name, (select count(*) from cedges e where e.file = f.file and
  not exists (select 1 from cedges e where e.file = f.file and e.callee = f.name) as uncalled from (select distinct file, name from funcs) f""", "calls", **EDGES))
 def callers_callees(t):
     s = stmts(t)
-    f = extract.extract_functions(s)
+    f = checkpointed(extract.extract_functions(s))
     return taint.callers_callees(taint.call_edges(extract.extract_calls(s, keep=("func",)), f), f)
 
 
