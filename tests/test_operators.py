@@ -553,3 +553,11 @@ def test_rules_are_looked_up_without_a_shuffle(spark):
     calls = spark.createDataFrame([("python", "x = request.args.get(1)")], "language string, t string")
     plan = PatternSet(rules_df(spark), "sources").matches(calls, F.col("t"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rules_in_files_of_many_documents(spark, tmp_path):
+    one = "rule_id: {}\nlanguage: python\nseverity: {}\nsinks:\n- run(\n"
+    (tmp_path / "a.yaml").write_text("---\n".join([one.format("r1", "Low"), one.format("r2", "Low"), "rule_id: [broken\n", one.format("r1", "High"), "- no rule\n"]))
+    (tmp_path / "b.yml").write_text(one.format("r2", "Medium"))
+    got = {r.rule_id: (r.severity, r.sinks) for r in tree.rule_catalog_load(spark, str(tmp_path)).collect()}
+    assert got == {"r1": ("High", ["run("]), "r2": ("Medium", ["run("])}

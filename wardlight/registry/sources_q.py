@@ -158,9 +158,12 @@ RULE_YAML_SQL = (
     "select p_partkey - case when p_partkey % 20 = 9 then 1 else 0 end as id, p_partkey, 'python' as language, 'High' as severity, cast(p_size as double) as cvss, replace(p_name,' ','.') as src,"
     " p_type || '.exec' as sink from part where p_partkey % 19 <> 4) group by 1, 2, 3"))
 def rule_catalog_load(t):
-    """Write one YAML rule per part, then load the folder."""
+    """Write one YAML rule per part, a thousand to a file, then load the folder."""
     root = scratch_folder(t, "rules")
-    files = t.read("part").select(F.format_string("python/r%09d.yaml", "p_partkey").alias("file"), F.expr(RULE_YAML_SQL).alias("text"))
+    each = t.read("part").select("p_partkey", F.expr("p_partkey div 1000").alias("k"), F.expr(RULE_YAML_SQL).alias("text"))
+    docs = F.array_sort(F.collect_list(F.struct("p_partkey", "text")))
+    files = each.groupBy("k").agg(docs.alias("docs")).select(
+        F.format_string("python/r%012d.yaml", "k").alias("file"), F.array_join(F.col("docs.text"), "---\n").alias("text"))
     write_tree(files, root)
     r = tree.rule_catalog_load(t.spark, root)
     return r.select("rule_id", "language", "severity", "cvss_score", F.get("sources", F.lit(0)).alias("source"), F.element_at("sinks", -1).alias("last_sink"))

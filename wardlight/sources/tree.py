@@ -36,47 +36,71 @@ def source_tree_scan(spark: SparkSession, path: str, max_bytes: int | None = Non
 
 
 def rule_catalog_load(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from a folder of YAML files, one document per file; the last file (by path) wins on a repeated id.
+    """Rules from a folder of YAML files, one or many documents per file; the last one (by path, then place in the file) wins
+    on a repeated id.
 
-    The folder is a list of user rules, read file by file in tasks; the parse is a small Arrow-batched helper.
+    Files are read one by one in tasks, so a large catalog belongs into files of many documents: the time then goes by
+    rules and not by files, which the driver has to list. A document that is no YAML is left out, the others of its file
+    are kept. The parse is a small Arrow-batched helper.
     """
     fields = [f.name for f in RULE_SCHEMA.fields]
     lists = ["sources", "sinks", "sanitizers"]
 
     def parse(batches):
+        import re
+
         import pandas as pd
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        bound = re.compile(r"^---(?=\s|$)", re.MULTILINE)
+
+        def documents(text):
+            """Documents in order; after a broken one the file is read part by part."""
+            try:
+                return list(yaml.load_all(text, loader))
+            except yaml.YAMLError:
+                good = []
+                for part in bound.split(text):
+                    try:
+                        good.extend(yaml.load_all(part, loader))
+                    except yaml.YAMLError:
+                        continue
+                return good
+
+        def table(rows):
+            return pd.DataFrame(rows, columns=fields + ["path", "place"])
+
         for pdf in batches:
             rows = []
             for p, text in zip(pdf["path"], pdf["value"]):
-                try:
-                    doc = yaml.safe_load(text)
-                except yaml.YAMLError:
-                    continue
-                if not isinstance(doc, dict) or not doc.get("rule_id"):
-                    continue
-                row = {f: doc.get(f) for f in fields}
-                for f in fields:
-                    if f in lists:
-                        row[f] = [str(x) for x in (row[f] or [])]
-                    elif f == "cvss_score":
-                        try:
-                            row[f] = None if row[f] is None else float(row[f])
-                        except (TypeError, ValueError):
-                            row[f] = None  # the rule check reports the missing score
-                    elif row[f] is not None:
-                        row[f] = str(row[f])
-                rows.append({**row, "path": p})
-            yield pd.DataFrame(rows, columns=fields + ["path"])
-
-    schema = T.StructType(RULE_SCHEMA.fields + [T.StructField("path", T.StringType())])
+                for place, doc in enumerate(documents(text)):
+                    if not isinstance(doc, dict) or not doc.get("rule_id"):
+                        continue
+                    row = {f: doc.get(f) for f in fields}
+                    for f in fields:
+                        if f in lists:
+                            row[f] = [str(x) for x in (row[f] or [])]
+                        elif f == "cvss_score":
+                            try:
+                                row[f] = None if row[f] is None else float(row[f])
+                            except (TypeError, ValueError):
+                                row[f] = None  # the rule check reports the missing score
+                        elif row[f] is not None:
+                            row[f] = str(row[f])
+                    rows.append({**row, "path": p, "place": place})
+                if len(rows) > 5000:
+                    yield table(rows)
+                    rows = []
+            yield table(rows)
+
+    schema = T.StructType(RULE_SCHEMA.fields + [T.StructField("path", T.StringType()), T.StructField("place", T.LongType())])
     texts = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml")
         .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     )
     parsed = texts.mapInPandas(parse, schema)
-    return parsed.groupBy("rule_id").agg(F.max_by(F.struct(*fields[1:]), "path").alias("r")).select("rule_id", "r.*")
+    return parsed.groupBy("rule_id").agg(F.max_by(F.struct(*fields[1:]), F.struct("path", "place")).alias("r")).select("rule_id", "r.*")
 
 
 def register_rules(base: DataFrame, extra: DataFrame, level: str = "basic") -> DataFrame:
