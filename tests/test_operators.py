@@ -11,6 +11,7 @@ from wardlight.functions import cols
 from wardlight.functions.code import calls_udf, in_runs, outline_udf
 from wardlight.operators import cache, dedup, extract, findings, graph, intervals, lines, ordered, pages, patterns, rules_check, rules_match, scoring, secrets, taint, triage, web_audit
 from wardlight.operators.patterns import PatternSet
+from wardlight.session import dealt
 from wardlight.sources import records, tree
 
 R = random.Random(7)
@@ -561,3 +562,24 @@ def test_rules_in_files_of_many_documents(spark, tmp_path):
     (tmp_path / "b.yml").write_text(one.format("r2", "Medium"))
     got = {r.rule_id: (r.severity, r.sinks) for r in tree.rule_catalog_load(spark, str(tmp_path)).collect()}
     assert got == {"r1": ("High", ["run("]), "r2": ("Medium", ["run("])}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_neighbours_and_tokens_take_one_shuffle(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 3)], "src int, dst int")
+    near = graph.graph_neighbors(dealt(edges, "src", "dst"))
+    index = rules_match.rule_index_build(spark.createDataFrame([("go", "a", ["x.run(", "x.go"]), ("go", "a", ["x.run("]), ("go", "b", [])], "language string, rule_id string, sinks array<string>"))
+    assert exchanges(near) == 1 and exchanges(index) == 1
+    assert sorted(tuple(r) for r in near.collect()) == sorted({(a, w, b) for x, y in {(1, 2), (2, 1), (3, 3)} for a, w, b in ((x, "successor", y), (y, "predecessor", x))})
+    assert sorted(r.token for r in index.collect()) == ["go", "run", "run(", "x.go", "x.run("]
+
+
+def test_export_is_parsed_once(spark):
+    from wardlight.registry import QUERIES
+    from wardlight.views import Tables
+
+    plan = QUERIES["findings_json_export"](Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan

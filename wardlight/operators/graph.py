@@ -11,10 +11,13 @@ from wardlight.session import checkpointed
 
 
 def graph_neighbors(edges: DataFrame) -> DataFrame:
-    """``(node, relation, neighbor)`` for successors and predecessors; rows, so a hub is never one big list."""
-    out = edges.select(F.col("src").alias("node"), F.lit("successor").alias("relation"), F.col("dst").alias("neighbor"))
-    inc = edges.select(F.col("dst").alias("node"), F.lit("predecessor").alias("relation"), F.col("src").alias("neighbor"))
-    return out.unionByName(inc).distinct()
+    """``(node, relation, neighbor)`` for successors and predecessors; rows, so a hub is never one big list.
+
+    Both rows of a distinct edge are distinct, so only the edges are compared.
+    """
+    row = lambda node, relation, neighbor: F.struct(F.col(node).alias("node"), F.lit(relation).alias("relation"), F.col(neighbor).alias("neighbor"))
+    both = F.array(row("src", "successor", "dst"), row("dst", "predecessor", "src"))
+    return edges.select("src", "dst").distinct().select(F.explode(both).alias("n")).select("n.*")
 
 
 def taint_transfer(edges: DataFrame, out_state: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFrame:
