@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.cols import explode_once
 from wardlight.operators.dedup import first_by
 from wardlight.operators.patterns import PatternSet, patterns_of
+from wardlight.session import dealt
 
 SPLIT = r"[.\s:>(]+"
 
@@ -21,8 +22,11 @@ def tokens_of(text) -> Column:
 
 
 def rule_index_build(rules: DataFrame) -> DataFrame:
-    """Inverted index ``(language, token, rule_id)``; a set of rows, so a token in every rule stays spread out."""
-    s = rules.select("language", "rule_id", F.explode("sinks").alias("sink"))
+    """Inverted index ``(language, token, rule_id)``; a set of rows, so a token in every rule stays spread out.
+
+    Rules meet by id before their tokens are taken, so tokens are compared within a part and not shuffled.
+    """
+    s = dealt(rules.select("language", "rule_id", "sinks"), "language", "rule_id", grows=16).withColumn("sink", F.explode("sinks"))
     return explode_once(s, ["language", "rule_id"], tokens_of(F.col("sink")), "token").distinct()
 
 
