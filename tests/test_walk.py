@@ -6,6 +6,8 @@ import pytest
 
 from tests.test_operators import random_program
 from tests.test_programs import PROGRAMS
+from wardlight.catalog.fixed import LANGUAGE_BY_EXT
+from wardlight.catalog.programs import PROGRAMS as CATALOG
 from wardlight.catalog.rules import rules_df
 from wardlight.operators import flows, taint
 
@@ -76,3 +78,35 @@ def test_jobs_do_not_grow_with_the_path(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"path of {n}"))
 
     assert jobs(40) < jobs(2) + 10
+
+
+ODD = [
+    ("unpacked.py", "python", HEAD + 'def job():\n    a, *b, c.d = request.args.get("q"), 1\n    d = e = a\n    x["k"] += a\n    os.system(a, b)\n    os.system(x)\n    os.system(int(a) + d)\n    db.execute("select ?", (a,))\n'),
+    ("nested.py", "python", HEAD + '@app.route("/x")\n@login\n\ndef outer(who, self, n=1):\n    def inner(deep):\n        os.system(deep)\n        os.system(who)\n    if n:\n        line = who\n    else:\n        who = "none"\n    os.system(line); os.system(who)\n'),
+    ("far.py", "python", '@app.get("/x")\n#\n#\n#\n#\ndef far(who):\n    os.system(who)\n'),
+    ("lines.py", "python", HEAD + 'a = request.args.get("q")\r\nos.system(\r\n  "x" +\r\n  a)\r\n'),
+    ("arrow.js", "javascript", 'const f = (req, res) => {\n  let a = req.query.id;\n  for (;;) {\n    db.query(b, done);\n    b = a;\n  }\n};\n'),
+    ("empty.py", "python", ""), ("null.py", "python", None), (None, "python", HEAD + 'a = request.args.get("q")\nos.system(a)\n'), ("other.zz", "none", "a = b\n"),
+]
+
+
+def test_fixpoint_in_files_equals_rounds(spark, facts, monkeypatch):
+    named = [(n, LANGUAGE_BY_EXT.get("." + n.rsplit(".", 1)[-1], "none"), t) for n, t in CATALOG]
+    mixed = taint.CodeFacts(facts.files.unionByName(spark.createDataFrame(named + ODD, "file string, language string, content string")), facts.rules)
+    want = sorted(str(r) for r in taint.by_rounds(mixed, taint.DefUse(mixed)).collect())
+    assert len(want) > 60 and len({r.split("'")[1].rsplit(".", 1)[-1] for r in want}) > 6
+    for chars in (400, 64 * 1024):
+        monkeypatch.setattr(taint, "FILE_CHARS", chars)
+        assert sorted(str(r) for r in taint.taint_fixpoint(mixed).collect()) == want
+
+
+def test_jobs_of_the_fixpoint_do_not_grow_with_the_blocks(spark):
+    def jobs(n):
+        body = "".join(f"    if z:\n        v{i + 1} = v{i}\n" for i in range(n))
+        files = spark.createDataFrame([("a.py", "python", f'{HEAD}def job():\n    v0 = request.args.get("q")\n{body}    os.system(v{n})\n')], "file string, language string, content string")
+        spark.sparkContext.setJobGroup(f"blocks {n}", "")
+        found = [(r.var, r.sink_line, r.origin_line) for r in taint.taint_fixpoint(taint.CodeFacts(files, rules_df(spark))).collect()]
+        assert found == [(f"v{n}", 2 * n + 4, 2 * n + 3)]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks {n}"))
+
+    assert jobs(12) < jobs(2) + 5
