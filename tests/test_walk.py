@@ -1,6 +1,7 @@
 """Taint inside one file: the walk in a task against the rounds by joins, and that its jobs do not grow with the paths."""
 
 import random
+import re
 
 import pytest
 
@@ -9,7 +10,8 @@ from tests.test_programs import PROGRAMS
 from wardlight.catalog.fixed import LANGUAGE_BY_EXT
 from wardlight.catalog.programs import PROGRAMS as CATALOG
 from wardlight.catalog.rules import rules_df
-from wardlight.operators import flows, taint
+from wardlight.operators import flows, iterate, taint
+from wardlight.session import checkpointed
 
 HEAD = "from flask import request\n"
 HELPERS = """
@@ -110,3 +112,20 @@ def test_jobs_of_the_fixpoint_do_not_grow_with_the_blocks(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks {n}"))
 
     assert jobs(12) < jobs(2) + 5
+
+
+@pytest.mark.parametrize("chars, key, operators", [
+    (1024 * 1024, r"file#", [flows.taint_paths, flows.interprocedural_taint, taint.alias_propagation]),
+    (400, r"file#\d+, ", [flows.taint_paths, lambda f: taint.by_rounds(f, taint.DefUse(f))])])
+def test_facts_are_not_broadcast(facts, monkeypatch, chars, key, operators):
+    """Rows of code facts grow with the input, which Spark's figure of their size doesn't tell; all are small here. The names of
+    large files, one a MiB at most, may be broadcast."""
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (flows, taint, iterate):
+        monkeypatch.setattr(module, "checkpointed", lambda df, **by: told(df) or checkpointed(df, **by))
+    monkeypatch.setattr(flows, "FILE_CHARS", chars)
+    few = taint.CodeFacts(facts.files.filter("file in ('p0.py', 'p50.py')"), facts.rules, facts.patterns)
+    for operator in operators:
+        told(operator(few))
+    assert len(plans) > 12 and not re.findall(rf"BroadcastHashJoin \[{key}.*", "\n".join(plans))
