@@ -321,6 +321,26 @@ def test_tree_and_manifest(spark, tmp_path):
     assert tree.source_tree_scan(spark, str(tmp_path), max_bytes=10).filter("content is not null").count() == 1
 
 
+def test_tree_is_listed_in_tasks(spark, tmp_path):
+    """The driver holds no file of the tree; names with a dot or an underscore, links, odd names and folders without files are gone through."""
+    names = ["a b.py", "_in/__init__.py", ".env", "1/2/3/f.go", "p%20q/\u00e9.py", "s/.git/c.py", "s/build/c.py", "note.txt", "odd:1.py"]
+    for name in names:
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    (tmp_path / "void").mkdir()
+    (tmp_path / "1" / "up").symlink_to(tmp_path)
+    (tmp_path / "to").symlink_to(tmp_path / "1" / "2")
+    (tmp_path / "dead.py").symlink_to(tmp_path / "none")
+    for at in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = tree.source_tree_scan(spark, at)
+        assert not [f for f in got.inputFiles() if not f.endswith(".parquet")]
+        assert sorted(r.file for r in got.collect()) == sorted(names[:5] + names[-1:] + ["to/3/f.go"])
+    assert {(r.size, r.content) for r in got.collect()} == {(1, "x")}
+    assert tree.source_tree_scan(spark, str(tmp_path / "void")).isEmpty()
+    assert [r.content for r in tree.source_tree_scan(spark, str(tmp_path / "a b.py")).collect()] == ["x"]
+
+
 def test_masked_evidence_and_redos(spark):
     from wardlight.operators import secrets
 
